@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -96,3 +97,28 @@ def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
     for k in range(1, width):
         h = h * np.uint64(0xD6E8FEB86659FD93) + words[k : k + n]
     return mixed(h)
+
+
+def tree_summed(made: DataFrame, parts: int, dtype, join=np.add, fan: int = 64) -> DataFrame:
+    """``(block, body)`` arrays of all tasks joined block by block, at most ``fan`` copies at a time.
+
+    ``made``: rows ``(block int, body binary)`` of numpy arrays of ``dtype``; ``parts``: how many
+    partitions may hold a copy of a block, each at most one.
+    """
+
+    def joined(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.frombuffer(pdf["body"].iloc[0], dtype).copy()
+        for x in pdf["body"].iloc[1:]:
+            join(total, np.frombuffer(x, dtype), out=total)
+        return pd.DataFrame({"block": pdf["block"].iloc[:1], "part": pdf["part"].iloc[:1], "body": [total.tobytes()]})
+
+    made = made.withColumn("part", F.spark_partition_id())
+    while True:
+        parts = -(-parts // fan)
+        made = made.withColumn("part", (F.col("part") / fan).cast("int")).groupBy("block", "part").applyInPandas(joined, "block int, part int, body binary")
+        if parts <= 1:
+            return made.select("block", "body")
+
+
+def n_partitions(df: DataFrame) -> int:
+    return max(1, df._jdf.queryExecution().toRdd().getNumPartitions())

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import read_table
+from .common import read_table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,10 +18,28 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets_scan import digests
+
+    return digests(read_table(spark, sf_dir, "documents"))
+
+
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_scoring import score_documents
+
+    return score_documents(read_table(spark, sf_dir, "documents"), held_out=(7, 2))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import context_totals, length_histogram
 
-    return context_totals(length_histogram(read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")))
+    return context_totals(written(length_histogram(read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")), "histogram"))
+
+
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import near_duplicates
+
+    return near_duplicates(read_table(spark, sf_dir, "documents"), width=5, percent=75)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +48,24 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), limit=2048, end_id=1)
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import verdicts
+
+    return verdicts(read_table(spark, sf_dir, "documents"))
+
+
+def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import scan
+
+    return scan(read_table(spark, sf_dir, "documents"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import classify
+
+    return classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), held_out=(5, 0))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import encoding_digests
 
@@ -37,8 +73,14 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_secret_scans": op1_secret_scans,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_token_counts": op3_token_counts,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_packing": op5_packing,
+    "op6_quality_rules": op6_quality_rules,
+    "op7_license_scans": op7_license_scans,
+    "op8_toxicity": op8_toxicity,
     "op10_bpe": op10_bpe,
 }
 

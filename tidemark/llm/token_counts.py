@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .encoding import encoder
 
 #: Lengths in a block of the two-level suffix sums; blocks are summed apart, so no task sees all lengths.
-BLOCK = 4096
+BLOCK = 512
 
 
 def length_histogram(docs: DataFrame, vocabulary: str, text_col: str = "text") -> DataFrame:
