@@ -1 +1 @@
-
+"""Column functions and aggregate bundles."""
