@@ -309,6 +309,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
     """``docs`` with one row of each component: that of the least id; equal ids keep one row, null ids all."""
     found = near_duplicates(docs, id_col, text_col, width, percent)
-    heads = found.filter(F.col("component_id") == F.col(id_col)).select(id_col).distinct()
-    kept = docs.join(heads, id_col, "left_semi").dropDuplicates([id_col])
+    heads = found.filter(F.col("component_id") == F.col(id_col)).select(F.col(id_col).alias("head")).distinct()
+    kept = docs.join(heads, docs[id_col] == heads["head"], "left_semi").dropDuplicates([id_col])
     return kept.unionByName(docs.filter(F.col(id_col).isNull()))

@@ -85,14 +85,18 @@ def _tested(cands: Column) -> Column:
         made = {"squares": squares, "bits": halves, "codes": codes, "k": lambda a, _: F.lit(float(len(a))), "excess": lambda _, e: F.lit(e)}
         return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["body"].alias("body"), n.alias("n"), *(by_encoding(t, f).alias(k) for k, f in made.items()))
 
+    def centred(x: Column) -> Column:  # on its own, so that the lambdas of moments() read a field and not a sum
+        mean = F.aggregate(x["codes"], F.lit(0.0), lambda a, c: a + c) / x["n"]
+        return F.struct(*(x[c].alias(c) for c in ("start", "end", "body", "n", "squares", "bits", "codes", "k", "excess")), mean.alias("mean"))
+
     def moments(x: Column) -> Column:
         n1 = F.length(F.replace(x["bits"], F.lit("0"), F.lit(""))).cast("double")
         runs = F.length(F.regexp_replace(x["bits"], r"(0++|1++)", "r")).cast("double")
-        mean = F.aggregate(x["codes"], F.lit(0.0), lambda a, c: a + c) / x["n"]
-        size = x["n"].cast("int")
+        mean, size = x["mean"], x["n"].cast("int")
         var = F.aggregate(x["codes"], F.lit(0.0), lambda a, c: a + (c - mean) * (c - mean))
         cov = F.aggregate(F.zip_with(F.slice(x["codes"], F.lit(1), size - 1), F.slice(x["codes"], F.lit(2), size - 1), lambda a, b: (a - mean) * (b - mean)), F.lit(0.0), lambda a, c: a + c)
-        return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["body"].alias("body"), x["n"].alias("n"), x["k"].alias("k"), x["excess"].alias("excess"), (x["k"] / x["n"] * x["squares"] - x["n"]).alias("chi"), n1.alias("n1"), runs.alias("runs"), F.when(var > 0, cov / var).otherwise(1.0).alias("r"))
+        kept = (x[c].alias(c) for c in ("start", "end", "body", "n", "k", "excess"))
+        return F.struct(*kept, (x["k"] / x["n"] * x["squares"] - x["n"]).alias("chi"), n1.alias("n1"), runs.alias("runs"), F.when(var > 0, cov / var).otherwise(1.0).alias("r"))
 
     def judged(x: Column) -> Column:
         n, n1, df = x["n"], x["n1"], x["k"] - 1
@@ -109,7 +113,7 @@ def _tested(cands: Column) -> Column:
             F.least(F.floor(F.greatest(decibel, F.lit(0.0))), F.lit(400)).cast("int").alias("decibel"), F.least(F.floor(F.log2(n / LEAST)), F.lit(6)).cast("int").alias("band"),
         )
 
-    return F.transform(F.transform(F.transform(cands, coded), moments), judged)
+    return F.transform(F.transform(F.transform(F.transform(cands, coded), centred), moments), judged)
 
 
 def _found() -> tuple[Column, Column]:
@@ -175,7 +179,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rat
 
 def redact(docs: DataFrame, text_col: str = "text", rate: float = 0.01, mark: str = "[secret]") -> DataFrame:
     """``docs`` with every span of its text replaced by ``mark``; overlapping spans count as one."""
-    found = scan(docs, text_col, rate)
+    found = scan(docs.select(F.struct("*").alias("whole"), F.col(text_col)), text_col, rate)
     cut = F.aggregate(
         F.concat("spans", F.array(F.struct(F.length(text_col).alias("start"), F.length(text_col).alias("end"), F.lit("").alias("kind"), F.lit("").alias("body")))),
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
@@ -185,4 +189,5 @@ def redact(docs: DataFrame, text_col: str = "text", rate: float = 0.01, mark: st
         ),
         lambda a: a["out"],
     )
-    return found.withColumn(text_col, F.when(F.size("spans") > 0, cut).otherwise(F.col(text_col))).select(*docs.columns)
+    text = F.when(F.size("spans") > 0, cut).otherwise(F.col(text_col)).alias(text_col)
+    return found.select(*(text if c == text_col else F.col("whole")[c].alias(c) for c in docs.columns))
