@@ -1,6 +1,536 @@
-"""The catalogue of queries and their SQL."""
+"""The catalogue: every query runs whole tables; each that SQL can express has its SQL in ``oracle``.
+
+The study's scaled parameters for the one-month event table: five days of final test, five folds of
+72 rows, horizon 24.  Doubles are rounded to six digits on both sides.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from collections.abc import Callable
+from functools import wraps
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..config import METRICS, TARGET, TIMESTAMP, TREE_SPACE, feature_columns
+from ..functions.metrics import cv_summary, grouped_metrics
+from ..operators import analysis, comparison, features, forecast, models, splits, stats, timeaxis
+from .oracle import ORACLE_SQL  # noqa: F401
+
+TEST_DAYS, FOLDS, VAL, HORIZON, UTC = 5, 5, 72, 24, "UTC"
+MODELS = list(forecast.CLOSED_FORM)
+PAIRS = [("a", "naive_1", "seasonal_24"), ("b", "seasonal_24", "seasonal_168"), ("c", "naive_1", "seasonal_168")]
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(f):
+    """Registers ``f(spark, sf_dir)``; doubles are rounded."""
+
+    @wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = f(spark, sf_dir)
+        return df.withColumns({n: F.round(F.col(f"`{n}`").cast("double"), 6) + 0.0 for n, t in df.dtypes if t in ("double", "float")})
+
+    QUERIES[f.__name__] = run
+    return f
+
+
+def table(spark, sf_dir, name):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def sparse(spark, d, series=()):
+    return timeaxis.hourly_counts(table(spark, d, "events").select("ts", *series), series=list(series))
+
+
+def series(spark, d, by=()):
+    return timeaxis.dense(sparse(spark, d, by), list(by))
+
+
+def cv(spark, d, by=()):
+    return splits.cv_rows(series(spark, d, by), FOLDS, VAL, series=list(by))
+
+
+def final_predictions(spark, d, by=()):
+    s = series(spark, d, by)
+    p = forecast.closed_form_predictions(s, forecast.holdout_rows(s, TEST_DAYS, by), horizon=HORIZON, series=by)
+    return p.withColumnRenamed("model_name", "model_label")
+
+
+def errors(spark, d):
+    return analysis.with_errors(final_predictions(spark, d))
+
+
+def cv_predictions(spark, d):
+    s = series(spark, d)
+    p = forecast.closed_form_predictions(s, splits.cv_rows(s, FOLDS, VAL).filter("role = 'validation'"), horizon=HORIZON)
+    return p.withColumnRenamed("model_name", "model_label")
+
+
+def cv_metrics(spark, d):
+    return grouped_metrics(cv_predictions(spark, d), ["model_label", "fold"])
+
+
+def final_metrics(spark, d):
+    return grouped_metrics(final_predictions(spark, d), ["model_label"], diagnostics=False)
+
+
+def pair_table(spark):
+    return spark.createDataFrame(PAIRS, "comparison string, baseline string, challenger string")
+
+
+@query
+def hourly_counts(spark, d):
+    return sparse(spark, d)
+
+
+@query
+def hourly_dense(spark, d):
+    return series(spark, d)
+
+
+@query
+def hourly_by_type(spark, d):
+    return series(spark, d, ("event_type",))
+
+
+@query
+def duplicate_audit(spark, d):
+    return timeaxis.duplicate_audit(table(spark, d, "lineitem").select(F.col("l_shipdate").alias(TIMESTAMP))).drop("examples")
+
+
+@query
+def missing_hours(spark, d):
+    rows = sparse(spark, d, ("event_type",)).filter("trip_count >= 3")
+    return timeaxis.missing_hours(rows.groupBy(TIMESTAMP).agg(F.count(F.lit(1)).alias("n")).filter("n >= 4"))
+
+
+@query
+def missing_audit(spark, d):
+    return timeaxis.missing_audit(sparse(spark, d).filter("trip_count % 3 <> 0")).drop("examples")
+
+
+@query
+def time_spacing(spark, d):
+    return timeaxis.spacing(sparse(spark, d).filter("trip_count % 3 <> 0"))
+
+
+@query
+def dst_localize(spark, d):
+    local = timeaxis.local_hours(spark, "2025-01-01 00:00:00", "2026-03-31 23:00:00")
+    local = local.filter(~timeaxis.is_nonexistent(F.col(TIMESTAMP)))
+    return timeaxis.localize(local, strict=False).select(TIMESTAMP, F.col("timestamp_local_naive").cast("timestamp").alias("local"), "is_dst_ambiguous_local_hour")
+
+
+@query
+def dst_nonexistent(spark, d):
+    local = timeaxis.local_hours(spark, "2025-01-01 00:00:00", "2026-03-31 23:00:00")
+    return local.filter(timeaxis.is_nonexistent(F.col(TIMESTAMP)))
+
+
+@query
+def calendar_features(spark, d):
+    return features.add_calendar(series(spark, d), ["hour", "day_of_week", "is_weekend", "month"]).drop(TARGET)
+
+
+@query
+def lag_features_basic(spark, d):
+    return features.feature_matrix(series(spark, d), "basic", drop=False)
+
+
+@query
+def feature_matrix_basic(spark, d):
+    return features.feature_matrix(series(spark, d), "basic")
+
+
+@query
+def feature_matrix_advanced(spark, d):
+    return features.feature_matrix(series(spark, d), "advanced")
+
+
+@query
+def feature_matrix_by_type(spark, d):
+    return features.feature_matrix(series(spark, d, ("event_type",)), "advanced", ["event_type"])
+
+
+@query
+def leakage_check(spark, d):
+    s = series(spark, d)
+    return features.leakage_check(features.feature_matrix(s, "advanced"), s, "advanced").drop("first_mismatch")
+
+
+@query
+def centred_rolling(spark, d):
+    return features.centred_rolling(series(spark, d)).drop(TARGET)
+
+
+@query
+def feature_set_table(spark, d):
+    return features.feature_set_table(spark)
+
+
+@query
+def evenly_sampled(spark, d):
+    return features.evenly_sampled(series(spark, d), 50).select(TIMESTAMP)
+
+
+@query
+def holdout_split(spark, d):
+    return splits.period_summary(splits.with_split(series(spark, d), TEST_DAYS), by=["split"])
+
+
+@query
+def cv_folds(spark, d):
+    return splits.fold_metadata(cv(spark, d), HORIZON).select("fold", "train_start", "train_end", "train_start_pos", "train_end_pos_exclusive", "n_train_rows", "validation_start", "validation_end", "validation_start_pos", "validation_end_pos_exclusive", "n_validation_rows", "observed_boundary_delta_hours", "observed_gap_hours", "n_origin_blocks", F.col("last_origin_block_rows").cast("bigint").alias("last_origin_block_rows"))
+
+
+@query
+def cv_audit(spark, d):
+    return splits.cv_audit(splits.fold_metadata(cv(spark, d), HORIZON), FOLDS, VAL)
+
+
+@query
+def origin_blocks(spark, d):
+    s = series(spark, d)
+    return splits.block_table(s, splits.cv_rows(s, FOLDS, VAL), HORIZON)
+
+
+@query
+def rolling_origin_predictions(spark, d):
+    return final_predictions(spark, d).select("model_label", TIMESTAMP, "actual", "predicted", "forecast_origin", "horizon_step", "origin_block")
+
+
+@query
+def recursive_ar_forecast(spark, d):
+    s = series(spark, d)
+    path = forecast.ar_path(0.5, {1: 0.6, 24: 0.3})
+    return forecast.closed_form(s, forecast.holdout_rows(s, TEST_DAYS), "ar", path, HORIZON).select(TIMESTAMP, "predicted", "horizon_step", "origin_block")
+
+
+@query
+def metrics_seasonal(spark, d):
+    return grouped_metrics(final_predictions(spark, d), ["model_label"])
+
+
+@query
+def metrics_by_type(spark, d):
+    return grouped_metrics(final_predictions(spark, d, ("event_type",)), ["event_type", "model_label"], diagnostics=False)
+
+
+@query
+def metrics_by_fold(spark, d):
+    return cv_metrics(spark, d)
+
+
+@query
+def cv_metric_summary(spark, d):
+    return cv_summary(cv_metrics(spark, d), ["model_label"], METRICS)
+
+
+@query
+def cv_stability(spark, d):
+    return comparison.cv_stability(cv_metrics(spark, d), ["mae", "rmse"])
+
+
+@query
+def fold_stability(spark, d):
+    return comparison.fold_stability(cv_metrics(spark, d), MODELS, ["mae"])
+
+
+@query
+def fold_win_counts(spark, d):
+    return comparison.win_counts(comparison.fold_stability(cv_metrics(spark, d), MODELS, ["mae"]))
+
+
+@query
+def fold_comparison(spark, d):
+    return comparison.fold_comparison(cv_metrics(spark, d), "naive_1", "seasonal_24", ["mae"])
+
+
+@query
+def best_model(spark, d):
+    return comparison.winner(final_metrics(spark, d))
+
+
+@query
+def metric_ranking(spark, d):
+    return comparison.metric_ranking(final_metrics(spark, d))
+
+
+@query
+def rankings_long(spark, d):
+    return comparison.rankings_long(final_metrics(spark, d))
+
+
+@query
+def ranking_pivot(spark, d):
+    return comparison.ranking_pivot(comparison.rankings_long(final_metrics(spark, d)))
+
+
+@query
+def improvements(spark, d):
+    return comparison.improvements(final_metrics(spark, d), pair_table(spark))
+
+
+@query
+def gap_to_best(spark, d):
+    return comparison.gap_to_best(final_metrics(spark, d)).select("model_label", "mae", "percent_gap_to_best")
+
+
+@query
+def residual_summary(spark, d):
+    return analysis.residual_summary(errors(spark, d))
+
+
+@query
+def residual_distribution(spark, d):
+    return analysis.residual_distribution(errors(spark, d))
+
+
+@query
+def residual_autocorrelation(spark, d):
+    return analysis.residual_autocorrelation(errors(spark, d), 24)
+
+
+@query
+def residual_histogram(spark, d):
+    return analysis.residual_histogram(errors(spark, d), 20)
+
+
+@query
+def errors_by_local_hour(spark, d):
+    return analysis.errors_by(errors(spark, d), "local_hour")
+
+
+@query
+def errors_by_local_day(spark, d):
+    return analysis.short_errors_by(errors(spark, d), "local_day_of_week")
+
+
+@query
+def errors_by_horizon(spark, d):
+    return analysis.short_errors_by(errors(spark, d), "horizon_step")
+
+
+@query
+def errors_by_block(spark, d):
+    return analysis.errors_by_block(errors(spark, d))
+
+
+@query
+def enriched_predictions(spark, d):
+    e = analysis.enrich(final_predictions(spark, d))
+    return e.select("model_label", TIMESTAMP, "absolute_percentage_error", "symmetric_absolute_percentage_error", "error_direction", "period_type", "time_of_day_segment", "is_rush_hour", "is_night", "actual_demand_band", "local_day_name")
+
+
+@query
+def errors_by_period(spark, d):
+    return analysis.errors_by(analysis.enrich(final_predictions(spark, d)), "period_type")
+
+
+@query
+def segment_errors(spark, d):
+    return analysis.segment_errors(errors(spark, d))
+
+
+@query
+def segment_pivot(spark, d):
+    return analysis.segment_pivot(analysis.segment_errors(errors(spark, d)), MODELS, [("naive_1", "seasonal_24")])
+
+
+@query
+def extreme_events(spark, d):
+    return analysis.extreme_events(errors(spark, d)).select("model_label", "event", "threshold_operator", "actual_threshold", "n_predictions", "mae", "rmse")
+
+
+@query
+def demand_tail_high(spark, d):
+    return analysis.demand_tail(errors(spark, d), "high").select("model_label", TIMESTAMP, "actual", "predicted", "actual_threshold", "demand_tail")
+
+
+@query
+def demand_tail_low(spark, d):
+    return analysis.demand_tail(errors(spark, d), "low").select("model_label", TIMESTAMP, "actual", "predicted", "actual_threshold", "demand_tail")
+
+
+@query
+def top_errors(spark, d):
+    return analysis.top_errors(errors(spark, d), 10).select("model_label", "error_rank", TIMESTAMP, "absolute_error")
+
+
+@query
+def signed_extremes(spark, d):
+    return analysis.signed_extremes(errors(spark, d), 5).select("model_label", "error_type", "error_rank", TIMESTAMP, "residual")
+
+
+@query
+def negative_counts(spark, d):
+    return analysis.negative_counts(errors(spark, d).withColumn("predicted", F.col("predicted") - 8))
+
+
+@query
+def timestamp_consensus(spark, d):
+    return analysis.timestamp_consensus(errors(spark, d), MODELS, 15)
+
+
+@query
+def model_gaps(spark, d):
+    return analysis.model_gaps(analysis.short_errors_by(errors(spark, d), "local_hour"), "local_hour", "naive_1", "seasonal_24")
+
+
+@query
+def dm_by_block(spark, d):
+    return stats.dm_by_block(stats.differentials(final_predictions(spark, d), PAIRS)).select("comparison", "loss_type", "n_obs", "mean_loss_difference", "variance_loss_difference", "statistic", "percent_reduction", "lower_loss")
+
+
+@query
+def dm_by_horizon(spark, d):
+    return stats.dm_by_horizon(stats.differentials(final_predictions(spark, d), PAIRS)).select("comparison", "loss_type", "horizon_step", "n_obs", "mean_loss_difference", "statistic")
+
+
+@query
+def dm_by_timestamp(spark, d):
+    return stats.dm_by_timestamp(stats.differentials(final_predictions(spark, d), PAIRS), 4).select("comparison", "loss_type", "n_obs", "mean_loss_difference", "long_run_variance", "statistic")
+
+
+@query
+def holm_and_bh(spark, d):
+    rows = table(spark, d, "supplier").select("s_suppkey", "s_nationkey", F.when(F.col("s_suppkey") % 7 != 0, F.pmod(F.col("s_suppkey") * 37, F.lit(101)) / 101.0).alias("p_value"))
+    return stats.adjusted(rows, ["s_nationkey"])
+
+
+@query
+def residual_acf(spark, d):
+    return stats.acf(errors(spark, d), "residual", ["model_label"], 30).select("model_label", F.col("lag").cast("bigint").alias("lag"), "acf", "bound", "exceeds")
+
+
+@query
+def ljung_box(spark, d):
+    r = stats.acf(errors(spark, d), "residual", ["model_label"], 30)
+    return stats.ljung_box(r, ["model_label"], (12, 24)).select("model_label", F.col("lag").cast("bigint").alias("lag"), "statistic")
+
+
+@query
+def jarque_bera(spark, d):
+    return stats.jarque_bera(errors(spark, d), "residual", ["model_label"]).select("model_label", "statistic", "p_value")
+
+
+@query
+def centre_and_randomness(spark, d):
+    return stats.centre_and_randomness(errors(spark, d), "residual", ["model_label"]).select("model_label", "n", "mean_zero_t_statistic", "positive_count", "negative_count", "runs_test_z_statistic")
+
+
+@query
+def parameter_grid(spark, d):
+    g = models.parameter_frame(spark, models.parameter_grid(TREE_SPACE, "xgb_basic"))
+    return g.select("parameter_set_id", F.col("param_n_estimators").cast("int").alias("n_estimators"), F.col("param_max_depth").cast("int").alias("max_depth"), F.col("param_min_child_weight").cast("int").alias("min_child_weight"))
+
+
+@query
+def daily_orders(spark, d):
+    o = table(spark, d, "orders")
+    return o.groupBy(F.date_trunc("day", F.col("o_orderdate").cast("timestamp")).alias(TIMESTAMP)).agg(F.count(F.lit(1)).alias(TARGET), F.sum("o_totalprice").alias("total_price"))
+
+
+@query
+def describe_target(spark, d):
+    y = F.col(TARGET).cast("double")
+    q = [F.percentile(y, F.lit(p)).alias(n) for n, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))]
+    s = series(spark, d)
+    one = s.agg(F.count(y).alias("n"), F.avg(y).alias("mean"), F.stddev_samp(y).alias("std"), F.skewness(y).alias("skewness_pop"), F.kurtosis(y).alias("kurtosis_pop"), *q)
+    iqr = F.col("q3") - F.col("q1")
+    outliers = s.join(F.broadcast(one)).agg(F.count_if((y < F.col("q1") - 1.5 * iqr) | (y > F.col("q3") + 1.5 * iqr)).alias("outliers"))
+    return one.join(outliers)
+
+
+@query
+def hour_by_day(spark, d):
+    s = features.add_calendar(series(spark, d), ["hour", "day_of_week"])
+    return s.groupBy("hour").pivot("day_of_week", list(range(7))).agg(F.avg(TARGET)).toDF("hour", *(f"d{k}" for k in range(7)))
+
+
+@query
+def peak_hours(spark, d):
+    s = features.add_calendar(series(spark, d), ["hour"]).groupBy("hour").agg(F.avg(TARGET).alias("mean"))
+    return s.agg(F.max_by("hour", F.struct("mean", -F.col("hour"))).alias("peak_hour"), F.min_by("hour", F.struct("mean", "hour")).alias("lowest_hour"), F.max("mean").alias("peak_mean"))
+
+
+@query
+def correlations(spark, d):
+    t = table(spark, d, "lineitem")
+    cols = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
+    one = t.agg(*(F.corr(a, b).alias(f"{a}/{b}") for a, b in pairs))
+    return one.select(F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}/{b}`").alias("r")) for a, b in pairs))).alias("x")).select("x.*")
+
+
+@query
+def daily_shipments_features(spark, d):
+    """The same operators on a daily series of seven years, by return flag."""
+    t = table(spark, d, "lineitem").groupBy("l_returnflag", F.date_trunc("day", F.col("l_shipdate").cast("timestamp")).alias(TIMESTAMP)).agg(F.count(F.lit(1)).alias(TARGET))
+    made = features.lag_columns([1, 7], ["l_returnflag"]) | features.rolling_columns([7], [7], ["l_returnflag"])
+    return t.withColumns(made)
+
+
+# --- without SQL: fitted models and recursions; tests hold them against plain versions
+
+
+SMALL_GRID = {"n_estimators": [20, 40], "max_depth": [3], "min_child_weight": [5]}
+
+
+@query
+def grid_cv(spark, d):
+    s = series(spark, d)
+    grid = models.parameter_grid(SMALL_GRID, "xgb_basic")
+    p = models.grid_cv(s, splits.cv_rows(s, 2, VAL), grid, "basic", HORIZON)
+    return comparison.tuning_summary(grouped_metrics(p, ["parameter_set_id", "fold"]), models.parameter_frame(spark, grid))
+
+
+@query
+def additive_cv(spark, d):
+    grid = models.parameter_grid({"changepoint_prior_scale": [0.05, 0.5], "seasonality_mode": ["additive", "multiplicative"]}, "prophet")
+    return grouped_metrics(models.additive_cv(cv(spark, d), grid, HORIZON), ["parameter_set_id", "fold"])
+
+
+@query
+def additive_components(spark, d):
+    s = features.feature_matrix(series(spark, d), "basic")
+    regressors = tuple(feature_columns("basic"))
+    c = models.additive_components(s, s, regressors=regressors)
+    return models.component_summary(c, ["trend", "daily", "weekly", *(f"regressor_{r}" for r in regressors)])
+
+
+@query
+def seasonal_ar_forecast(spark, d):
+    train, test = splits.holdout(series(spark, d), TEST_DAYS)
+    return models.seasonal_ar_predictions(train, test, HORIZON)
+
+
+@query
+def shap_importance(spark, d):
+    m = features.feature_matrix(series(spark, d), "basic")
+    pdf = m.orderBy(TIMESTAMP).toPandas()  # one series
+    cols = feature_columns("basic")
+    tree = models.BoostedTrees(30, 0.1, 3).fit(pdf[cols].to_numpy(float), pdf[TARGET].to_numpy(float))
+    return models.shap_importance(models.shap_rows(features.evenly_sampled(m, 200), tree, cols), cols)
+
+
+@query
+def residual_diagnostics(spark, d):
+    return stats.diagnostics_summary(errors(spark, d), "residual", ["model_label"], 30)
+
+
+@query
+def residual_pacf(spark, d):
+    return stats.pacf(stats.acf(errors(spark, d), "residual", ["model_label"], 30), ["model_label"])
+
+
+@query
+def dm_p_values(spark, d):
+    rows = stats.differentials(final_predictions(spark, d), PAIRS)
+    return stats.dm_conclusion(stats.dm_by_timestamp(rows, HORIZON))
+
+
+@query
+def normality_tests(spark, d):
+    return stats.normality(errors(spark, d), "residual", ["model_label"])
