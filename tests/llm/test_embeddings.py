@@ -58,11 +58,11 @@ def test_groups_blocks_and_awkward_rows(spark):
     df = spark.createDataFrame([(*r, 0) for r in rows], "vec_id long, embedding array<double>, label int, m int")
     same = [r for r in rows if r[0] not in (606, 607)]
     want = brute(same, 0.93) | {606: (1, 606), 607: (1, 606)}
-    for block in (1024, 60):
+    for block in (4096, 60):
         out = link_vectors(df, block_rows=block)
         got = found(out)
         assert len(got) == len(rows)
-        if block == 1024:
+        if block == 4096:
             assert got == want
         else:
             assert sum(n for n, _ in got.values()) >= 0.9 * sum(n for n, _ in want.values())

@@ -90,7 +90,7 @@ def test_lm_is_a_distribution():
 
     rng = np.random.default_rng(1)
     model = m.MaxEnt(rng.integers(1, 50, m.CLASSES).astype(float), np.full(m.CLASSES, 3.0))
-    f = rng.integers(0, 1000, (64, 4)).astype(np.int32)
+    f = rng.integers(0, 1000, (4, 64)).astype(np.uint16)
     k = rng.integers(0, m.CLASSES, 64)
     seen = np.zeros(len(model.weights), np.int64)
 

@@ -186,7 +186,7 @@ def search_group(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
 
 
 def link_vectors(
-    vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", block_rows: int = 1024, sample_rows: int = 20_000, most_centroids: int = 4096
+    vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", block_rows: int = 4096, sample_rows: int = 20_000, most_centroids: int = 4096
 ) -> DataFrame:
     """``(id, n_links, component_id, kept)`` of every row."""
     spark = vectors.sparkSession

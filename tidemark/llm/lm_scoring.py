@@ -26,14 +26,13 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, id_and_bytes, mixed, n_partitions, remainder, tree_summed, written
+from .common import WordHashes, id_and_bytes, n_partitions, remainder, tree_summed, written
 
 CLASSES = 32
 #: Rows of the weight table by template: previous word; three preceding classes; the word before the previous; classes two to four back.
@@ -73,8 +72,8 @@ def chunks(bodies, hashes: ClassedHashes) -> Iterator[tuple[int, np.ndarray, np.
 
 
 def features(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Weight rows active at each token, one column per template."""
-    k = (h & np.uint64(CLASSES - 1)).astype(np.int64)
+    """Weight rows active at each token, one line per template, counted from the template's first."""
+    k = (h & np.uint64(CLASSES - 1)).astype(np.uint32)
     nth = np.arange(len(h)) - np.repeat(starts, np.diff(np.append(starts, len(h))))
 
     def back(x: np.ndarray, n: int) -> np.ndarray:
@@ -83,16 +82,16 @@ def features(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
         return y
 
     k1, k2, k3, k4 = (back(k, n) for n in range(1, 5))
-    out = np.empty((len(h), 4), np.int32)
-    for t, (x, bits) in enumerate(((back(h, 1), 13), ((k1 * 32 + k2) * 32 + k3, 14), (back(h, 2) ^ np.uint64(1), 12), (((k2 * 32 + k3) * 32 + k4) ^ (1 << 20), 12))):
-        out[:, t] = (mixed(x.astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int32) + STARTS[t]
+    out = np.empty((4, len(h)), np.uint16)
+    for t, (x, bits) in enumerate(((back(h, 1), 13), ((k1 * 32 + k2) * 32 + k3, 14), (back(h, 2) ^ np.uint64(1), 12), (((k2 * 32 + k3) * 32 + k4) ^ np.uint32(1 << 20), 12))):
+        out[t] = x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)
     return out
 
 
 def class_logits(weights: np.ndarray, bias: np.ndarray, f: np.ndarray) -> np.ndarray:
-    z = weights[f[:, 0]]
-    for t in range(1, f.shape[1]):
-        z += weights[f[:, t]]
+    z = weights[: ROWS[0]].take(f[0], axis=0)
+    for t in range(1, len(f)):
+        z += weights[STARTS[t] :].take(f[t], axis=0)
     z += bias
     z -= z.max(axis=1, keepdims=True)
     return z
@@ -104,10 +103,13 @@ def update(weights: np.ndarray, seen: np.ndarray, bias: np.ndarray, f: np.ndarra
     np.exp(g, out=g)
     g /= -g.sum(axis=1, keepdims=True)
     g[np.arange(len(k)), k] += 1
-    for t in range(f.shape[1]):
-        order = np.argsort(f[:, t], kind="stable")
-        rows, first, n = np.unique(f[order, t], return_index=True, return_counts=True)
-        weights[rows] += np.add.reduceat(g[order], first, axis=0) * (rate / (n + 2.0)).astype(np.float32)[:, None]
+    for t in range(len(f)):
+        order = np.argsort(f[t], kind="stable")  # by radix, of 16-bit numbers
+        s = f[t][order]
+        first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+        rows = s[first].astype(np.int64) + STARTS[t]
+        n = np.diff(np.append(first, len(s)))
+        weights[rows] += np.add.reduceat(g.take(order, axis=0), first, axis=0) * (rate / (n + 2.0)).astype(np.float32)[:, None]
         seen[rows] += n
 
 
@@ -164,7 +166,7 @@ def gradient_round(texts: DataFrame, model: MaxEnt, batch: int, rate: float) ->
             for _, h, starts in chunks(b.column(1), hashes):
                 f, k = features(h, starts), (h & np.uint64(CLASSES - 1)).astype(np.int64)
                 for s in range(0, len(h), batch):
-                    update(weights, seen, bias, f[s : s + batch], k[s : s + batch], rate / math.sqrt(1 + step / 400))
+                    update(weights, seen, bias, f[:, s : s + batch], k[s : s + batch], rate / math.sqrt(1 + step / 400))
                     step += 1
         if step:
             n = seen.astype(np.float32)[:, None]
@@ -183,7 +185,7 @@ def gradient_round(texts: DataFrame, model: MaxEnt, batch: int, rate: float) ->
 
 
 def score_documents(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: tuple[int, int] = (7, 2), rounds: int = 1, batch: int = 4096, rate: float = 1.5, head_words: int = 1 << 20
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: tuple[int, int] = (7, 2), rounds: int = 1, batch: int = 8192, rate: float = 1.5, head_words: int = 1 << 19
 ) -> DataFrame:
     """``(id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` of every document.
 
@@ -207,10 +209,11 @@ def score_documents(
         if held > head_words:
             break
         least = r["c"]
-    head = counts.filter(F.col("c") >= least).toPandas() if least < 1 << 62 else pd.DataFrame({"h": [], "c": []})  # at most head_words rows
-    hh = head["h"].to_numpy(np.int64).view(np.uint64)
+    head = counts.filter(F.col("c") >= least).toArrow()  # at most head_words rows
+    hh, hc = (head.column(c).to_numpy() for c in ("h", "c"))
+    hh = hh.view(np.uint64)
     order = np.argsort(hh)
-    hh, hc = hh[order], head["c"].to_numpy(np.int64)[order]
+    hh, hc = hh[order], hc[order]
     if model.n_tokens:
         for _ in range(rounds):
             model.weights = gradient_round(train, model, batch, rate)
@@ -230,7 +233,7 @@ def score_documents(
                 f, k = features(h, starts), (h & np.uint64(CLASSES - 1)).astype(np.int64)
                 logp = np.empty(len(h))
                 for s in range(0, len(h), 8192):
-                    z = class_logits(weights, bias, f[s : s + 8192])
+                    z = class_logits(weights, bias, f[:, s : s + 8192])
                     logp[s : s + 8192] = (z[np.arange(len(z)), k[s : s + 8192]] - np.log(np.exp(z).sum(axis=1))) / ln10
                 u, inv = np.unique(h, return_inverse=True)
                 at = np.minimum(np.searchsorted(hh, u), max(len(hh) - 1, 0))
