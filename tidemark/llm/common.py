@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,23 +62,6 @@ def remainder(id_col: str, n: int):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % F.lit(n)
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, remembered up to a bound."""
-
-    def __init__(self, seed: int = 0, bound: int = 600_000):
-        super().__init__()
-        self.seed, self.bound = seed, bound
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.bound:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word, self.seed)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def mixed(h: np.ndarray) -> np.ndarray:
     """A bijection on 64 bits that spreads every input bit."""
     h = h ^ (h >> np.uint64(31))
@@ -99,6 +82,58 @@ def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
     return mixed(h)
 
 
+_BASE = 0x5851F42D4C957F2D
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_IS_SPACE = np.zeros(256, bool)
+_IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2**64."""
+    if len(_POWERS[0]) < n:
+        size = 1 << (n - 1).bit_length()
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            p = np.full(size, base, np.uint64)
+            p[0] = 1
+            _POWERS[k] = np.cumprod(p)
+    return _POWERS
+
+
+class Words:
+    """All words of a run of texts: ``hashes``, byte positions ``first`` and ``end`` in ``data``, and ``count`` by text.
+
+    Words are runs of bytes other than the six spaces, with A-Z lowered.  A word's hash is a
+    polynomial in its bytes, from prefix sums over all texts at once, mixed with its length.
+    """
+
+    def __init__(self, bodies: list[bytes]):
+        self.data = np.frombuffer(b"\n".join([*bodies, b""]).lower(), np.uint8)
+        space = _IS_SPACE[self.data]
+        edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+        if len(self.data) and not space[0]:
+            edge = np.concatenate(([0], edge))
+        self.first, self.end = edge[0::2], edge[1::2]
+        up, down = _powers(len(self.data) + 1)
+        sums = np.zeros(len(self.data) + 1, np.uint64)
+        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[: len(self.data)], out=sums[1:])
+        self.hashes = mixed((sums[self.end] - sums[self.first]) * down[self.first] + (self.end - self.first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        ends = np.cumsum([len(x) + 1 for x in bodies])
+        self.count = np.diff(np.searchsorted(self.first, np.concatenate(([0], ends))))
+
+
+def word_runs(bodies: Iterator[bytes], size: int = 1 << 20) -> Iterator[tuple[list[bytes], Words]]:
+    """The texts in runs of about ``size`` bytes, each with its words."""
+    held, n = [], 0
+    for body in bodies:
+        held.append(body)
+        n += len(body) + 1
+        if n >= size:
+            yield held, Words(held)
+            held, n = [], 0
+    if held:
+        yield held, Words(held)
+
+
 def tree_summed(made: DataFrame, parts: int, dtype, join=np.add, fan: int = 64) -> DataFrame:
     """``(block, body)`` arrays of all tasks joined block by block, at most ``fan`` copies at a time.
 

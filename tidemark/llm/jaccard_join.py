@@ -8,10 +8,12 @@ order of shingles their first ``|x| - ceil(t |x|) + l`` shingles have at least `
   documents; the sketch changes costs, never results.
 * Prefix: each text starts with ``l = 1``; the more candidates the sketch lets expect from its
   prefix, the larger ``l``.  A pair is a candidate when it shares min(l_x, l_y) prefix shingles.
-* Verification: components are what is asked for, so candidates are taken in two rounds.  First
-  every class meets the classes that lead its prefix lists; components of these links are formed.
-  Then all candidate pairs of classes in different components, of which groups of near copies
-  leave few, are verified.  Pairs inside a component can't change it and are not listed.
+* Bound: of two prefixes the one that ends first in the order holds all that it shares with the
+  other text, so a pair that shares ``s`` prefix shingles shares at most ``s`` plus the longer rest.
+* Verification: components are what is asked for, so candidates are taken in rounds.  In each star
+  round every component meets a few classes that lead its prefix lists, others each time; links join
+  components.  At last all candidate pairs of classes in different components, of which groups of
+  near copies leave few, are verified.  Pairs inside a component can't change it and are not listed.
 
 Nulls: a null text has an empty set and links with nothing; a null id takes part and its row's
 component is that of its text.  Equal rows are one class.  An empty table gives an empty result.
@@ -23,11 +25,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, drop_written, id_and_bytes, mixed, n_partitions, tree_summed, window_hashes, written
+from .common import drop_written, id_and_bytes, mixed, n_partitions, tree_summed, window_hashes, word_runs, written
 from .graph import components
 
 SKETCH_BITS = 20
@@ -37,61 +41,80 @@ BLOOM_BITS = 26
 COSTS = (64, 512, 4096, 32768)
 #: Lists of shingles that the sketch holds for frequent are led by as many classes at once.
 SALTS = 16
-
-
-def shingle_set(body: bytes, hashes: WordHashes, width: int) -> np.ndarray:
-    """Sorted distinct shingle hashes of a text."""
-    words = hashes.of(body.lower().split())
-    if 0 < len(words) < width:
-        return window_hashes(words, len(words)) ^ np.uint64(0x5851F42D4C957F2D * len(words) & (1 << 64) - 1)
-    return np.unique(window_hashes(words, width))
+#: Pairs of a component in a star round; what they leave open comes to the last round.
+STAR_PAIRS = 4
+
+
+def shingle_sets(bodies, width: int) -> Iterator[np.ndarray]:
+    """The sorted distinct shingle hashes of each text."""
+    for held, words in word_runs(bodies):
+        every = window_hashes(words.hashes, width)
+        at = 0
+        for n in words.count.tolist():
+            if n >= width:
+                s = np.sort(every[at : at + n - width + 1])
+                yield s[np.concatenate(([True], s[1:] != s[:-1]))]
+            elif n:
+                yield window_hashes(words.hashes[at : at + n], n) ^ np.uint64(0x5851F42D4C957F2D * n & (1 << 64) - 1)
+            else:
+                yield words.hashes[:0]
+            at += n
 
 
 def class_of(s: np.ndarray) -> int:
     """A hash of a set as a signed 64-bit number."""
-    parts = np.array([int(s.sum(dtype=np.uint64)), int(np.bitwise_xor.reduce(s)), len(s)], np.uint64)
-    parts = mixed(parts * np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64))
-    h = mixed(parts[:1] ^ (parts[1:2] << np.uint64(1)) ^ (parts[2:] << np.uint64(2)))
-    return int(h.view(np.int64)[0])
+    mask = (1 << 64) - 1
+    h = int(s.sum(dtype=np.uint64)) * 0x9E3779B97F4A7C15 & mask
+    h = (h ^ h >> 31 ^ int(np.bitwise_xor.reduce(s)) * 0xC2B2AE3D27D4EB4F ^ len(s)) * 0xBF58476D1CE4E5B9 & mask
+    h ^= h >> 29
+    return h - (1 << 64) if h >> 63 else h
+
+
+def row_key(ident, body: bytes) -> int:
+    """A hash of a row as a signed 64-bit number: equal rows alone share it."""
+    return xxhash.xxh3_64_intdigest(body, seed=xxhash.xxh32_intdigest(str(ident))) - (1 << 63)
 
 
 def _members(texts: DataFrame, width: int, kind: str) -> tuple[DataFrame, np.ndarray]:
-    """``(id, class, n)`` of every row, and the sketch of shingle frequencies; one pass over the texts."""
+    """``(id, class, n, key)`` of every row, and the sketch of shingle frequencies; one pass over the texts."""
+    names = ["id", "class", "n", "key", "block", "body"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, sketch = WordHashes(), np.zeros(1 << SKETCH_BITS, np.int64)
-        names = ["id", "class", "n", "block", "body"]
+        sketch = np.zeros(1 << SKETCH_BITS, np.int64)
+        kind = None
         for b in batches:
-            cls, n = [], []
-            held, size = [], 0
-            for body in b.column(1):
-                s = shingle_set(body.as_py(), hashes, width)
+            kind, bodies = b.column(0).type, b.column(1).to_pylist()
+            cls, n, held, size = [], [], [], 0
+            for s in shingle_sets(bodies, width):
                 cls.append(class_of(s) if len(s) else None)
                 n.append(len(s))
                 held.append(s)
                 size += len(s)
-                if size > 200_000:
-                    sketch += np.bincount((np.concatenate(held) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch))
+                if size > 1_000_000:
+                    sketch += _counted(held)
                     held, size = [], 0
             if size:
-                sketch += np.bincount((np.concatenate(held) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cls, pa.int64()), pa.array(n, pa.int64()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names)
-        blocks = sketch.reshape(-1, BLOCK)
+                sketch += _counted(held)
+            keys = [row_key(i, x) for i, x in zip(b.column(0).to_pylist(), bodies)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cls, pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names)
         if sketch.any():
+            blocks = sketch.reshape(-1, BLOCK)
             k = len(blocks)
-            yield pa.RecordBatch.from_arrays([pa.nulls(k, b.column(0).type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(range(k), pa.int32()), pa.array([x.astype(np.int32).tobytes() for x in blocks], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(k, kind), *(pa.nulls(k, pa.int64()) for _ in range(3)), pa.array(range(k), pa.int32()), pa.array([x.astype(np.int32).tobytes() for x in blocks], pa.binary())], names)
 
-    made = written(texts.mapInArrow(run, f"id {kind}, class long, n long, block int, body binary").withColumn("part", F.spark_partition_id()), "classes")
+    made = written(texts.mapInArrow(run, f"id {kind}, class long, n long, key long, block int, body binary").withColumn("part", F.spark_partition_id()), "classes")
     sketch = np.zeros(1 << SKETCH_BITS, np.int64)
-    arrays = made.filter(F.col("block").isNotNull()).select("block", F.expr("transform(array(body), x -> x)[0]").alias("body"), "part")
-    for r in tree_summed_by(arrays, n_partitions(texts)).collect():  # the sketch
+    for r in _summed_counts(made.filter(F.col("block").isNotNull()).select("block", "body", "part"), n_partitions(texts)).collect():  # the sketch
         sketch[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(bytes(r["body"]), np.int64)
-    return made.filter(F.col("block").isNull()).select("id", "class", "n"), sketch
+    return made.filter(F.col("block").isNull()).select("id", "class", "n", "key"), sketch
 
 
-def tree_summed_by(arrays: DataFrame, parts: int) -> DataFrame:
+def _counted(sets: list[np.ndarray]) -> np.ndarray:
+    return np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
+
+
+def _summed_counts(arrays: DataFrame, parts: int) -> DataFrame:
     """As ``tree_summed`` for 32-bit counts that were written with their partition; sums are 64-bit."""
-    import pandas as pd
 
     def wide(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(BLOCK, np.int64)
@@ -106,21 +129,24 @@ def tree_summed_by(arrays: DataFrame, parts: int) -> DataFrame:
             return arrays.select("block", "body")
 
 
+def excess_of(sketch: np.ndarray) -> np.ndarray:
+    """Documents of a bucket beyond what chance explains."""
+    mean = float(sketch.mean())
+    return np.maximum(sketch - mean - 3 * mean**0.5 - 1, 0).astype(np.float32)
+
+
 def levels_of(sketch: np.ndarray) -> np.ndarray:
-    """0 for a bucket of ordinary size, then by powers of two over the mean."""
-    mean = max(sketch.mean(), 1.0)
-    return np.maximum(0, np.floor(np.log2(np.maximum(sketch - 1.5 * mean, 1.0) / max(mean**0.5, 8.0)))).astype(np.int8)
+    """0 for a bucket of ordinary size, then by powers of two of its excess."""
+    return np.floor(np.log2(np.maximum(excess_of(sketch), 0.5)) + 1).astype(np.int8)
 
 
 def _prefixes(texts: DataFrame, width: int, percent: int, sketch: np.ndarray) -> DataFrame:
     """``(t, salt, c, n, l)``: the prefix shingles of every class, its size and the matches it asks for."""
-    mean = float(sketch.mean())
-    level = levels_of(sketch)
-    expected = np.maximum(sketch - 1.5 * mean - 8, 0).astype(np.float32)
+    level, expected = levels_of(sketch), excess_of(sketch)
     shared = texts.sparkSession.sparkContext.broadcast((level, expected))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = WordHashes(), set()
+        seen: set[int] = set()
         level, expected = shared.value
         out: list[tuple[np.ndarray, int, int, int]] = []
         size = 0
@@ -128,14 +154,13 @@ def _prefixes(texts: DataFrame, width: int, percent: int, sketch: np.ndarray) ->
         def rows() -> pa.RecordBatch:
             t = np.concatenate([x[0] for x in out])
             c, n, need = (np.repeat([x[k] for x in out], [len(x[0]) for x in out]) for k in (1, 2, 3))
-            hot = level[(t >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] > 3
+            hot = level[(t >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] > 8
             salt = np.where(hot, 1 + (c.astype(np.int64).view(np.uint64) % np.uint64(SALTS)).astype(np.int64), 0)
             out.clear()
             return pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(salt.astype(np.int32)), pa.array(c.astype(np.int64)), pa.array(n.astype(np.int32)), pa.array(need.astype(np.int32))], ["t", "salt", "c", "n", "l"])
 
         for b in batches:
-            for body in b.column(1):
-                s = shingle_set(body.as_py(), hashes, width)
+            for s in shingle_sets(b.column(1).to_pylist(), width):
                 if not len(s) or (c := class_of(s)) in seen:
                     continue
                 if len(seen) > 1_000_000:
@@ -159,47 +184,37 @@ def _prefixes(texts: DataFrame, width: int, percent: int, sketch: np.ndarray) ->
 
 
 def _lists(prefixes: DataFrame) -> DataFrame:
-    """Rows whose shingle stands in two classes at least, with the class that leads their (shingle, salt) list.
+    """``(t, c, n, l)`` of the rows whose shingle stands in two classes at least.
 
     Lists lie sorted in partitions and are read as a stream of batches; none is ever held whole.
+    Very frequent shingles are dealt to several partitions and all their rows given out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # the last row of the batch before, not yet given out if it was alone; and its leader
-
-        def out(t, salt, c, n, need, lead) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (t, salt, c, n, need, lead)], ["t", "salt", "c", "n", "l", "lead"])
+        last = None  # the last row of the batch before, and whether it is given out
 
         for b in batches:
-            t, salt, c, n, need = (b.column(k).to_numpy(zero_copy_only=False) for k in range(5))
-            if not len(t):
+            if not b.num_rows:
                 continue
-            head = 0
+            t, salt, c, n, need = (b.column(k).to_numpy(zero_copy_only=False) for k in range(5))
             if last is not None:
-                t, salt, c, n, need = (np.concatenate(([x], y)) for x, y in zip(last[:5], (t, salt, c, n, need)))
-                head = 1
-            new = np.ones(len(t), bool)
-            new[1:] = (t[1:] != t[:-1]) | (salt[1:] != salt[:-1])
-            group = np.cumsum(new) - 1
-            lead = c[np.flatnonzero(new)][group]  # sorted by class within a list
-            size = np.bincount(group)[group]
-            if head:
-                lead[group == 0] = last[5]
-            keep = (size > 1) | (salt > 0)
-            if head and last[6]:
-                keep[0] = False  # given out before
-                keep[(group == 0) & (np.arange(len(t)) > 0)] = True
-            given = bool(keep[-1]) or (len(t) == 1 and head and last[6])
-            last = (t[-1], salt[-1], c[-1], n[-1], need[-1], lead[-1], given)
+                t, salt, c, n, need = (np.concatenate(([x], y)) for x, y in zip(last[0], (t, salt, c, n, need)))
+            same = (t[1:] == t[:-1]) & (salt[1:] == salt[:-1])
+            keep = salt > 0
+            keep[1:] |= same
+            keep[:-1] |= same
+            given = bool(keep[-1])
+            if last is not None and last[1]:
+                keep[0] = False
+            last = ((t[-1], salt[-1], c[-1], n[-1], need[-1]), given)
             if keep.any():
-                yield out(*(x[keep] for x in (t, salt, c, n, need, lead)))
+                yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (t, c, n, need)], ["t", "c", "n", "l"])
 
-    dealt = prefixes.repartition("t", "salt").sortWithinPartitions("t", "salt", "c")
-    return dealt.mapInArrow(run, "t long, salt int, c long, n int, l int, lead long")
+    return prefixes.repartition("t", "salt").sortWithinPartitions("t", "salt", "c").mapInArrow(run, "t long, c long, n int, l int")
 
 
-def _bloom(classes: DataFrame) -> np.ndarray:
-    """A bit field of fixed size in which all classes' bits are set."""
+def _bloom(keys: DataFrame) -> np.ndarray:
+    """A bit field of fixed size in which all keys' bits are set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(1 << BLOOM_BITS - 3, np.uint8)
@@ -211,90 +226,129 @@ def _bloom(classes: DataFrame) -> np.ndarray:
         if len(full):
             yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([blocks[k].tobytes() for k in full], pa.binary())], ["block", "body"])
 
-    few = classes.coalesce(8)
     bits = np.zeros(1 << BLOOM_BITS - 3, np.uint8)
-    for r in tree_summed(few.mapInArrow(run, "block int, body binary"), 8, np.uint8, np.bitwise_or).collect():
+    for r in tree_summed(keys.repartition(8).mapInArrow(run, "block int, body binary"), 8, np.uint8, np.bitwise_or).collect():
         bits[r["block"] << 14 : (r["block"] + 1) << 14] = np.frombuffer(bytes(r["body"]), np.uint8)
     return bits
 
 
+def packed(s: np.ndarray) -> bytes:
+    """The leading 40 bits of each hash; two sets of a thousand shingles differ in what they share with odds of one in a million."""
+    top = np.unique(s >> np.uint64(24))
+    return (top >> np.uint64(8)).astype("<u4").tobytes() + (top & np.uint64(255)).astype(np.uint8).tobytes()
+
+
+def unpacked(x: bytes) -> np.ndarray:
+    n = len(x) // 5
+    return np.frombuffer(x, "<u4", n).astype(np.uint64) << np.uint64(8) | np.frombuffer(x, np.uint8, n, 4 * n)
+
+
 def _sets(texts: DataFrame, width: int, bits: np.ndarray) -> DataFrame:
-    """``(c, s)``: the sets of the classes whose bit is set, sorted, as signed numbers; a class may come from several tasks."""
+    """``(c, s)``: the packed sets of the rows whose key's bit is set; other texts aren't cut into words."""
     shared = texts.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen, bits = WordHashes(), set(), shared.value
+        seen, bits = set(), shared.value
         for b in batches:
+            bodies = b.column(1).to_pylist()
+            at = mixed(np.array([row_key(i, x) for i, x in zip(b.column(0).to_pylist(), bodies)], np.int64).view(np.uint64)) >> np.uint64(64 - BLOOM_BITS)
+            hit = bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1
             cs, sets, size = [], [], 0
-            for body in b.column(1):
-                s = shingle_set(body.as_py(), hashes, width)
+            for s in shingle_sets((bodies[k] for k in np.flatnonzero(hit)), width):
                 if not len(s) or (c := class_of(s)) in seen:
                     continue
-                at = int(mixed(np.array([c], np.int64).view(np.uint64))[0] >> np.uint64(64 - BLOOM_BITS))
-                if not bits[at >> 3] >> (at & 7) & 1:
-                    continue
                 if len(seen) > 1_000_000:
                     seen.clear()
                 seen.add(c)
                 cs.append(c)
-                sets.append(s.view(np.int64))
-                size += len(s)
-                if size > 500_000:
-                    yield _set_batch(cs, sets)
+                sets.append(packed(s))
+                size += len(sets[-1])
+                if size > 4_000_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(cs, pa.int64()), pa.array(sets, pa.binary())], ["c", "s"])
                     cs, sets, size = [], [], 0
             if cs:
-                yield _set_batch(cs, sets)
-
-    return texts.mapInArrow(run, "c long, s array<long>")
+                yield pa.RecordBatch.from_arrays([pa.array(cs, pa.int64()), pa.array(sets, pa.binary())], ["c", "s"])
 
+    return texts.mapInArrow(run, "c long, s binary")
 
-def _set_batch(cs: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
-    offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(cs, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))], ["c", "s"])
 
-
-def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
     """Those of ``pairs (a, b)`` that link, by their whole sets."""
-    needed = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
-    sets = written(_sets(texts, width, _bloom(needed)), "sets")
-    left, right = sets.dropDuplicates(["c"]), sets.dropDuplicates(["c"])
-    met = pairs.join(left.select(F.col("c").alias("a"), F.col("s").alias("x")), "a").join(right.select(F.col("c").alias("b"), F.col("s").alias("y")), "b")
-    both = F.size(F.array_intersect("x", "y"))
-    links = written(met.filter(100 * both >= percent * (F.size("x") + F.size("y") - both)).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+    needed = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
+    sets = written(_sets(texts, width, _bloom(needed.join(reps, "class").select("key"))), "sets")
+    met = pairs.join(sets.select(F.col("c").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("c").alias("b"), F.col("s").alias("y")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2), b.column(3)):
+                x, y = unpacked(x.as_py()), unpacked(y.as_py())
+                if len(x) > len(y):
+                    x, y = y, x
+                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    links = written(met.select("a", "b", "x", "y").mapInArrow(run, "u long, v long"), "links")
     drop_written(sets)
     return links
 
 
-def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
+def _possible(percent: int):
+    """Whether ``s`` shared prefix shingles leave a pair (n, l) and (n2, l2) the overlap that a link needs."""
+    rest = lambda n, l: F.ceil(F.col(n) * percent / 100) - F.col(l)
+    needed = F.ceil((F.col("n") + F.col("n2")) * percent / (100 + percent))
+    return (F.col("s") >= F.least("l", "l2")) & (F.col("s") + F.greatest(rest("n", "l"), rest("n2", "l2")) >= needed)
+
+
+def _leader_pairs(placed: DataFrame, turn: int, percent: int) -> DataFrame:
+    """For every component a few pairs ``(a, b)``: a class of it and a class of another that leads most of its lists, if they may link."""
+    order = F.xxhash64("c", F.lit(turn))
+    leads = placed.groupBy("t").agg(F.min_by(F.struct("c", "n", "l", "k"), order).alias("lead"), F.min("k").alias("k0"), F.max("k").alias("k1")).filter("k0 <> k1")
+    leads = leads.select("t", F.col("lead.c").alias("c2"), F.col("lead.n").alias("n2"), F.col("lead.k").alias("k2"))
+    near = placed.join(leads, "t").filter((F.col("k") != F.col("k2")) & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")))
+    counted = near.groupBy("k", "c", "c2").agg(F.count(F.lit(1)).alias("m")).groupBy("k", "c2").agg(F.max_by("c", F.struct("m", "c")).alias("c"), F.max("m").alias("m"))
+    nth = F.row_number().over(Window.partitionBy("k").orderBy(F.desc("m"), "c2"))  # a component meets the few classes that lead its lists
+    best = counted.withColumn("nth", nth).filter(F.col("nth") <= STAR_PAIRS).select("c", "c2").distinct()
+    # what the two share in all, not only where the second leads
+    own = best.join(placed.select("c", "t", "n", "l"), "c")
+    met = own.join(placed.select(F.col("c").alias("c2"), "t", F.col("n").alias("n2"), F.col("l").alias("l2")), ["c2", "t"])
+    return met.groupBy("c", "c2", "n", "n2", "l", "l2").agg(F.count(F.lit(1)).alias("s")).filter(_possible(percent)).select(F.col("c").alias("a"), F.col("c2").alias("b"))
+
+
+def _open_pairs(placed: DataFrame, percent: int) -> DataFrame:
+    """All pairs of classes in different components that may link."""
+    open_lists = placed.groupBy("t").agg(F.min("k").alias("k0"), F.max("k").alias("k1")).filter("k0 <> k1").select("t")
+    x = placed.join(open_lists, "t")
+    y = x.select("t", F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("l").alias("l2"), F.col("k").alias("k2"))
+    met = x.join(y, "t").filter((F.col("c") < F.col("c2")) & (F.col("k") != F.col("k2")) & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")))
+    return met.groupBy("c", "c2", "n", "n2", "l", "l2").agg(F.count(F.lit(1)).alias("s")).filter(_possible(percent)).select(F.col("c").alias("a"), F.col("c2").alias("b"))
+
+
+def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, star_rounds: int = 3) -> DataFrame:
     """``(id, n_shingles, component)`` of every document: rows of one component reach each other by links."""
     kind = docs.schema[id_col].dataType.simpleString()
     texts = id_and_bytes(docs, id_col, text_col)
     members, sketch = _members(texts, width, kind)
-    lists = written(_lists(_prefixes(texts, width, percent, sketch)), "lists")
-
-    fits = (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
-    led = lists.groupBy("c", "lead").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("c") != F.col("lead"))
-    first = led.groupBy("c").agg(F.max_by("lead", F.struct("shared", "lead")).alias("lead")).select(F.col("c").alias("a"), F.col("lead").alias("b"))
-    over = lists.filter("salt > 0").groupBy("t", "salt").agg(F.min("lead").alias("lead"))  # leaders of the salted parts of one list meet
-    tops = over.groupBy("t").agg(F.min("lead").alias("top"))
-    across = over.join(tops, "t").filter("lead <> top").select(F.col("lead").alias("a"), F.col("top").alias("b"))
-    star = written(first.union(across).distinct(), "pairs")
-    links = _verified(star, texts, width, percent)
-
-    parts = written(components(links), "components")
-    placed = lists.select("t", "c", "n", "l").join(parts.withColumnRenamed("v", "c"), "c", "left").withColumn("k", F.coalesce("component", "c")).select("t", "c", "n", "l", "k")
-    placed = written(placed, "placed")
-    open_lists = placed.groupBy("t").agg(F.min("k").alias("k0"), F.max("k").alias("k1")).filter("k0 <> k1").select("t")
-    some = placed.join(open_lists, "t")
-    x, y = some, some.select("t", F.col("c").alias("d"), F.col("n").alias("m"), F.col("l").alias("l2"), F.col("k").alias("k2"))
-    rest = x.join(y, "t").filter((F.col("c") < F.col("d")) & (F.col("k") != F.col("k2")) & fits)
-    rest = rest.groupBy("c", "d").agg(F.count(F.lit(1)).alias("shared"), F.least(F.first("l"), F.first("l2")).alias("need")).filter(F.col("shared") >= F.col("need"))
-    rest = written(rest.select(F.col("c").alias("a"), F.col("d").alias("b")), "pairs")
-    if not rest.isEmpty():
-        more = _verified(rest, texts, width, percent)
-        parts = components(links.union(more))
-    for t in (lists, star, placed, rest):
-        drop_written(t)
+    reps = members.filter(F.col("class").isNotNull()).groupBy("class").agg(F.min("key").alias("key"))
+    lists = written(_lists(_prefixes(texts, width, percent, sketch)).distinct(), "lists")
+
+    placed, links, parts = lists.withColumn("k", F.col("c")), None, None
+    for turn in range(star_rounds + 1):
+        last = turn == star_rounds
+        pairs = written(_open_pairs(placed, percent) if last else _leader_pairs(placed, turn, percent), "pairs")
+        if pairs.isEmpty():
+            if last:
+                break
+            continue
+        found = _verified(pairs, texts, reps, width, percent)
+        drop_written(pairs)
+        links = found if links is None else links.union(found)
+        parts = written(components(links), "components")
+        if not last:
+            placed = written(lists.join(parts.withColumnRenamed("v", "c"), "c", "left").select("t", "c", "n", "l", F.coalesce("component", "c").alias("k")), "placed")
+    if parts is None:
+        return members.select("id", F.col("n").alias("n_shingles"), F.col("class").alias("component"))
     return members.join(parts.withColumnRenamed("v", "class"), "class", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "class").alias("component"))
 
 

@@ -27,48 +27,38 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, id_and_bytes, n_partitions, remainder, tree_summed, written
+from .common import id_and_bytes, n_partitions, remainder, tree_summed, word_runs, written
 
 CLASSES = 32
 #: Rows of the weight table by template: previous word; three preceding classes; the word before the previous; classes two to four back.
 ROWS = (1 << 13, 1 << 14, 1 << 12, 1 << 12)
 STARTS = tuple(int(x) for x in np.cumsum((0, *ROWS[:-1])))
 BLOCK = 256
-CHUNK = 200_000
-END = np.uint64(xxhash.xxh3_64_intdigest(b"\n") & ~(CLASSES - 1) & (1 << 64) - 1)
+END = np.uint64(0x2545F4914F6CDD1D & ~(CLASSES - 1))  # the end token's hash, of class 0
 #: Characters that don't belong to a word's ending.
-MARKS = b".,;:!?\"'()[]|#$%&*"
+_IS_MARK = np.zeros(256, bool)
+_IS_MARK[list(b".,;:!?\"'()[]|#$%&*")] = True
 
 
-class ClassedHashes(WordHashes):
-    """Word hashes whose lowest five bits are the word's class, from 1 on."""
+def chunks(bodies) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """``(documents, token hashes, first token of each document)`` for runs of whole documents.
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.bound:
-            self.clear()
-        ending = word.rstrip(MARKS)[-2:]
-        h = self[word] = (xxhash.xxh3_64_intdigest(word) & ~(CLASSES - 1)) | (1 + zlib.crc32(ending) % (CLASSES - 1))
-        return h
-
-
-def chunks(bodies, hashes: ClassedHashes) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """``(documents, token hashes, first token of each document)`` for runs of whole documents; each ends with the end token."""
-    parts, starts, size = [], [], 0
-    for body in bodies:
-        words = hashes.of(body.as_py().lower().split())
-        starts.append(size)
-        parts += words, np.array([END])
-        size += len(words) + 1
-        if size >= CHUNK:
-            yield len(starts), np.concatenate(parts), np.array(starts)
-            parts, starts, size = [], [], 0
-    if starts:
-        yield len(starts), np.concatenate(parts), np.array(starts)
+    The lowest five bits of a hash are the word's class, from 1 on, by its last two bytes without
+    marks; each document ends with the end token.
+    """
+    for held, w in word_runs(x.as_py() for x in bodies):
+        last = w.end
+        for _ in range(3):
+            last = last - (_IS_MARK[w.data[last - 1]] & (last - 1 > w.first))
+        ending = w.data[last - 1].astype(np.uint64) * np.uint64(257) + np.where(last - 1 > w.first, w.data[last - 2], 0).astype(np.uint64)
+        k = np.uint64(1) + (ending * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(CLASSES - 1)
+        starts = np.concatenate(([0], np.cumsum(w.count + 1)[:-1])).astype(np.int64)
+        h = np.full(len(w.hashes) + len(held), END, np.uint64)
+        h[np.arange(len(w.hashes)) + np.repeat(np.arange(len(held)), w.count)] = w.hashes & ~np.uint64(CLASSES - 1) | k
+        yield len(held), h, starts
 
 
 def features(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -133,7 +123,6 @@ def word_counts(texts: DataFrame) -> DataFrame:
     """``(h, c)``: occurrences of each token, ends included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = ClassedHashes()
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def merged() -> pa.RecordBatch:
@@ -144,7 +133,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(np.add.reduceat(c[order], first))], ["h", "c"])
 
         for b in batches:
-            for _, h, _ in chunks(b.column(1), hashes):
+            for _, h, _ in chunks(b.column(1)):
                 held.append(np.unique(h, return_counts=True))
                 if len(held) == 40:
                     yield merged()
@@ -159,11 +148,11 @@ def gradient_round(texts: DataFrame, model: MaxEnt, batch: int, rate: float) ->
     shared = texts.sparkSession.sparkContext.broadcast((model.weights, model.bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, step = ClassedHashes(), 0
+        step = 0
         weights, bias = shared.value[0].copy(), shared.value[1]
         seen = np.zeros(len(weights), np.int64)
         for b in batches:
-            for _, h, starts in chunks(b.column(1), hashes):
+            for _, h, starts in chunks(b.column(1)):
                 f, k = features(h, starts), (h & np.uint64(CLASSES - 1)).astype(np.int64)
                 for s in range(0, len(h), batch):
                     update(weights, seen, bias, f[:, s : s + batch], k[s : s + batch], rate / math.sqrt(1 + step / 400))
@@ -225,11 +214,10 @@ def score_documents(
     ln10 = math.log(10)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = ClassedHashes()
         hh, hc, weights, bias, in_class = shared.value
         for b in batches:
             row = 0
-            for docs_in, h, starts in chunks(b.column(1), hashes):
+            for docs_in, h, starts in chunks(b.column(1)):
                 f, k = features(h, starts), (h & np.uint64(CLASSES - 1)).astype(np.int64)
                 logp = np.empty(len(h))
                 for s in range(0, len(h), 8192):
