@@ -111,13 +111,13 @@ def dm_conclusion(tests: DataFrame, alpha: float = 0.05) -> DataFrame:
 def acf(df: DataFrame, value: str, by: list[str], max_lag: int, order: str = TIMESTAMP) -> DataFrame:
     """Biased autocorrelations for lags 0 to ``max_lag`` with the 95 % bound."""
     all_rows = Window.partitionBy(*by)
-    z = df.select(*by, order, (F.col(value) - F.avg(value).over(all_rows)).alias("z"))
-    before = F.collect_list("z").over(Window.partitionBy(*by).orderBy(order).rowsBetween(-max_lag, 0))
-    pairs = z.withColumn("before", F.reverse(before)).select(*by, "z", F.posexplode("before").alias("lag", "earlier"))
-    g = pairs.groupBy(*by, "lag").agg(F.sum(F.col("z") * F.col("earlier")).alias("g"), F.count(F.lit(1)).alias("m"))
+    z = df.select(*by, order, (F.col(value) - F.avg(value).over(all_rows)).alias("z_"))
+    before = F.collect_list("z_").over(Window.partitionBy(*by).orderBy(order).rowsBetween(-max_lag, 0))
+    pairs = z.withColumn("before", F.reverse(before)).select(*by, "z_", F.posexplode("before").alias("lag", "earlier"))
+    g = pairs.groupBy(*by, "lag").agg(F.sum(F.col("z_") * F.col("earlier")).alias("sum_"), F.count(F.lit(1)).alias("count_"))
     first = Window.partitionBy(*by).orderBy("lag").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    n = F.max("m").over(Window.partitionBy(*by))
-    out = g.withColumn("acf", F.try_divide(F.col("g"), F.first("g").over(first))).withColumn("n", n)
+    n = F.max("count_").over(Window.partitionBy(*by))
+    out = g.withColumn("acf", F.try_divide(F.col("sum_"), F.first("sum_").over(first))).withColumn("n", n)
     bound = 1.96 / F.sqrt("n")
     return out.select(*by, "lag", "acf", "n", bound.alias("bound"), ((F.col("lag") > 0) & (F.abs("acf") > bound)).alias("exceeds"))
 
