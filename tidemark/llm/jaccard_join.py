@@ -10,6 +10,8 @@ order of shingles their first ``|x| - ceil(t |x|) + l`` shingles have at least `
   prefix, the larger ``l``.  A pair is a candidate when it shares min(l_x, l_y) prefix shingles.
 * Bound: of two prefixes the one that ends first in the order holds all that it shares with the
   other text, so a pair that shares ``s`` prefix shingles shares at most ``s`` plus the longer rest.
+* Early prefix: a link's overlap is at least ``2t / (1 + t)`` of the smaller set, so the first
+  ``|x| - that + 1`` shingles of the smaller meet the larger's prefix; pairs come from those alone.
 * Verification: components are what is asked for, so candidates are taken in rounds.  In each star
   round every component meets a few classes that lead its prefix lists, others each time; links join
   components.  At last all candidate pairs of classes in different components, of which groups of
@@ -141,20 +143,24 @@ def levels_of(sketch: np.ndarray) -> np.ndarray:
 
 
 def _prefixes(texts: DataFrame, width: int, percent: int, sketch: np.ndarray) -> DataFrame:
-    """``(t, salt, c, n, l)``: the prefix shingles of every class, its size and the matches it asks for."""
+    """``(t, salt, c, n, l)``: the prefix shingles of every class, its size, and twice the matches it asks for, plus 1 in its early prefix.
+
+    The early prefix is what the smaller of two linked sets can't have without meeting the other's prefix.
+    """
     level, expected = levels_of(sketch), excess_of(sketch)
     shared = texts.sparkSession.sparkContext.broadcast((level, expected))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         level, expected = shared.value
-        out: list[tuple[np.ndarray, int, int, int]] = []
+        out: list[tuple[np.ndarray, int, int, int, int]] = []
         size = 0
 
         def rows() -> pa.RecordBatch:
             t = np.concatenate([x[0] for x in out])
             c, n, need = (np.repeat([x[k] for x in out], [len(x[0]) for x in out]) for k in (1, 2, 3))
             hot = level[(t >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] > 8
+            need = 2 * need + np.concatenate([np.arange(len(x[0])) < x[4] for x in out])
             salt = np.where(hot, 1 + (c.astype(np.int64).view(np.uint64) % np.uint64(SALTS)).astype(np.int64), 0)
             out.clear()
             return pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(salt.astype(np.int32)), pa.array(c.astype(np.int64)), pa.array(n.astype(np.int32)), pa.array(need.astype(np.int32))], ["t", "salt", "c", "n", "l"])
@@ -172,7 +178,8 @@ def _prefixes(texts: DataFrame, width: int, percent: int, sketch: np.ndarray) ->
                 cost = float(expected[bucket[order[: spare + 1]]].sum())
                 need = min(1 + sum(cost > x for x in COSTS), len(s) - spare)
                 prefix = s[order[: spare + need]]
-                out.append((prefix, c, len(s), need))
+                early = len(s) + (-2 * percent * len(s) // (100 + percent)) + 1
+                out.append((prefix, c, len(s), need, early))
                 size += len(prefix)
                 if size > 100_000:
                     yield rows()
@@ -303,29 +310,35 @@ def _possible(percent: int):
 
 def _leader_pairs(placed: DataFrame, turn: int, percent: int) -> DataFrame:
     """For every component a few pairs ``(a, b)``: a class of it and a class of another that leads most of its lists, if they may link."""
-    order = F.xxhash64("c", F.lit(turn))
+    order = F.xxhash64("c", F.lit(turn)) if turn == 0 else F.xxhash64("c", "t", F.lit(turn))  # later on each list has a leader of its own
     leads = placed.groupBy("t").agg(F.min_by(F.struct("c", "n", "l", "k"), order).alias("lead"), F.min("k").alias("k0"), F.max("k").alias("k1")).filter("k0 <> k1")
     leads = leads.select("t", F.col("lead.c").alias("c2"), F.col("lead.n").alias("n2"), F.col("lead.k").alias("k2"))
     near = placed.join(leads, "t").filter((F.col("k") != F.col("k2")) & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")))
     counted = near.groupBy("k", "c", "c2").agg(F.count(F.lit(1)).alias("m")).groupBy("k", "c2").agg(F.max_by("c", F.struct("m", "c")).alias("c"), F.max("m").alias("m"))
     nth = F.row_number().over(Window.partitionBy("k").orderBy(F.desc("m"), "c2"))  # a component meets the few classes that lead its lists
-    best = counted.withColumn("nth", nth).filter(F.col("nth") <= STAR_PAIRS).select("c", "c2").distinct()
-    # what the two share in all, not only where the second leads
-    own = best.join(placed.select("c", "t", "n", "l"), "c")
+    best = counted.withColumn("nth", nth).filter(F.col("nth") <= (STAR_PAIRS if turn == 0 else 3 * STAR_PAIRS)).select("c", "c2").distinct()
+    return _shared(best, placed, percent)  # what the two share in all, not only where the second leads
+
+
+def _shared(pairs: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs (c, c2)`` that may link by all prefix shingles that they share, as ``(a, b)``."""
+    own = pairs.join(placed.select("c", "t", "n", "l"), "c")
     met = own.join(placed.select(F.col("c").alias("c2"), "t", F.col("n").alias("n2"), F.col("l").alias("l2")), ["c2", "t"])
     return met.groupBy("c", "c2", "n", "n2", "l", "l2").agg(F.count(F.lit(1)).alias("s")).filter(_possible(percent)).select(F.col("c").alias("a"), F.col("c2").alias("b"))
 
 
 def _open_pairs(placed: DataFrame, percent: int) -> DataFrame:
-    """All pairs of classes in different components that may link."""
+    """All pairs of classes in different components that may link: the smaller's early prefix meets the larger's prefix."""
     open_lists = placed.groupBy("t").agg(F.min("k").alias("k0"), F.max("k").alias("k1")).filter("k0 <> k1").select("t")
-    x = placed.join(open_lists, "t")
-    y = x.select("t", F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("l").alias("l2"), F.col("k").alias("k2"))
-    met = x.join(y, "t").filter((F.col("c") < F.col("c2")) & (F.col("k") != F.col("k2")) & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")))
-    return met.groupBy("c", "c2", "n", "n2", "l", "l2").agg(F.count(F.lit(1)).alias("s")).filter(_possible(percent)).select(F.col("c").alias("a"), F.col("c2").alias("b"))
+    some = placed.join(open_lists, "t")
+    x = some.filter("early")
+    y = some.select("t", F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("k").alias("k2"))
+    before = (F.col("n") < F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("c") < F.col("c2")))
+    met = x.join(y, "t").filter(before & (F.col("k") != F.col("k2")) & (100 * F.col("n") >= percent * F.col("n2")))
+    return _shared(met.select("c", "c2").distinct(), placed, percent)
 
 
-def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, star_rounds: int = 3) -> DataFrame:
+def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, star_rounds: int = 4) -> DataFrame:
     """``(id, n_shingles, component)`` of every document: rows of one component reach each other by links."""
     kind = docs.schema[id_col].dataType.simpleString()
     texts = id_and_bytes(docs, id_col, text_col)
@@ -333,6 +346,7 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = members.filter(F.col("class").isNotNull()).groupBy("class").agg(F.min("key").alias("key"))
     lists = written(_lists(_prefixes(texts, width, percent, sketch)).distinct(), "lists")
 
+    lists = lists.select("t", "c", "n", F.shiftright("l", 1).alias("l"), (F.col("l") % 2 == 1).alias("early"))
     placed, links, parts = lists.withColumn("k", F.col("c")), None, None
     for turn in range(star_rounds + 1):
         last = turn == star_rounds
@@ -346,7 +360,7 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = found if links is None else links.union(found)
         parts = written(components(links), "components")
         if not last:
-            placed = written(lists.join(parts.withColumnRenamed("v", "c"), "c", "left").select("t", "c", "n", "l", F.coalesce("component", "c").alias("k")), "placed")
+            placed = written(lists.join(parts.withColumnRenamed("v", "c"), "c", "left").select("t", "c", "n", "l", "early", F.coalesce("component", "c").alias("k")), "placed")
     if parts is None:
         return members.select("id", F.col("n").alias("n_shingles"), F.col("class").alias("component"))
     return members.join(parts.withColumnRenamed("v", "class"), "class", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "class").alias("component"))
