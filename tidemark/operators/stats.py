@@ -222,3 +222,26 @@ def diagnostics_summary(df: DataFrame, value: str, by: list[str], max_lag: int =
     out = m.join(c, by).join(lb, by, "left").join(no, by).join(centre_and_randomness(df, value, by, alpha).drop("n"), by)
     random = F.when(~F.coalesce("white_noise", F.lit(True)), "residuals_autocorrelated").when(F.col("mean_zero_reject") | F.col("sign_balance_reject"), "residuals_biased").when(F.col("runs_test_reject"), "residuals_not_in_random_order").otherwise("residuals_consistent_with_white_noise")
     return out.withColumns({"residual_randomness_conclusion": random, "residual_normality_conclusion": F.when(F.col("normal"), "normality_not_rejected").otherwise("normality_rejected")})
+
+
+def normal_fit(df: DataFrame, value: str, by: list[str], points: int = 300) -> DataFrame:
+    """``(by..., x, density)``: the normal curve of each group's mean and deviation over its range."""
+    g = df.groupBy(*by).agg(F.avg(value).alias("mean_"), F.stddev_samp(value).alias("sd_"), F.min(value).alias("lo_"), F.max(value).alias("hi_"))
+    x = F.col("lo_") + (F.col("hi_") - F.col("lo_")) * F.col("i_") / (points - 1)
+    z = F.try_divide(F.col("x") - F.col("mean_"), F.col("sd_"))
+    rows = g.withColumn("i_", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("x", x)
+    return rows.select(*by, "x", F.try_divide(F.exp(-z * z / 2), F.col("sd_") * F.sqrt(F.lit(2 * np.pi))).alias("density"))
+
+
+def qq_points(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """``(by..., nth, sample, theoretical)``: ordered values against normal quantiles at (nth - 0.5) / n."""
+    from ..functions.tails import normal_quantile
+
+    @F.pandas_udf("double")
+    def quantile(p: pd.Series) -> pd.Series:
+        return p.map(normal_quantile)
+
+    nth = F.row_number().over(Window.partitionBy(*by).orderBy(value))
+    n = F.count(F.lit(1)).over(Window.partitionBy(*by))
+    rows = df.select(*by, F.col(value).alias("sample"), nth.alias("nth"), n.alias("n_"))
+    return rows.withColumn("theoretical", quantile((F.col("nth") - 0.5) / F.col("n_"))).drop("n_")
