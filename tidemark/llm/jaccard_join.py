@@ -338,7 +338,7 @@ def _open_pairs(placed: DataFrame, percent: int) -> DataFrame:
     return _shared(met.select("c", "c2").distinct(), placed, percent)
 
 
-def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, star_rounds: int = 4) -> DataFrame:
+def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, star_rounds: int = 2) -> DataFrame:
     """``(id, n_shingles, component)`` of every document: rows of one component reach each other by links."""
     kind = docs.schema[id_col].dataType.simpleString()
     texts = id_and_bytes(docs, id_col, text_col)
