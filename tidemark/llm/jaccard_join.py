@@ -346,8 +346,8 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = members.filter(F.col("class").isNotNull()).groupBy("class").agg(F.min("key").alias("key"))
     lists = written(_lists(_prefixes(texts, width, percent, sketch)).distinct(), "lists")
 
-    lists = lists.select("t", "c", "n", F.shiftright("l", 1).alias("l"), (F.col("l") % 2 == 1).alias("early"))
-    placed, links, parts = lists.withColumn("k", F.col("c")), None, None
+    stored = lists.select("t", "c", "n", F.shiftright("l", 1).alias("l"), (F.col("l") % 2 == 1).alias("early"))
+    placed, links, parts = stored.withColumn("k", F.col("c")), None, None
     for turn in range(star_rounds + 1):
         last = turn == star_rounds
         pairs = written(_open_pairs(placed, percent) if last else _leader_pairs(placed, turn, percent), "pairs")
@@ -360,7 +360,11 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = found if links is None else links.union(found)
         parts = written(components(links), "components")
         if not last:
-            placed = written(lists.join(parts.withColumnRenamed("v", "c"), "c", "left").select("t", "c", "n", "l", "early", F.coalesce("component", "c").alias("k")), "placed")
+            before = placed
+            placed = written(stored.join(parts.withColumnRenamed("v", "c"), "c", "left").select("t", "c", "n", "l", "early", F.coalesce("component", "c").alias("k")), "placed")
+            drop_written(before)
+    drop_written(placed)
+    drop_written(lists)
     if parts is None:
         return members.select("id", F.col("n").alias("n_shingles"), F.col("class").alias("component"))
     return members.join(parts.withColumnRenamed("v", "class"), "class", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "class").alias("component"))
