@@ -90,3 +90,20 @@ def test_graph_search_reaches_what_is_in_range(n):
         hits += len(g.in_range(q, g.x[g.medoids] @ q, 0.9)[0])
         true += int((x @ q >= 0.9).sum())
     assert hits >= 0.98 * true
+
+
+def test_pairs_across_clusters_are_all_found(spark):
+    """Vectors in all directions, each with one partner at the edge of the range: none is lost between centroids."""
+    from tidemark.llm.embedding_dedup import home_and_visits, link_vectors, nearest_centroids
+
+    rng = np.random.default_rng(8)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    a = unit(rng.normal(size=(1500, 64)))
+    side = rng.normal(size=a.shape)
+    b = 0.935 * a + np.sqrt(1 - 0.935**2) * unit(side - (side * a).sum(axis=1, keepdims=True) * a)
+    x = np.concatenate((a, b))
+    at = home_and_visits(x, nearest_centroids(x, 30), 0.93)
+    assert all((set(at[i]) & {at[i + 1500][0]}) or (set(at[i + 1500]) & {at[i][0]}) for i in range(1500))
+    df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, label int")
+    want = brute([(i, v, 1) for i, v in enumerate(x.tolist())], 0.93)
+    assert found(link_vectors(df, block_rows=100)) == want

@@ -1,9 +1,12 @@
 """Near duplicates among embeddings by a robust-pruned flat graph.
 
 Vectors are compared within their label only.  Equal vectors are one class.  Classes of a large
-label are dealt to the clusters of centroids fitted on a bounded sample, each to its two nearest,
-and a cluster to blocks of bounded size; every pair of blocks of a cluster is one group of rows.
-In a group the block's classes are spread over overlapping shards (each in its two nearest), a
+label are dealt to the clusters of centroids fitted on a bounded sample: each is at home with its
+nearest and visits every earlier cluster that a vector in range of it could be at home with, by a
+bound on the angle.  So each pair in range meets once, however the centroids lie; where the bound
+excludes nothing, all vectors of the label meet.  Clusters are cut into blocks of bounded size;
+every pair of a cluster's blocks is one group of rows, and so is every block with a tile of
+visitors, which is searched by brute force.  In a group of two blocks the block's classes are spread over overlapping shards (each in its two nearest), a
 neighbour graph is built in each shard and pruned robustly, and the shards' adjacency lists are
 united.  Each query descends greedily from the shards' medoids and, where it meets vectors in
 range, expands to all their neighbours in range.  A share of each group's queries is held against
@@ -11,7 +14,7 @@ brute force; a group whose recall falls short is searched by brute force, which
 allows.  Links are verified by the cosine in double precision.
 
 A group gives out sums of links by class and one spanning edge for each class at most, never its
-pairs.  A pair that meets in two clusters is counted in the lower.
+pairs.
 
 Vectors that are null, zero or hold null or non-finite components link with nothing, nor do rows
 with a null label, nor vectors of different lengths.  A null id takes part.  Equal rows are
@@ -53,6 +56,23 @@ def two_nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.argsort(-s, axis=1, kind="stable")[:, :2]
 
 
+def home_and_visits(x: np.ndarray, c: np.ndarray, least: float) -> list[list[int]]:
+    """For each unit vector the nearest centroid, then every earlier one that a vector of cosine ``least`` or more with it could be nearest to.
+
+    Such a vector lies beyond the bisecting plane of the two centroids, so the angle to the plane is
+    at most that of ``least``.
+    """
+    sine = np.sqrt(1 - max(least, 0.0) ** 2)
+    squares, out = (c * c).sum(axis=1), []
+    for s in range(0, len(x), 1024):
+        cos = x[s : s + 1024] @ c.T
+        home = cos.argmax(axis=1)
+        apart = np.sqrt(np.maximum(0.0, squares[home][:, None] + squares - 2 * (c[home] @ c.T)))
+        near = cos.max(axis=1)[:, None] - cos <= sine * apart + 1e-6
+        out += [[int(h), *np.flatnonzero(n[:h]).tolist()] for h, n in zip(home, near)]
+    return out
+
+
 def pruned(p: int, near: np.ndarray, dist: np.ndarray, between: np.ndarray) -> list[int]:
     """Robust pruning: keep the nearest candidate, drop those that it is nearer to by ``ALPHA``, and so on."""
     order = np.argsort(dist, kind="stable")
@@ -144,13 +164,41 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return up
 
 
+def _joined(up: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``up``, each row's root, after joining the roots of ``a`` and ``b``."""
+    while len(a):
+        p, q = up[a], up[b]
+        np.minimum.at(up, np.maximum(p, q), np.minimum(p, q))
+        while (up[up] != up).any():
+            up = up[up]
+        open_ = up[a] != up[b]
+        a, b = a[open_], b[open_]
+    return up
+
+
+def visited(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
+    """As ``search_group``, between a block and a tile of visitors: all pairs, in slices of bounded size."""
+    x, mult = np.stack(pdf["x"].to_numpy()).astype(np.float64), pdf["m"].to_numpy()
+    guest = pdf["visits"].to_numpy()
+    index, queries = np.flatnonzero(~guest), np.flatnonzero(guest)
+    links, up = np.zeros(len(x), np.int64), np.arange(len(x))
+    of = x[index]
+    for s in range(0, len(queries), 256):
+        some = queries[s : s + 256]
+        a, b = np.nonzero(x[some] @ of.T >= least)
+        a, b = some[a], index[b]
+        np.add.at(links, a, mult[b])
+        np.add.at(links, b, mult[a])
+        up = _joined(up, a, b)
+    c, met = pdf["c"].to_numpy(), np.flatnonzero(links > 0)
+    return pd.DataFrame({"c": c[met], "links": links[met], "root": c[up[met]]})
+
+
 def search_group(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
     """Links between the two blocks of a group (or within its one): per class the links' multiplicity and a spanning edge."""
     x = np.stack(pdf["x"].to_numpy()).astype(np.float64)
     own, other = pdf["block"].to_numpy() == pdf["i"].to_numpy(), pdf["block"].to_numpy() == pdf["j"].to_numpy()
     index, queries = np.flatnonzero(own), np.flatnonzero(other)
-    cluster = pdf["cluster"].iloc[0]
-    second = [set(c) for c in pdf["clusters"]]
     found_a, found_b = [], []
     if len(index) and len(queries):
         graph = FlatGraph(x[index])
@@ -174,9 +222,6 @@ def search_group(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
     lo, hi = np.minimum(a, b)[keep], np.maximum(a, b)[keep]  # a link may be found from one side only
     pair = np.unique(lo * len(x) + hi)
     a, b = pair // len(x), pair % len(x)
-    if len(a) and any(len(s) > 1 for s in second):
-        ours = np.array([min(second[p] & second[q]) == cluster for p, q in zip(a, b)])
-        a, b = a[ours], b[ours]
     mult = pdf["m"].to_numpy()
     links = np.bincount(a, mult[b], len(x)) + np.bincount(b, mult[a], len(x))
     roots = _roots(len(x), a, b)
@@ -223,17 +268,22 @@ def link_vectors(
             at = [[0]] * len(pdf)
             for key, rows_at in pdf.groupby(["label", "dim"]).indices.items():
                 if key in shared.value and len(shared.value[key]) > 1:
-                    for r, two in zip(rows_at, two_nearest(np.stack(pdf["x"].to_numpy()[rows_at]), shared.value[key])):
-                        at[r] = sorted(two.tolist())
+                    for r, some in zip(rows_at, home_and_visits(np.stack(pdf["x"].to_numpy()[rows_at]), shared.value[key], least)):
+                        at[r] = some
             pdf["clusters"] = at
             yield pdf
 
     dealt = classes.mapInPandas(assigned, f"c long, label {label_kind}, m long, x array<double>, dim int, clusters array<int>")
-    dealt = written(dealt.withColumn("cluster", F.explode("clusters")), "dealt")
-    blocks = dealt.groupBy("label", "dim", "cluster").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
-    met = dealt.join(blocks, ["label", "dim", "cluster"]).withColumn("block", F.pmod(F.xxhash64("c", F.lit(7)), F.col("blocks")).cast("int"))
-    met = met.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "to")).withColumn("j", F.greatest("block", "to"))
-    got = met.groupBy("label", "dim", "cluster", "i", "j").applyInPandas(lambda pdf: search_group(pdf, least), "c long, links long, root long")
+    dealt = written(dealt, "dealt")
+    at = dealt.select("c", "label", "m", "x", "dim", F.posexplode("clusters").alias("nth", "cluster")).withColumn("visits", F.col("nth") > 0).drop("nth")
+    by = ["label", "dim", "cluster"]
+    count = lambda kind, size: F.ceil(F.count_if(kind) / size).cast("int")
+    blocks = at.groupBy(*by).agg(count(~F.col("visits"), block_rows).alias("blocks"), count(F.col("visits"), 4 * block_rows).alias("tiles"))
+    met = at.join(blocks, by).filter("blocks > 0")
+    met = met.withColumn("block", F.pmod(F.xxhash64("c", F.lit(7)), F.when(F.col("visits"), F.col("tiles")).otherwise(F.col("blocks"))).cast("int") + F.when(F.col("visits"), F.col("blocks")).otherwise(0))
+    others = F.sequence(F.lit(0), F.col("blocks") - 1 + F.when(F.col("visits"), 0).otherwise(F.col("tiles")))  # tiles are numbered after the blocks; two tiles don't meet
+    met = met.withColumn("to", F.explode(others)).withColumn("i", F.least("block", "to")).withColumn("j", F.greatest("block", "to"))
+    got = met.groupBy(*by, "i", "j").applyInPandas(lambda pdf: (visited if pdf["visits"].any() else search_group)(pdf, least), "c long, links long, root long")
     got = written(got, "links")
 
     parts = components(got.select(F.col("c").alias("u"), F.col("root").alias("v")))
