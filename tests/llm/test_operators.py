@@ -233,6 +233,18 @@ def test_frequent_lines(spark):
     assert not got[300]["kept"] and got[300]["words_left"] == 8 and got[301]["words_left"] == 36
 
 
+def test_frequent_line_that_is_the_longest(spark):
+    """A notice longer than any other line of its documents is counted by document as any line is."""
+    from tidemark.llm.quality_rules import verdicts
+
+    notice = " ".join(f"notice{k}" for k in range(40))
+    rows = [(i, f"{notice}\n" + "\n".join(" ".join(f"own{i}n{j}w{k}" for k in range(5)) for j in range(4)), "h") for i in range(80)]
+    rows += [(100 + i, f"{notice}\nof one text that is copied very often", "other") for i in range(80)]
+    got = by_id(verdicts(spark.createDataFrame(rows, "doc_id long, text string, source string")))
+    assert all(got[i]["words_left"] == 20 and not got[i]["kept"] for i in range(80))
+    assert all(got[100 + i]["kept"] for i in range(80))
+
+
 def test_licenses(docs):
     from tidemark.llm.license_scan import scan
 

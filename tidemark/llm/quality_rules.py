@@ -1,8 +1,8 @@
 """Quality rules from cross-document line frequency.  DataFrame functions only.
 
 Lines are normalised (lower case, white space to single spaces, trimmed) and hashed.  For each
-host and line the distinct documents are counted, where documents with the same longest line count
-once, so that copies of one text don't turn its own lines into boilerplate.  Lines above the limit
+host and line the distinct documents are counted, where documents with the same normalised lines in
+the same order count once, so that copies of one text don't turn its own lines into boilerplate.  Lines above the limit
 are removed from a document; a document that keeps too small a share of its words is rejected.
 
 Base measures come from the whole text: words and their letters, symbols, repeated lines, and words
@@ -89,12 +89,12 @@ def frequent_lines(docs: DataFrame, text_col: str = "text", host_col: str = "sou
 
 
 def _lines(docs: DataFrame, text_col: str, host_col: str) -> DataFrame:
-    """Per row: its host, a hash of its longest line, and its distinct lines' hashes."""
+    """Per row: its host, a hash of all its lines in order, and its distinct lines' hashes."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.transform(F.split(text, "\n"), normalised), lambda x: x != "")
-    d = docs.select(F.col(host_col).alias("host"), lines.alias("l"))
-    whole = F.array_max(F.transform("l", lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
-    return d.select("host", F.xxhash64(whole).alias("whole"), F.array_distinct(F.transform("l", lambda x: F.xxhash64(x))).alias("lines"))
+    hashes = F.transform(lines, lambda x: F.xxhash64(x))
+    d = docs.select(F.col(host_col).alias("host"), hashes.alias("l"))
+    return d.select("host", F.xxhash64("l").alias("whole"), F.array_distinct("l").alias("lines"))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", most_docs: int = 50, most_share: float = 0.002, least_kept: float = 0.5) -> DataFrame:
