@@ -266,6 +266,21 @@ def test_license_texts(spark):
     assert [got[k]["labels"] for k in (1, 2, 3, 4)] == ["mit-text", "mit-text", "", "bsd-text,isc-text"] and got[1]["score"] == 1.0 and 0.9 < got[2]["score"] < 1
 
 
+def test_license_names(spark):
+    """Names, ids and versions in wordings that no template has, and words that only look like a licence."""
+    from tidemark.llm.license_scan import scan
+
+    want = {
+        "Licensed under CC BY-NC 4.0": "cc-by-nc-4.0", "figures: CC-BY-NC-SA, the rest is text": "cc-by-nc-sa", "shared as Creative Commons Attribution-ShareAlike 3.0 Unported": "cc-by-sa-3.0",
+        "we dedicate it by CC0 1.0 to everybody": "cc0-1.0", "you get it as LGPLv3 or later": "lgpl-3.0", "its server part is AGPL-3.0-only": "agpl-3.0", "see the Unlicense for more": "unlicense",
+        "code: BSD-3-Clause": "bsd-3-clause", "covered by the Mozilla Public License, v. 2.0 as a whole": "mpl-2.0", "SPDX-License-Identifier: MIT": "mit", "terms: GPL-2.0": "gpl-2.0", "distributed with Apache-2.0 terms": "apache-2.0",
+        "the mit and the ruby in a python zoo by attribution": "", "an open public general of the apache people": "",
+    }
+    got = by_id(scan(spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")))
+    assert {t: got[i]["labels"] for i, t in enumerate(want)} == want
+    assert all((r["score"] == 1.0) == (r["labels"] != "") and r["n_base"] == 0 for r in got.values())
+
+
 def test_toxicity(spark, table):
     from tidemark.llm.toxicity import classify, reject_toxic
 
