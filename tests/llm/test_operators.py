@@ -245,6 +245,14 @@ def test_frequent_line_that_is_the_longest(spark):
     assert all(got[100 + i]["kept"] for i in range(80))
 
 
+def test_frequent_line_of_a_large_host(spark):
+    """A line in many documents goes, however small a share of the host they are."""
+    from tidemark.llm.quality_rules import frequent_lines
+
+    rows = spark.range(300_000).selectExpr("if(id < 550, concat('one line of many documents\n', id), if(id < 1000, concat('another line\n', id), string(id))) as text", "'h' as source")
+    assert frequent_lines(rows).count() == 1
+
+
 def test_licenses(docs):
     from tidemark.llm.license_scan import scan
 

@@ -76,8 +76,8 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return d.withColumn("base_failed", failed).drop("counts_", "lines_")
 
 
-def frequent_lines(docs: DataFrame, text_col: str = "text", host_col: str = "source", most_docs: int = 50, most_share: float = 0.002) -> DataFrame:
-    """``(host, line)`` hashes that stand in more than ``most_docs`` distinct documents of a host and more than ``most_share`` of them.
+def frequent_lines(docs: DataFrame, text_col: str = "text", host_col: str = "source", most_docs: int = 50, most_share: float = 0.002, always_docs: int = 500) -> DataFrame:
+    """``(host, line)`` hashes that stand in more than ``most_docs`` distinct documents of a host and more than ``most_share`` of them or ``always_docs``.
 
     One distinct count spread over (host, line, document) keys: no key gathers a host's rows.
     """
@@ -85,7 +85,7 @@ def frequent_lines(docs: DataFrame, text_col: str = "text", host_col: str = "sou
     counted = lines.select("host", "whole", F.explode("lines").alias("line")).distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
     hosts = lines.select("host", "whole").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("all"))
     hosts = hosts.withColumnRenamed("host", "of")
-    return counted.filter(F.col("n") > most_docs).join(hosts, F.col("host").eqNullSafe(F.col("of"))).filter(F.col("n") > most_share * F.col("all")).select("host", "line")
+    return counted.filter(F.col("n") > most_docs).join(hosts, F.col("host").eqNullSafe(F.col("of"))).filter(F.col("n") > F.least(most_share * F.col("all"), F.lit(float(always_docs)))).select("host", "line")
 
 
 def _lines(docs: DataFrame, text_col: str, host_col: str) -> DataFrame:
@@ -97,9 +97,9 @@ def _lines(docs: DataFrame, text_col: str, host_col: str) -> DataFrame:
     return d.select("host", F.xxhash64("l").alias("whole"), F.array_distinct("l").alias("lines"))
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", most_docs: int = 50, most_share: float = 0.002, least_kept: float = 0.5) -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", most_docs: int = 50, most_share: float = 0.002, least_kept: float = 0.5, always_docs: int = 500) -> DataFrame:
     """``docs`` with the measures, ``words_left`` after removing frequent lines, and ``kept``."""
-    frequent = frequent_lines(docs, text_col, host_col, most_docs, most_share).toDF("of", "frequent")
+    frequent = frequent_lines(docs, text_col, host_col, most_docs, most_share, always_docs).toDF("of", "frequent")
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.withColumn("row_", F.xxhash64(F.col(id_col), F.col(text_col), F.col(host_col)))  # equal rows share it
     per_line = F.transform(F.split(text, "\n"), lambda x: F.struct(F.xxhash64(normalised(x)).alias("line"), F.size(words_of(x)).alias("words")))
