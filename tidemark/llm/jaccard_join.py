@@ -4,18 +4,26 @@ A text is the set of its word shingles.  Texts with equal sets are one class.  T
 when ``|x & y| >= t |x | y|``; linked sets share at least ``ceil(t |x|)`` shingles, so in any common
 order of shingles their first ``|x| - ceil(t |x|) + l`` shingles have at least ``l`` in common.
 
-* Order: rare shingles first, by a sketch of document counts of fixed size that is summed over all
-  documents; the sketch changes costs, never results.
+* Order: rare shingles first, by a sketch of document counts over all documents; the sketch grows
+  with the table up to a bound and changes costs, never results.
 * Prefix: each text starts with ``l = 1``; the more candidates the sketch lets expect from its
   prefix, the larger ``l``.  A pair is a candidate when it shares min(l_x, l_y) prefix shingles.
 * Bound: of two prefixes the one that ends first in the order holds all that it shares with the
   other text, so a pair that shares ``s`` prefix shingles shares at most ``s`` plus the longer rest.
-* Early prefix: a link's overlap is at least ``2t / (1 + t)`` of the smaller set, so the first
-  ``|x| - that + 1`` shingles of the smaller meet the larger's prefix; pairs come from those alone.
-* Verification: components are what is asked for, so candidates are taken in rounds.  In each star
-  round every component meets a few classes that lead its prefix lists, others each time; links join
-  components.  At last all candidate pairs of classes in different components, of which groups of
-  near copies leave few, are verified.  Pairs inside a component can't change it and are not listed.
+* Short lists: a shingle in the prefixes of up to ``SHORT`` classes gives all its pairs; they are
+  counted by pair, which costs each prefix shingle a bounded number of rows.
+* Long lists: their classes would meet in pairs without end, so they meet a pivot ``p`` instead,
+  the class of the list with the largest share of its shingles in long lists (lists that overlap
+  take the same).  With ``x = p - A + B`` a pair shares ``|p| - |Ax| - |Ay| + s`` shingles, where ``s``
+  counts what the differences ``D = A u B`` have in common; so x and y link exactly when
+
+      (100 + t) s >= Wx + Wy - (100 - t) |p|,     W = 100 |A| + t |B|   (t in percent).
+
+  Both may link with p, and are then in one component already.  Else the right side asks ``y``, the
+  one of lesser W, to share that many of its differences: those are matched by prefixes once more,
+  now multi-match prefixes of differences, of which copies of one text share next to none.
+* Verification: every candidate pair is counted on whole sets of 64-bit hashes.  The last pairs are
+  made after the first links have joined components; pairs inside a component can't change it.
 
 Nulls: a null text has an empty set and links with nothing; a null id takes part and its row's
 component is that of its text.  Equal rows are one class.  An empty table gives an empty result.
@@ -25,26 +33,30 @@ Columns besides the id and the text are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, id_and_bytes, mixed, n_partitions, tree_summed, window_hashes, word_runs, written
+from .common import drop_written, mixed, n_partitions, tree_summed, window_hashes, word_runs, written
 from .graph import components
 
-SKETCH_BITS = 20
+#: Counters of the sketch and bits of the row filter, as powers of two: what small tables get, and the most (64 and 32 MB).
+SKETCH_BITS = (20, 24)
+BLOOM_BITS = (20, 28)
 BLOCK = 1 << 14
-BLOOM_BITS = 26
 #: Expected candidates of a prefix from which on one more shared shingle is asked for.
 COSTS = (64, 512, 4096, 32768)
-#: Lists of shingles that the sketch holds for frequent are led by as many classes at once.
+#: Lists of shingles that the sketch holds for frequent are dealt to as many tasks, and long from the start.
 SALTS = 16
-#: Pairs of a component in a star round; what they leave open comes to the last round.
-STAR_PAIRS = 4
+#: Partners in a list with which a class is paired directly, and how far ahead in a list it looks for them.
+SHORT = 8
+AHEAD = 256
+#: Sets that meet one set in one task.
+MEETING = 512
 
 
 def shingle_sets(bodies, width: int) -> Iterator[np.ndarray]:
@@ -72,17 +84,25 @@ def class_of(s: np.ndarray) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def row_key(ident, body: bytes) -> int:
-    """A hash of a row as a signed 64-bit number: equal rows alone share it."""
-    return xxhash.xxh3_64_intdigest(body, seed=xxhash.xxh32_intdigest(str(ident))) - (1 << 63)
+def row_key(id_col: str, text_col: str) -> Column:
+    """A hash of a row's id and text; a null text counts as empty, a null id as no other."""
+    return F.xxhash64(F.col(id_col).isNull(), F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body"), row_key(id_col, text_col).alias("key"))
 
 
 def _members(texts: DataFrame, width: int, kind: str) -> tuple[DataFrame, np.ndarray]:
     """``(id, class, n, key)`` of every row, and the sketch of shingle frequencies; one pass over the texts."""
     names = ["id", "class", "n", "key", "block", "body"]
+    bits = min(max(SKETCH_BITS[0], int(texts.count()).bit_length()), SKETCH_BITS[1])
+
+    def counted(sets: list[np.ndarray]) -> np.ndarray:
+        return np.bincount((np.concatenate(sets) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(1 << SKETCH_BITS, np.int64)
+        sketch = np.zeros(1 << bits, np.int32)
         kind = None
         for b in batches:
             kind, bodies = b.column(0).type, b.column(1).to_pylist()
@@ -93,28 +113,23 @@ def _members(texts: DataFrame, width: int, kind: str) -> tuple[DataFrame, np.nda
                 held.append(s)
                 size += len(s)
                 if size > 1_000_000:
-                    sketch += _counted(held)
+                    sketch += counted(held).astype(np.int32)
                     held, size = [], 0
             if size:
-                sketch += _counted(held)
-            keys = [row_key(i, x) for i, x in zip(b.column(0).to_pylist(), bodies)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cls, pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names)
+                sketch += counted(held).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cls, pa.int64()), pa.array(n, pa.int64()), b.column(2), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names)
         if sketch.any():
             blocks = sketch.reshape(-1, BLOCK)
             k = len(blocks)
-            yield pa.RecordBatch.from_arrays([pa.nulls(k, kind), *(pa.nulls(k, pa.int64()) for _ in range(3)), pa.array(range(k), pa.int32()), pa.array([x.astype(np.int32).tobytes() for x in blocks], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(k, kind), *(pa.nulls(k, pa.int64()) for _ in range(3)), pa.array(range(k), pa.int32()), pa.array([x.tobytes() for x in blocks], pa.binary())], names)
 
     made = written(texts.mapInArrow(run, f"id {kind}, class long, n long, key long, block int, body binary").withColumn("part", F.spark_partition_id()), "classes")
-    sketch = np.zeros(1 << SKETCH_BITS, np.int64)
+    sketch = np.zeros(1 << bits, np.int64)
     for r in _summed_counts(made.filter(F.col("block").isNotNull()).select("block", "body", "part"), n_partitions(texts)).collect():  # the sketch
         sketch[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(bytes(r["body"]), np.int64)
     return made.filter(F.col("block").isNull()).select("id", "class", "n", "key"), sketch
 
 
-def _counted(sets: list[np.ndarray]) -> np.ndarray:
-    return np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
-
-
 def _summed_counts(arrays: DataFrame, parts: int) -> DataFrame:
     """As ``tree_summed`` for 32-bit counts that were written with their partition; sums are 64-bit."""
 
@@ -142,44 +157,42 @@ def levels_of(sketch: np.ndarray) -> np.ndarray:
     return np.floor(np.log2(np.maximum(excess_of(sketch), 0.5)) + 1).astype(np.int8)
 
 
-def _prefixes(texts: DataFrame, width: int, percent: int, sketch: np.ndarray) -> DataFrame:
-    """``(t, salt, c, n, l)``: the prefix shingles of every class, its size, and twice the matches it asks for, plus 1 in its early prefix.
+def _bucket(s: np.ndarray, counters: int) -> np.ndarray:
+    return (s >> np.uint64(65 - counters.bit_length())).astype(np.int64)
 
-    The early prefix is what the smaller of two linked sets can't have without meeting the other's prefix.
-    """
-    level, expected = levels_of(sketch), excess_of(sketch)
-    shared = texts.sparkSession.sparkContext.broadcast((level, expected))
+
+def _prefixes(texts: DataFrame, width: int, percent: int, sketch: np.ndarray) -> DataFrame:
+    """``(t, salt, c, n, l)``: the prefix shingles of every class, its size, and the matches that it asks for."""
+    shared = texts.sparkSession.sparkContext.broadcast((levels_of(sketch), excess_of(sketch)))  # of bounded size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         level, expected = shared.value
-        out: list[tuple[np.ndarray, int, int, int, int]] = []
+        out: list[tuple[np.ndarray, int, int, int]] = []
         size = 0
 
         def rows() -> pa.RecordBatch:
             t = np.concatenate([x[0] for x in out])
             c, n, need = (np.repeat([x[k] for x in out], [len(x[0]) for x in out]) for k in (1, 2, 3))
-            hot = level[(t >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] > 8
-            need = 2 * need + np.concatenate([np.arange(len(x[0])) < x[4] for x in out])
-            salt = np.where(hot, 1 + (c.astype(np.int64).view(np.uint64) % np.uint64(SALTS)).astype(np.int64), 0)
             out.clear()
+            hot = level[_bucket(t, len(level))] > 8
+            salt = np.where(hot, 1 + (c.astype(np.int64).view(np.uint64) % np.uint64(SALTS)).astype(np.int64), 0)
             return pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(salt.astype(np.int32)), pa.array(c.astype(np.int64)), pa.array(n.astype(np.int32)), pa.array(need.astype(np.int32))], ["t", "salt", "c", "n", "l"])
 
         for b in batches:
-            for s in shingle_sets(b.column(1).to_pylist(), width):
+            for s in shingle_sets(b.column(0).to_pylist(), width):
                 if not len(s) or (c := class_of(s)) in seen:
                     continue
                 if len(seen) > 1_000_000:
                     seen.clear()
                 seen.add(c)
-                bucket = (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+                bucket = _bucket(s, len(level))
                 spare = len(s) + (-percent * len(s) // 100)
                 order = np.argsort(level[bucket], kind="stable")  # within a level by hash
                 cost = float(expected[bucket[order[: spare + 1]]].sum())
                 need = min(1 + sum(cost > x for x in COSTS), len(s) - spare)
                 prefix = s[order[: spare + need]]
-                early = len(s) + (-2 * percent * len(s) // (100 + percent)) + 1
-                out.append((prefix, c, len(s), need, early))
+                out.append((prefix, c, len(s), need))
                 size += len(prefix)
                 if size > 100_000:
                     yield rows()
@@ -187,187 +200,299 @@ def _prefixes(texts: DataFrame, width: int, percent: int, sketch: np.ndarray) ->
         if out:
             yield rows()
 
-    return texts.mapInArrow(run, "t long, salt int, c long, n int, l int")
+    return texts.select("body").mapInArrow(run, "t long, salt int, c long, n int, l int")
 
 
 def _lists(prefixes: DataFrame) -> DataFrame:
-    """``(t, c, n, l)`` of the rows whose shingle stands in two classes at least.
+    """``(t, salt, c, n, l)`` of the rows whose shingle stands in the prefixes of two classes at least.
 
     Lists lie sorted in partitions and are read as a stream of batches; none is ever held whole.
-    Very frequent shingles are dealt to several partitions and all their rows given out.
+    Repeats of a class, which equal texts in several tasks give, are dropped on the way.  Rows of
+    lists that are dealt to several tasks all stay.
     """
+    names = ["t", "salt", "c", "n", "l"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # the last row of the batch before, and whether it is given out
-
+        last, given = None, False  # the last row of the batch before, and whether it is given out
         for b in batches:
             if not b.num_rows:
                 continue
-            t, salt, c, n, need = (b.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+            rows = [b.column(k).to_numpy(zero_copy_only=False) for k in range(5)]
             if last is not None:
-                t, salt, c, n, need = (np.concatenate(([x], y)) for x, y in zip(last[0], (t, salt, c, n, need)))
-            same = (t[1:] == t[:-1]) & (salt[1:] == salt[:-1])
-            keep = salt > 0
-            keep[1:] |= same
-            keep[:-1] |= same
-            given = bool(keep[-1])
-            if last is not None and last[1]:
-                keep[0] = False
-            last = ((t[-1], salt[-1], c[-1], n[-1], need[-1]), given)
-            if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (t, c, n, need)], ["t", "c", "n", "l"])
+                rows = [np.concatenate(x) for x in zip(last, rows)]
+            same = (rows[0][1:] == rows[0][:-1]) & (rows[1][1:] == rows[1][:-1])
+            fresh = np.concatenate(([True], ~same | (rows[2][1:] != rows[2][:-1])))
+            again = (~np.concatenate(([True], ~same)))[fresh]  # in the list of the row before
+            rows = [x[fresh] for x in rows]
+            keep = (rows[1] > 0) | again
+            keep[:-1] |= again[1:]
+            out = keep.copy()
+            out[0] &= not given
+            last, given = [x[-1:] for x in rows], bool(keep[-1]) or len(keep) == 1 and given
+            if out.any():
+                yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in rows], names)
+
+    return prefixes.repartition("t", "salt").sortWithinPartitions("t", "salt", "c").mapInArrow(run, "t long, salt int, c long, n int, l int")
+
+
+def _paired(lists: DataFrame, percent: int) -> DataFrame:
+    """``(c, n, l, c2, n2, l2)`` of pairs that a list lets link, and the rows ``(t, c, n)`` of classes with too many such partners.
+
+    A class shares at most ``most`` shingles with any other whose prefix doesn't end before its own:
+    those of its prefix that stand in lists, and all of the rest.  So a pair can link only if the
+    greater ``most`` reaches what its sizes ask for, which texts that share a passage alone fail.
+    Lists are read by size as streams, each class looking ahead over those not too large for it; one
+    with over ``SHORT`` partners, or over ``AHEAD`` to look at, leaves itself and them to a pivot.
+    """
+    own = lists.groupBy("c").agg(F.count(F.lit(1)).cast("int").alias("listed"))
+    rows = lists.join(own, "c").withColumn("most", (F.col("listed") + F.ceil(F.col("n") * percent / 100) - F.col("l")).cast("int"))
+    names = ["t", "c", "n", "l", "c2", "n2", "l2"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, reach = None, 0  # rows of the last list that may meet more, their marks, and up to what size all its rows are marked
+
+        for b in chain(batches, (None,)):
+            if b is not None and not b.num_rows or b is None and held is None:
+                continue
+            now = [b.column(k).to_numpy(zero_copy_only=False) for k in range(6)] + [np.zeros(b.num_rows, bool)] if b is not None else [x[:0] for x in held]
+            if held is not None:
+                now = [np.concatenate(x) for x in zip(held, now)]
+            t, salt, n, c, need, most, long = now
+            n, most = n.astype(np.int64), most.astype(np.int64)
+            size = len(t)
+            nth = np.concatenate(([0], np.cumsum((t[1:] != t[:-1]) | (salt[1:] != salt[:-1]))))
+            end = size if b is None else max(int(np.searchsorted(nth, nth[-1])), size - AHEAD)
+            long |= salt > 0
+            i = np.flatnonzero(salt[:end] == 0)
+            met, partners = [], np.zeros(size, np.int64)
+            for d in range(1, AHEAD + 1):
+                i = i[i + d < size]
+                i = i[(nth[i + d] == nth[i]) & (percent * n[i + d] <= 100 * n[i])]
+                if not len(i):
+                    break
+                if d < AHEAD:
+                    hit = i[(100 + percent) * np.maximum(most[i], most[i + d]) >= percent * (n[i] + n[i + d])]
+                    partners[hit] += 1
+                    met.append((hit, hit + d))
+            left = np.zeros(size, bool)
+            left[i] = True  # not all looked at
+            dense = left | (partners > SHORT)
+            to = nth * (1 << 40) + np.where(left, 100 * n // percent, 0)
+            to[0] = max(int(to[0]), reach)
+            to = np.maximum.accumulate(to) - nth * (1 << 40)
+            long |= dense | (to >= n)
+            out = []
+            if met:
+                x, y = (np.concatenate(z) for z in zip(*met))
+                many = dense[x]
+                long[y[many]] = True
+                x, y = x[~many], y[~many]
+                if len(x):
+                    out.append([pa.nulls(len(x), pa.int64()), *(pa.array(z[k]) for k in (x, y) for z in (c, now[2], need))])
+            if (k := np.flatnonzero(long[:end])).size:
+                none = pa.nulls(len(k), pa.int64())
+                out.append([pa.array(z[k]) for z in (t, c, now[2], need)] + [none, none.cast(pa.int32()), none.cast(pa.int32())])
+            held = [x[end:] for x in (t, salt, now[2], c, need, now[5], long)] if end < size else None
+            reach = int(to[-1]) if end < size else 0
+            for x in out:
+                yield pa.RecordBatch.from_arrays(x, names)
+
+    dealt = rows.select("t", "salt", "n", "c", "l", "most").repartition("t", "salt").sortWithinPartitions("t", "salt", "n", "c")
+    return dealt.mapInArrow(run, "t long, c long, n int, l int, c2 long, n2 int, l2 int")
+
+
+def _candidates(lists: DataFrame, percent: int) -> DataFrame:
+    """``(a, b)``: pairs of short lists that share enough prefix shingles; what a pair shares in long lists its pivot answers for."""
+    rest = lambda n, l: F.ceil(F.col(n) * percent / 100) - F.col(l)
+    needed = F.ceil((F.col("n") + F.col("n2")) * percent / (100 + percent))
+    counted = lists.filter(F.col("t").isNull()).groupBy("c", "n", "l", "c2", "n2", "l2").agg(F.count(F.lit(1)).alias("s"))
+    enough = (F.col("s") >= F.least("l", "l2")) & (F.col("s") + F.greatest(rest("n", "l"), rest("n2", "l2")) >= needed)
+    return counted.filter(enough).select(F.col("c").alias("a"), F.col("c2").alias("b"))
+
 
-    return prefixes.repartition("t", "salt").sortWithinPartitions("t", "salt", "c").mapInArrow(run, "t long, c long, n int, l int")
+def _pivots(lists: DataFrame) -> DataFrame:
+    """``(c, p)``: every class of a long list and the list's pivot.
+
+    A list is led by its class with the most of its shingles in long lists; each class then goes by
+    the best lead of its lists and each list by the best of its classes, so that lists of one group agree.
+    """
+    rows = lists.filter(F.col("t").isNotNull()).select("t", "c", "n")
+    share = rows.groupBy("c").agg((F.count(F.lit(1)) / F.first("n")).alias("share"))
+    rows = rows.join(share, "c").select("t", "c", F.struct("share", F.xxhash64("c").alias("h"), F.col("c").alias("p")).alias("by"))
+    lead = rows.groupBy("t").agg(F.max("by").alias("by"))
+    root = rows.select("t", "c").join(lead, "t").groupBy("c").agg(F.max("by").alias("by"))
+    rooted = rows.select("t", "c").join(root, "c")
+    of = rooted.groupBy("t").agg(F.max("by").alias("by"))
+    return rows.select("t", "c").join(of, "t").select("c", F.col("by.p").alias("p")).distinct()
 
 
-def _bloom(keys: DataFrame) -> np.ndarray:
-    """A bit field of fixed size in which all keys' bits are set."""
+def _row_filter(keys: DataFrame) -> np.ndarray:
+    """A field of bits, of bounded size, in which all keys' bits are set; more keys than it can tell apart only cost time."""
+    size = min(max(BLOOM_BITS[0], (8 * keys.count()).bit_length()), BLOOM_BITS[1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << BLOOM_BITS - 3, np.uint8)
+        bits = np.zeros(1 << size - 3, np.uint8)
         for b in batches:
-            at = mixed(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)) >> np.uint64(64 - BLOOM_BITS)
+            at = mixed(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)) >> np.uint64(64 - size)
             np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), (1 << (at & np.uint64(7))).astype(np.uint8))
         blocks = bits.reshape(-1, 1 << 14)
         full = np.flatnonzero(blocks.any(axis=1))
         if len(full):
             yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([blocks[k].tobytes() for k in full], pa.binary())], ["block", "body"])
 
-    bits = np.zeros(1 << BLOOM_BITS - 3, np.uint8)
-    for r in tree_summed(keys.repartition(8).mapInArrow(run, "block int, body binary"), 8, np.uint8, np.bitwise_or).collect():
+    bits = np.zeros(1 << size - 3, np.uint8)
+    for r in tree_summed(keys.mapInArrow(run, "block int, body binary"), n_partitions(keys), np.uint8, np.bitwise_or).collect():  # the field
         bits[r["block"] << 14 : (r["block"] + 1) << 14] = np.frombuffer(bytes(r["body"]), np.uint8)
     return bits
 
 
-def packed(s: np.ndarray) -> bytes:
-    """The leading 40 bits of each hash; two sets of a thousand shingles differ in what they share with odds of one in a million."""
-    top = np.unique(s >> np.uint64(24))
-    return (top >> np.uint64(8)).astype("<u4").tobytes() + (top & np.uint64(255)).astype(np.uint8).tobytes()
-
-
-def unpacked(x: bytes) -> np.ndarray:
-    n = len(x) // 5
-    return np.frombuffer(x, "<u4", n).astype(np.uint64) << np.uint64(8) | np.frombuffer(x, np.uint8, n, 4 * n)
-
-
 def _sets(texts: DataFrame, width: int, bits: np.ndarray) -> DataFrame:
-    """``(c, s)``: the packed sets of the rows whose key's bit is set; other texts aren't cut into words."""
-    shared = texts.sparkSession.sparkContext.broadcast(bits)
+    """``(c, s)``: the sets of the rows whose key's bit is set; other texts aren't cut into words."""
+    shared = texts.sparkSession.sparkContext.broadcast(bits)  # of bounded size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, bits = set(), shared.value
+        size = 8 * len(bits)
         for b in batches:
-            bodies = b.column(1).to_pylist()
-            at = mixed(np.array([row_key(i, x) for i, x in zip(b.column(0).to_pylist(), bodies)], np.int64).view(np.uint64)) >> np.uint64(64 - BLOOM_BITS)
+            at = mixed(b.column(1).to_numpy(zero_copy_only=False).view(np.uint64)) >> np.uint64(65 - size.bit_length())
             hit = bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1
-            cs, sets, size = [], [], 0
-            for s in shingle_sets((bodies[k] for k in np.flatnonzero(hit)), width):
+            cs, sets, held = [], [], 0
+            for s in shingle_sets(b.column(0).filter(pa.array(hit.astype(bool))).to_pylist(), width):
                 if not len(s) or (c := class_of(s)) in seen:
                     continue
                 if len(seen) > 1_000_000:
                     seen.clear()
                 seen.add(c)
                 cs.append(c)
-                sets.append(packed(s))
-                size += len(sets[-1])
-                if size > 4_000_000:
+                sets.append(s.tobytes())
+                held += len(sets[-1])
+                if held > 4_000_000:
                     yield pa.RecordBatch.from_arrays([pa.array(cs, pa.int64()), pa.array(sets, pa.binary())], ["c", "s"])
-                    cs, sets, size = [], [], 0
+                    cs, sets, held = [], [], 0
             if cs:
                 yield pa.RecordBatch.from_arrays([pa.array(cs, pa.int64()), pa.array(sets, pa.binary())], ["c", "s"])
 
-    return texts.mapInArrow(run, "c long, s binary")
+    return texts.select("body", "key").mapInArrow(run, "c long, s binary")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of ``pairs (a, b)`` that link, by their whole sets."""
-    needed = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
-    sets = written(_sets(texts, width, _bloom(needed.join(reps, "class").select("key"))), "sets")
-    met = pairs.join(sets.select(F.col("c").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("c").alias("b"), F.col("s").alias("y")), "b")
+def _common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which of ``x`` are in ``y``, both sorted."""
+    return y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
+
+
+def _asked(n: int, gone: int, cut: int, d: int, percent: int, link: bool) -> int:
+    """How many of its first ``d`` differences from a pivot of size ``gone`` a class of size ``n`` can be asked for by ``_open_pairs``."""
+    w, room, every = 100 * cut + percent * (d - cut), (100 - percent) * gone, 100 + percent
+    below = -(-(w + max(w - room, 1)) // every)
+    above = max(-(-(w - room + max(w - 100 * (n * (100 - percent) // percent), 0)) // every), 1)
+    return max(d - (below if link else min(below, above)) + 1, 0)
+
+
+def _met(pairs: DataFrame, sets: DataFrame, percent: int, level: np.ndarray | None = None) -> DataFrame:
+    """``(a, b, link, wide, cut, gone, n, d)`` of ``pairs (a, b, wide)``: whether they link and, where ``wide``, how ``a`` differs from ``b``.
+
+    ``cut`` counts what a lacks of b, ``gone`` and ``n`` are the sizes of b and a, and ``d`` holds as
+    many differences as can be asked for, those that few others will have first.  Each b lies before its partners in a partition, which is read as a
+    stream; a set with many partners lies in several.  Pairs that neither link nor are wide go.
+    """
+    shared = pairs.sparkSession.sparkContext.broadcast(level)  # of bounded size
+    many = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / MEETING).cast("int").alias("salts"))
+    dealt = pairs.join(many, "b").withColumn("salt", F.when(F.col("salts") > 1, F.pmod(F.xxhash64("a"), F.col("salts"))).otherwise(0).cast("int"))
+    heads = many.select(F.col("b").alias("c"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).join(sets, "c").select(F.col("c").alias("b"), "salt", F.lit(None).cast("long").alias("a"), F.lit(False).alias("wide"), "s")
+    rows = heads.unionByName(dealt.select("b", "salt", F.col("a").alias("c"), "wide").join(sets, "c").select("b", "salt", F.col("c").alias("a"), "wide", "s").distinct())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        level, y = shared.value, None
+        rarity = np.exp2(level.astype(np.float32)) if level is not None else None
         for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3)):
-                x, y = unpacked(x.as_py()), unpacked(y.as_py())
-                if len(x) > len(y):
-                    x, y = y, x
-                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
-    links = written(met.select("a", "b", "x", "y").mapInArrow(run, "u long, v long"), "links")
-    drop_written(sets)
-    return links
-
-
-def _possible(percent: int):
-    """Whether ``s`` shared prefix shingles leave a pair (n, l) and (n2, l2) the overlap that a link needs."""
-    rest = lambda n, l: F.ceil(F.col(n) * percent / 100) - F.col(l)
-    needed = F.ceil((F.col("n") + F.col("n2")) * percent / (100 + percent))
-    return (F.col("s") >= F.least("l", "l2")) & (F.col("s") + F.greatest(rest("n", "l"), rest("n2", "l2")) >= needed)
-
-
-def _leader_pairs(placed: DataFrame, turn: int, percent: int) -> DataFrame:
-    """For every component a few pairs ``(a, b)``: a class of it and a class of another that leads most of its lists, if they may link."""
-    order = F.xxhash64("c", F.lit(turn)) if turn == 0 else F.xxhash64("c", "t", F.lit(turn))  # later on each list has a leader of its own
-    leads = placed.groupBy("t").agg(F.min_by(F.struct("c", "n", "l", "k"), order).alias("lead"), F.min("k").alias("k0"), F.max("k").alias("k1")).filter("k0 <> k1")
-    leads = leads.select("t", F.col("lead.c").alias("c2"), F.col("lead.n").alias("n2"), F.col("lead.k").alias("k2"))
-    near = placed.join(leads, "t").filter((F.col("k") != F.col("k2")) & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")))
-    counted = near.groupBy("k", "c", "c2").agg(F.count(F.lit(1)).alias("m")).groupBy("k", "c2").agg(F.max_by("c", F.struct("m", "c")).alias("c"), F.max("m").alias("m"))
-    nth = F.row_number().over(Window.partitionBy("k").orderBy(F.desc("m"), "c2"))  # a component meets the few classes that lead its lists
-    best = counted.withColumn("nth", nth).filter(F.col("nth") <= (STAR_PAIRS if turn == 0 else 3 * STAR_PAIRS)).select("c", "c2").distinct()
-    return _shared(best, placed, percent)  # what the two share in all, not only where the second leads
-
-
-def _shared(pairs: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs (c, c2)`` that may link by all prefix shingles that they share, as ``(a, b)``."""
-    own = pairs.join(placed.select("c", "t", "n", "l"), "c")
-    met = own.join(placed.select(F.col("c").alias("c2"), "t", F.col("n").alias("n2"), F.col("l").alias("l2")), ["c2", "t"])
-    return met.groupBy("c", "c2", "n", "n2", "l", "l2").agg(F.count(F.lit(1)).alias("s")).filter(_possible(percent)).select(F.col("c").alias("a"), F.col("c2").alias("b"))
-
-
-def _open_pairs(placed: DataFrame, percent: int) -> DataFrame:
-    """All pairs of classes in different components that may link: the smaller's early prefix meets the larger's prefix."""
-    open_lists = placed.groupBy("t").agg(F.min("k").alias("k0"), F.max("k").alias("k1")).filter("k0 <> k1").select("t")
-    some = placed.join(open_lists, "t")
-    x = some.filter("early")
-    y = some.select("t", F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("k").alias("k2"))
-    before = (F.col("n") < F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("c") < F.col("c2")))
-    met = x.join(y, "t").filter(before & (F.col("k") != F.col("k2")) & (100 * F.col("n") >= percent * F.col("n2")))
-    return _shared(met.select("c", "c2").distinct(), placed, percent)
-
-
-def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, star_rounds: int = 2) -> DataFrame:
-    """``(id, n_shingles, component)`` of every document: rows of one component reach each other by links."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    texts = id_and_bytes(docs, id_col, text_col)
-    members, sketch = _members(texts, width, kind)
-    reps = members.filter(F.col("class").isNotNull()).groupBy("class").agg(F.min("key").alias("key"))
-    lists = written(_lists(_prefixes(texts, width, percent, sketch)).distinct(), "lists")
-
-    stored = lists.select("t", "c", "n", F.shiftright("l", 1).alias("l"), (F.col("l") % 2 == 1).alias("early"))
-    placed, links, parts = stored.withColumn("k", F.col("c")), None, None
-    for turn in range(star_rounds + 1):
-        last = turn == star_rounds
-        pairs = written(_open_pairs(placed, percent) if last else _leader_pairs(placed, turn, percent), "pairs")
-        if pairs.isEmpty():
-            if last:
-                break
-            continue
-        found = _verified(pairs, texts, reps, width, percent)
-        drop_written(pairs)
-        links = found if links is None else links.union(found)
-        parts = written(components(links), "components")
-        if not last:
-            before = placed
-            placed = written(stored.join(parts.withColumnRenamed("v", "c"), "c", "left").select("t", "c", "n", "l", "early", F.coalesce("component", "c").alias("k")), "placed")
-            drop_written(before)
-    drop_written(placed)
+            out = []
+            for u, v, wide, s in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4)):
+                s = np.frombuffer(s.as_buffer(), np.uint64)
+                if v is None:
+                    y = s.copy()
+                    if rarity is not None:
+                        own = rarity[_bucket(y, len(level))]
+                        usual = float(np.median(own))
+                    continue
+                inside = _common(s, y)
+                both = int(inside.sum())
+                link = 100 * both >= percent * (len(s) + len(y) - both)
+                d = None
+                if wide:
+                    more, lost = s[~inside], ~_common(y, s)
+                    few = np.concatenate((rarity[_bucket(more, len(level))], np.maximum(np.maximum(usual - own[lost], usual / 8), 1) + 0.5))
+                    d = np.concatenate((more, y[lost]))
+                    d = d[np.lexsort((d, few))][: _asked(len(s), len(y), len(y) - both, len(d), percent, link)].view(np.int64)
+                if link or wide:
+                    out.append((v, u, link, wide, len(y) - both, len(y), len(s), d))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out), (pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64())))], ["a", "b", "link", "wide", "cut", "gone", "n", "d"])
+
+    dealt = rows.repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("a").isNotNull(), "a")
+    return dealt.mapInArrow(run, "a long, b long, link boolean, wide boolean, cut int, gone int, n int, d array<long>")
+
+
+def _open_pairs(differences: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """``(a, b)``: classes of one pivot, in different components, that share enough of their differences from it to link."""
+    every = 100 + percent
+    parts = parts.select(F.col("v").alias("c"), "component")
+    rows = differences.select(F.col("a").alias("c"), F.col("b").alias("p"), "cut", "gone", "n", "d").join(parts, "c", "left").withColumn("k", F.coalesce("component", "c"))
+    rows = rows.join(parts.select(F.col("c").alias("p"), F.col("component").alias("kp")), "p", "left").withColumn("apart", F.col("k") != F.coalesce("kp", "p"))
+    more = F.col("n") - F.col("gone") + F.col("cut")
+    rows = rows.withColumn("all", F.col("cut") + more)
+    rows = rows.withColumn("w", (100 * F.col("cut") + percent * more).cast("long")).withColumn("room", ((100 - percent) * F.col("gone")).cast("long"))
+    least = rows.filter("apart").groupBy("p").agg(F.min(F.col("w") - F.col("room")).alias("over"))
+    rows = rows.join(least, "p")  # pivots all of whose classes are in one component go
+    below = F.ceil((F.col("w") + F.greatest(F.col("w") - F.col("room"), F.col("over"), F.lit(1))) / every)
+    apart = 100 * F.floor(F.col("n") * (100 - percent) / percent)  # at most so much less can the other's w be
+    above = F.greatest(F.ceil((F.col("w") - F.col("room") + F.greatest(F.col("w") - apart, F.lit(0))) / every), F.lit(1))
+
+    def prefix(need: Column) -> Column:
+        return F.explode(F.slice("d", F.lit(1), F.greatest(F.col("all") - need.cast("int") + 1, F.lit(0)))).alias("t")
+
+    keys = ("p", F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("w").alias("w2"), F.col("k").alias("k2"))
+    y = rows.select(*keys, prefix(below))
+    x = rows.filter("apart").select("p", "c", "n", "w", "k", prefix(above))
+    before = (F.col("w2") < F.col("w")) | ((F.col("w2") == F.col("w")) & (F.col("c2") < F.col("c")))
+    fits = 100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")
+    met = x.join(y, ["p", "t"]).filter(before & (F.col("k") != F.col("k2")) & fits)
+    small = F.col("n") < F.col("n2")
+    return met.select(F.when(small, F.col("c")).otherwise(F.col("c2")).alias("a"), F.when(small, F.col("c2")).otherwise(F.col("c")).alias("b")).distinct()
+
+
+def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
+    """``(id, n_shingles, key, component)`` of every document: rows of one component reach each other by links."""
+    texts = _texts(docs, id_col, text_col)
+    members, sketch = _members(texts, width, docs.schema[id_col].dataType.simpleString())
+    rows = written(_lists(_prefixes(texts, width, percent, sketch)), "lists")
+    lists = written(_paired(rows, percent), "paired")
+    drop_written(rows)
+    wide = _pivots(lists).filter("c <> p").select(F.col("c").alias("a"), F.col("p").alias("b"), F.lit(True).alias("wide"))
+    narrow = _candidates(lists, percent).select("a", "b", F.lit(False).alias("wide"))
+    pairs = written(wide.unionByName(narrow).groupBy("a", "b").agg(F.max("wide").alias("wide")), "pairs")
     drop_written(lists)
-    if parts is None:
-        return members.select("id", F.col("n").alias("n_shingles"), F.col("class").alias("component"))
-    return members.join(parts.withColumnRenamed("v", "class"), "class", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "class").alias("component"))
+
+    needed = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
+    reps = members.filter(F.col("class").isNotNull()).groupBy("class").agg(F.min("key").alias("key"))
+    keys = written(needed.join(reps, "class").select("key"), "keys")
+    sets = written(_sets(texts, width, _row_filter(keys)).join(needed.withColumnRenamed("class", "c"), "c", "left_semi").dropDuplicates(["c"]), "sets")
+    drop_written(keys)
+    first = written(_met(pairs, sets, percent, levels_of(sketch)), "met")
+    drop_written(pairs)
+    links = first.filter("link").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    parts = written(components(links), "components")
+
+    more = written(_open_pairs(first.filter("wide"), parts, percent), "pairs")
+    if not more.isEmpty():
+        found = written(_met(more.withColumn("wide", F.lit(False)), sets, percent), "met")
+        joined = components(parts.select(F.col("v").alias("u"), F.col("component").alias("v")).union(found.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+        before, parts = parts, written(joined, "components")
+        drop_written(before)
+        drop_written(found)
+    for x in (more, first, sets):
+        drop_written(x)
+    of = F.coalesce("component", "class")
+    return members.join(parts.withColumnRenamed("v", "class"), "class", "left").select("id", F.col("n").alias("n_shingles"), "key", of.alias("component"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
@@ -379,8 +504,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
-    """``docs`` with one row of each component: that of the least id; equal ids keep one row, null ids all."""
-    found = near_duplicates(docs, id_col, text_col, width, percent)
-    heads = found.filter(F.col("component_id") == F.col(id_col)).select(F.col(id_col).alias("head")).distinct()
-    kept = docs.join(heads, docs[id_col] == heads["head"], "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.filter(F.col(id_col).isNull()))
+    """``docs`` with one row of each component: that of the least id, null ids last, and of the least hash among equal ids.
+
+    Equal ids with texts that don't link stay both.  Rows without words link with nothing and all
+    stay; of equal rows (same id, same text) with words one stays.
+    """
+    rows = written(similar_classes(docs, id_col, text_col, width, percent), "rows")
+    best = rows.filter("n_shingles > 0").groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("key"))).alias("x"))
+    times = rows.groupBy("key").agg(F.count(F.lit(1)).alias("times"), F.max("n_shingles").alias("n"))
+    chosen = written(best.select("x.key").join(times, "key").select("key", "times").union(times.filter("n = 0").select("key", F.lit(1))), "chosen")
+    names = docs.columns
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("whole"), row_key(id_col, text_col).alias("key"))
+    once = whole.join(chosen.filter("times = 1"), "key", "left_semi")
+    several = whole.join(chosen.filter("times > 1"), "key", "left_semi").dropDuplicates(["key"])
+    return once.unionByName(several).select("whole.*")
