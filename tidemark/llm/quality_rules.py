@@ -97,16 +97,26 @@ def _lines(docs: DataFrame, text_col: str, host_col: str) -> DataFrame:
     return d.select("host", F.xxhash64("l").alias("whole"), F.array_distinct("l").alias("lines"))
 
 
+def row_hash(*columns: str) -> Column:
+    """A hash of a row's columns that tells nulls apart; equal rows share it."""
+    return F.xxhash64(*(x for c in columns for x in (F.col(c).isNull(), F.col(c))))
+
+
+def _words_cut(rows: DataFrame, text_col: str, host_col: str, frequent: DataFrame) -> DataFrame:
+    """``(row_, n, words_cut)`` of the rows that hold frequent lines: their words, and those in such lines."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    per_line = F.transform(F.split(text, "\n"), lambda x: F.struct(F.xxhash64(normalised(x)).alias("line"), F.size(words_of(x)).cast("long").alias("words")))
+    counted = let(per_line, lambda x: F.struct(x.alias("lines"), F.aggregate(x, F.lit(0).cast("long"), lambda s, y: s + y["words"]).alias("n")))
+    lines = rows.select("row_", F.col(host_col).alias("host"), counted.alias("x")).select("row_", "host", F.col("x.n").alias("n"), F.posexplode("x.lines").alias("nth", "y"))
+    hit = lines.select("row_", "n", "nth", "host", "y.line", "y.words").join(frequent.toDF("of", "frequent"), F.col("host").eqNullSafe(F.col("of")) & (F.col("line") == F.col("frequent")))
+    return hit.groupBy("row_", "n", "nth").agg(F.first("words").alias("words")).groupBy("row_", "n").agg(F.sum("words").alias("words_cut"))
+
+
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", most_docs: int = 50, most_share: float = 0.002, least_kept: float = 0.5, always_docs: int = 500) -> DataFrame:
     """``docs`` with the measures, ``words_left`` after removing frequent lines, and ``kept``."""
-    frequent = frequent_lines(docs, text_col, host_col, most_docs, most_share, always_docs).toDF("of", "frequent")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.withColumn("row_", F.xxhash64(F.col(id_col), F.col(text_col), F.col(host_col)))  # equal rows share it
-    per_line = F.transform(F.split(text, "\n"), lambda x: F.struct(F.xxhash64(normalised(x)).alias("line"), F.size(words_of(x)).alias("words")))
-    exploded = rows.select("row_", F.col(host_col).alias("host"), F.posexplode(per_line).alias("nth", "x")).select("row_", "host", "nth", "x.line", "x.words")
-    hit = exploded.join(frequent, F.col("host").eqNullSafe(F.col("of")) & (F.col("line") == F.col("frequent")))
-    hit = written(hit.groupBy("row_", "nth").agg(F.first("words").alias("words")).groupBy("row_").agg(F.sum("words").alias("words_cut")), "cut")  # its size is known when the join is planned
-    out = measures(rows, id_col, text_col).join(hit, "row_", "left")
+    rows = docs.withColumn("row_", row_hash(id_col, text_col, host_col))
+    cut = written(_words_cut(rows, text_col, host_col, frequent_lines(docs, text_col, host_col, most_docs, most_share, always_docs)), "cut")  # its size is known when the join is planned
+    out = measures(rows, id_col, text_col).join(cut.select("row_", "words_cut"), "row_", "left")
     left = F.col("n_words") - F.coalesce(F.col("words_cut"), F.lit(0))
     return out.withColumn("words_left", left).withColumn("kept", ~F.col("base_failed") & (F.col("words_left") >= least_kept * F.col("n_words"))).drop("row_", "words_cut")
 
@@ -117,12 +127,15 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
     return out.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "words_left")
 
 
-def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:
+def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", most_docs: int = 50, most_share: float = 0.002, least_kept: float = 0.5, always_docs: int = 500) -> DataFrame:
     """The rows of ``docs``, all columns as they were, that the rules keep.
 
-    The verdict is wrapped so that the optimizer doesn't take it for deterministic: pushed below the
-    measures, the filter would repeat all their intermediate columns in one expression.
+    The base rules are one expression whose counts are made once, wherever the optimizer puts it;
+    depleted rows leave by their hashes.
     """
-    whole = docs.select(F.struct("*").alias("whole"), *(F.col(c) for c in dict.fromkeys((id_col, text_col, host_col))))
-    judged = judge(whole, id_col, text_col, host_col, **limits).select("whole", F.when(F.rand() >= 0, F.col("kept")).alias("kept"))
-    return judged.filter("kept").select("whole.*")
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"), *(F.col(c) for c in dict.fromkeys((id_col, text_col, host_col)))).withColumn("row_", row_hash(id_col, text_col, host_col))
+    cut = _words_cut(whole, text_col, host_col, frequent_lines(docs, text_col, host_col, most_docs, most_share, always_docs))
+    depleted = written(cut.filter(F.col("n") - F.col("words_cut") < least_kept * F.col("n")).select("row_"), "depleted")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    passed = let(let(words_of(text), _word_counts), lambda c: (c["n"] >= 20) & (100 * c["repeated"] <= 30 * c["n"]))
+    return whole.filter(passed).join(depleted, "row_", "left_anti").select("whole.*")
