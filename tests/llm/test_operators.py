@@ -360,3 +360,19 @@ def test_bpe_scan_and_heap_agree():
         word = "".join(rng.choice("aneths") for _ in range(rng.randint(1, 70)))
         parts = [bpe.inner[ord(c)] for c in word[:-1]] + [bpe.last[ord(word[-1])]]
         assert bpe._scan(list(parts)) == bpe._heap(list(parts))
+
+
+def test_scrambled_license_parts_are_no_license(spark):
+    """Repeats and parts out of order don't add up to a text; insertions and small changes are met."""
+    from tidemark.llm.license_scan import TEMPLATES, scan, template_words
+
+    words = template_words(TEMPLATES["isc-text"])
+    parts = [words[i : i + 4] for i in range(0, len(words), 4)]
+    scrambled = " ".join(" ".join(p) for p in reversed(parts))
+    repeated = " ".join(words[:6] * 8)
+    changed = " ".join(w for i, w in enumerate(words) for w in ((w, "indeed") if i % 9 == 4 else (w,)))
+    clash = "doc_id long, text string, row string, met string, label string, w string"
+    rows = [(1, scrambled), (2, repeated), (3, changed), (4, " ".join(words)), (None, "a"), (6, None)]
+    out = {r["doc_id"]: r for r in scan(spark.createDataFrame([(*r, "r", "m", "l", "w") for r in rows], clash)).collect()}
+    assert [out[i]["labels"] for i in (1, 2, 3, 4, None, 6)] == ["", "", "isc-text", "isc-text", "", ""]
+    assert out[4]["score"] == 1.0 and 0.6 <= out[3]["score"] < 1

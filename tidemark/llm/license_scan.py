@@ -1,10 +1,13 @@
 """License scans by diagonal voting.  DataFrame functions only.
 
-Every rolling pair of words is hashed and met with the word pairs of the templates, a fixed table
-of a few hundred rows; membership of a pair is tested inside the row first, so only meeting pairs
-become rows.  A meeting at word p of the text and word t of a template votes for the diagonal
-p - t.  Neighbouring diagonals, as insertions and deletions give, are merged; a merged span counts
-if its words (compared as words, not hashes) cover enough of the template.
+Every rolling pair of words is hashed and joined to the word pairs of the templates, a fixed table
+of a few thousand rows.  The join's keys are tested inside each text first, an exact semi-join: a
+pair that no template has joins with nothing and need not become a row (as rows, all pairs cost
+several times the CPU).  A meeting at word p of the text and word t of a template, compared as
+words once their hashes agree, votes for the diagonal p - t.  Neighbouring diagonals, as insertions
+and deletions give, are merged.  A merged span is verified by an alignment in which template and
+text both go forward: each template position counts once, so repeated or scrambled parts don't add
+up, and the share of positions on it must be large enough.
 
 The three base phrases are templates that must be met whole on one diagonal, and so are the names
 of licences: each name of the list with its versions, and SPDX ids, where a name that is an
@@ -20,7 +23,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -172,33 +175,34 @@ def template_pairs(spark: SparkSession) -> DataFrame:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_share: float = 0.6, drift: int = 3) -> DataFrame:
     """``(id, n_words, n_base, first_word, last_word, base_labels, labels, score)``.
 
-    ``least_share``: the share of a template's seeds that a span must meet; ``drift``: how many
-    words apart neighbouring diagonals may lie to be merged.
+    ``least_share``: the share of a template's seeds that a span must meet in order; ``drift``: how
+    many words apart neighbouring diagonals may lie to be merged.
     """
-    spark = docs.sparkSession
-    pairs = template_pairs(spark)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    row = F.xxhash64(F.col(id_col).isNull(), F.col(id_col), F.col(text_col).isNull(), F.col(text_col))  # equal rows share it
+    pairs = template_pairs(docs.sparkSession)
     keys = [r["key"] for r in pairs.filter("b <> ''").select("key").distinct().collect()]  # of the fixed templates
     single = [r["key"] for r in pairs.filter("b = ''").select("key").distinct().collect()]
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    d = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), F.filter(F.split(F.lower(text), SEPARATORS), lambda w: w != "").alias("w"))
+    d = docs.select(F.col(id_col).alias("id"), row.alias("row"), F.filter(F.split(F.lower(text), SEPARATORS), lambda w: w != "").alias("w"))
     d = d.withColumn("h", F.transform("w", lambda x: F.xxhash64(x))).withColumn("key", F.zip_with(F.col("h"), F.slice("h", F.lit(2), F.greatest(F.size("h"), F.lit(1))), lambda x, y: F.xxhash64(x, y)))
     met = F.filter(F.transform("key", lambda k, i: F.when(k.isin(keys), i)), lambda i: i.isNotNull())
     alone = F.filter(F.transform("h", lambda h, i: F.when(h.isin(single), i)), lambda i: i.isNotNull())
     d = d.withColumn("met", met).withColumn("alone", alone)
     in_pairs = F.transform("met", lambda i: F.struct(i.alias("p"), F.get("w", i).alias("a"), F.get("w", i + 1).alias("b"), F.get("key", i).alias("key")))
     by_itself = F.transform("alone", lambda i: F.struct(i.alias("p"), F.get("w", i).alias("a"), F.lit("").alias("b"), F.get("h", i).alias("key")))
-    d = d.select("id", "row", F.size("w").cast("long").alias("n_words"), F.concat(in_pairs, by_itself).alias("met"))
-    d = written(d, "met")
+    d = written(d.select("id", "row", F.size("w").cast("long").alias("n_words"), F.concat(in_pairs, by_itself).alias("met")), "met")
 
     hits = d.filter(F.size("met") > 0).dropDuplicates(["row"]).select("row", F.explode("met").alias("m")).select("row", "m.*")
     votes = hits.join(F.broadcast(pairs), ["key", "a", "b"]).withColumn("diagonal", F.col("p") - F.col("t"))  # broadcast: the fixed templates
-    lines = votes.groupBy("row", "template", "label", "exact", "named", "seeds", "length", "diagonal").agg(F.count(F.lit(1)).alias("votes"), F.min("t").alias("t0"), F.max("t").alias("t1"))
+    title = ("row", "template", "label", "exact", "named", "seeds", "length")
+    lines = votes.groupBy(*title, "diagonal").agg(F.count(F.lit(1)).alias("votes"), F.sort_array(F.collect_list(F.struct("t", "p"))).alias("met"))  # at most one vote for each template position
     lines = lines.filter(~F.col("exact") | (F.col("votes") == F.col("seeds")))
     by = Window.partitionBy("row", "template").orderBy("diagonal")
     apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(by) > F.when(F.col("exact"), 0).otherwise(drift), F.lit(True))
     spans = lines.withColumn("new", apart.cast("int")).withColumn("span", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = spans.groupBy("row", "template", "label", "exact", "named", "seeds", "length", "span").agg(F.least(F.sum("votes") / F.first("seeds"), F.lit(1.0)).alias("share"), F.min(F.col("diagonal") + F.col("t0")).alias("start"))
-    spans = spans.filter(F.col("share") >= least_share)
+    spans = spans.groupBy(*title, "span").agg(F.sum("votes").alias("votes"), F.flatten(F.collect_list("met")).alias("met"))
+    spans = spans.filter(F.col("votes") >= least_share * F.col("seeds")).withColumn("in_order", _in_order(F.sort_array("met")))
+    spans = spans.withColumn("share", F.col("in_order.n") / F.col("seeds")).withColumn("start", F.col("in_order.start")).filter(F.col("share") >= least_share)
     within = Window.partitionBy("row", "named").orderBy("start", F.desc("length"), "template").rowsBetween(Window.unboundedPreceding, -1)
     end = F.col("start") + F.col("length")
     spans = spans.withColumn("covered", F.coalesce(F.max(end).over(within) >= end, F.lit(False))).filter(~F.col("named") | ~F.col("covered"))
@@ -209,3 +213,18 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_
     )
     out = d.select("id", "row", "n_words").join(found, "row", "left").na.fill("", ["base_labels", "labels"]).na.fill(0, ["n_base", "score"])
     return out.select(F.col("id").alias(id_col), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", F.col("score").cast("double").alias("score"))
+
+
+def _in_order(met: Column) -> Column:
+    """Of votes ``(t, p)``, sorted, how many lie on one alignment in which both increase, and where it starts in the text.
+
+    Votes are taken in turn, each after the last one taken; a vote out of order is passed over.
+    """
+    first = F.struct(F.lit(-1).alias("t"), F.lit(-1).alias("p"), F.lit(0).alias("n"), F.lit(0).alias("start"))
+
+    def taken(s: Column, x: Column) -> Column:
+        fits = (x["t"] > s["t"]) & (x["p"] > s["p"])
+        start = F.when(s["n"] == 0, x["p"] - x["t"]).otherwise(s["start"])
+        return F.when(fits, F.struct(x["t"].alias("t"), x["p"].alias("p"), (s["n"] + 1).alias("n"), start.alias("start"))).otherwise(s)
+
+    return F.aggregate(met, first, taken)
