@@ -20,10 +20,12 @@ _FALLBACK: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where unset, as in tests, a folder of this process."""
+    """The folder in ``spark.checkpoint.dir``; where unset, a folder of this process on a local master and an error on a cluster."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _FALLBACK:
         _FALLBACK.append("file://" + tempfile.mkdtemp(prefix="tidemark-"))
     return _FALLBACK[0]

@@ -91,4 +91,56 @@ QUERIES: dict[str, Query] = {
     "op10_bpe": op10_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Words are runs of anything but the six separators; A-Z alone are lowered, as translate() does.
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = "list_filter(regexp_split_to_array({}, '[ \\t-\\r]+'), lambda w: w <> '')"
+_REACH = """
+    reach(u, v) AS (SELECT {id}, {id} FROM {table} UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u),
+    least AS (SELECT u, min(v) AS component FROM reach GROUP BY u)"""
+
+#: SQL of the operators that it can express whole: brute force on all rows.
+ORACLE_SQL: dict[str, str] = {
+    "op4_jaccard_join": f"""
+        WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, {_WORDS.format(_LOWER.format("coalesce(text, '')"))} AS w FROM documents),
+        s AS MATERIALIZED (
+            SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+            FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i FROM w WHERE len(w) > 0)),
+        n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        met AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS m FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+        links AS MATERIALIZED (SELECT u, v FROM met JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * m >= 75 * (x.n + y.n - m)),
+        {_REACH.format(id="doc_id", table="documents")}
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least.component AS component_id
+        FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN least ON least.u = d.doc_id""",
+    "op6_quality_rules": f"""
+        WITH d AS MATERIALIZED (SELECT doc_id, source AS host, coalesce(text, '') AS t FROM documents),
+        w AS MATERIALIZED (SELECT doc_id, {_WORDS.format("t")} AS w FROM d),
+        at8 AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS win FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 7)) AS i FROM w WHERE len(w) >= 8)),
+        twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS k FROM at8) WHERE k > 1),
+        rep AS (SELECT doc_id, count(DISTINCT i + o) AS n_repeat_words FROM twice, generate_series(0, 7) g(o) GROUP BY doc_id),
+        l AS MATERIALIZED (SELECT doc_id, host, list_transform(string_split(t, chr(10)), lambda x: trim(regexp_replace(lower(x), '[ \\t-\\r]+', ' ', 'g'))) AS l FROM d),
+        whole AS (SELECT DISTINCT host, list_filter(l, lambda x: x <> '') AS whole FROM l),
+        many AS (
+            SELECT f.host, f.line FROM (SELECT host, line, count(*) AS n FROM (SELECT DISTINCT host, whole, unnest(whole) AS line FROM whole) GROUP BY ALL) f
+            JOIN (SELECT host, count(*) AS n_all FROM whole GROUP BY host) h ON f.host IS NOT DISTINCT FROM h.host
+            WHERE n > 50 AND n > least(0.002 * n_all, 500)),
+        cut AS (
+            SELECT doc_id, sum(len({_WORDS.format("x.line")})) AS n FROM (SELECT doc_id, host, unnest(l) AS line FROM l) x
+            JOIN many ON x.host IS NOT DISTINCT FROM many.host AND x.line = many.line GROUP BY doc_id),
+        m AS (
+            SELECT d.doc_id, len(w.w) AS n_words, length(regexp_replace(t, '[ \\t-\\r]+', '', 'g')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+                (SELECT count(x) - count(DISTINCT x) FROM (SELECT unnest(string_split(t, chr(10))) AS x) WHERE regexp_matches(x, '[^ \\t-\\r]')) AS n_dup_lines,
+                coalesce(rep.n_repeat_words, 0) AS n_repeat_words, len(w.w) - coalesce(cut.n, 0) AS words_left
+            FROM d JOIN w USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN cut USING (doc_id))
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+            NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND words_left >= 0.5 * n_words AS kept, words_left::BIGINT AS words_left
+        FROM m""",
+    "op9_embedding_dedup": f"""
+        WITH RECURSIVE e AS MATERIALIZED (
+            SELECT vec_id, label, v FROM (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)
+            WHERE label IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(v, v) > 0),
+        links AS MATERIALIZED (SELECT a.vec_id AS u, b.vec_id AS v FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+        {_REACH.format(id="vec_id", table="embeddings")},
+        n AS (SELECT u, count(*) AS n FROM links GROUP BY u)
+        SELECT x.vec_id, coalesce(n.n, 0) AS n_links, least.component AS component_id, x.vec_id = least.component AS kept
+        FROM embeddings x LEFT JOIN n ON n.u = x.vec_id JOIN least ON least.u = x.vec_id""",
+}
