@@ -346,18 +346,21 @@ def _row_filter(keys: DataFrame) -> np.ndarray:
     return bits
 
 
+def _in_filter(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    at = mixed(keys.view(np.uint64)) >> np.uint64(65 - (8 * len(bits)).bit_length())
+    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
 def _sets(texts: DataFrame, width: int, bits: np.ndarray) -> DataFrame:
     """``(c, s)``: the sets of the rows whose key's bit is set; other texts aren't cut into words."""
     shared = texts.sparkSession.sparkContext.broadcast(bits)  # of bounded size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, bits = set(), shared.value
-        size = 8 * len(bits)
         for b in batches:
-            at = mixed(b.column(1).to_numpy(zero_copy_only=False).view(np.uint64)) >> np.uint64(65 - size.bit_length())
-            hit = bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1
+            hit = _in_filter(b.column(1).to_numpy(zero_copy_only=False), bits)
             cs, sets, held = [], [], 0
-            for s in shingle_sets(b.column(0).filter(pa.array(hit.astype(bool))).to_pylist(), width):
+            for s in shingle_sets(b.column(0).filter(pa.array(hit)).to_pylist(), width):
                 if not len(s) or (c := class_of(s)) in seen:
                     continue
                 if len(seen) > 1_000_000:
@@ -394,19 +397,23 @@ def _met(pairs: DataFrame, sets: DataFrame, percent: int, level: np.ndarray | No
     ``cut`` counts what a lacks of b, ``gone`` and ``n`` are the sizes of b and a, and ``d`` holds as
     many differences as can be asked for, those that few others will have first.  Each b lies before its partners in a partition, which is read as a
     stream; a set with many partners lies in several.  Pairs that neither link nor are wide go.
+    ``sets`` may hold sets that no pair has, and repeats.
     """
     shared = pairs.sparkSession.sparkContext.broadcast(level)  # of bounded size
     many = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / MEETING).cast("int").alias("salts"))
     dealt = pairs.join(many, "b").withColumn("salt", F.when(F.col("salts") > 1, F.pmod(F.xxhash64("a"), F.col("salts"))).otherwise(0).cast("int"))
     heads = many.select(F.col("b").alias("c"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).join(sets, "c").select(F.col("c").alias("b"), "salt", F.lit(None).cast("long").alias("a"), F.lit(False).alias("wide"), "s")
-    rows = heads.unionByName(dealt.select("b", "salt", F.col("a").alias("c"), "wide").join(sets, "c").select("b", "salt", F.col("c").alias("a"), "wide", "s").distinct())
+    rows = heads.unionByName(dealt.select("b", "salt", F.col("a").alias("c"), "wide").join(sets, "c").select("b", "salt", F.col("c").alias("a"), "wide", "s"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level, y = shared.value, None
+        level, y, before = shared.value, None, None
         rarity = np.exp2(level.astype(np.float32)) if level is not None else None
         for b in batches:
             out = []
             for u, v, wide, s in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4)):
+                if (u, v) == before:  # a set that several rows gave
+                    continue
+                before = (u, v)
                 s = np.frombuffer(s.as_buffer(), np.uint64)
                 if v is None:
                     y = s.copy()
@@ -475,7 +482,7 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     needed = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
     reps = members.filter(F.col("class").isNotNull()).groupBy("class").agg(F.min("key").alias("key"))
     keys = written(needed.join(reps, "class").select("key"), "keys")
-    sets = written(_sets(texts, width, _row_filter(keys)).join(needed.withColumnRenamed("class", "c"), "c", "left_semi").dropDuplicates(["c"]), "sets")
+    sets = written(_sets(texts, width, _row_filter(keys)), "sets")
     drop_written(keys)
     first = written(_met(pairs, sets, percent, levels_of(sketch)), "met")
     drop_written(pairs)
@@ -510,11 +517,18 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stay; of equal rows (same id, same text) with words one stays.
     """
     rows = written(similar_classes(docs, id_col, text_col, width, percent), "rows")
-    best = rows.filter("n_shingles > 0").groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("key"))).alias("x"))
-    times = rows.groupBy("key").agg(F.count(F.lit(1)).alias("times"), F.max("n_shingles").alias("n"))
-    chosen = written(best.select("x.key").join(times, "key").select("key", "times").union(times.filter("n = 0").select("key", F.lit(1))), "chosen")
-    names = docs.columns
-    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("whole"), row_key(id_col, text_col).alias("key"))
-    once = whole.join(chosen.filter("times = 1"), "key", "left_semi")
-    several = whole.join(chosen.filter("times > 1"), "key", "left_semi").dropDuplicates(["key"])
-    return once.unionByName(several).select("whole.*")
+    best = rows.filter("n_shingles > 0").groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("key"))).alias("x"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    grouped = rows.filter("n_shingles > 0").join(best.select("component", F.col("x.key").alias("best")), "component")
+    marked = written(grouped.groupBy("key").agg(F.first(F.col("key") == F.col("best")).alias("chosen"), F.count(F.lit(1)).alias("times")).filter("not chosen or times > 1"), "marked")
+    drop_written(rows)
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"), row_key(id_col, text_col).alias("key"))
+    bits = docs.sparkSession.sparkContext.broadcast(_row_filter(marked.select("key")))  # of bounded size
+
+    @F.pandas_udf("boolean")
+    def maybe(key: pd.Series) -> pd.Series:
+        return pd.Series(_in_filter(key.to_numpy(), bits.value))
+
+    rest = whole.withColumn("maybe", maybe("key"))  # only rows that the filter doesn't clear go through the joins
+    left = rest.filter("maybe").join(marked.select("key"), "key", "left_anti")
+    once = rest.filter("maybe").join(marked.filter("chosen").select("key"), "key", "left_semi").dropDuplicates(["key"])
+    return rest.filter("not maybe").select("whole.*").unionByName(left.select("whole.*")).unionByName(once.select("whole.*"))
