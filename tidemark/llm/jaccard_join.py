@@ -328,7 +328,7 @@ def _pivots(lists: DataFrame) -> DataFrame:
 
 def _row_filter(keys: DataFrame) -> np.ndarray:
     """A field of bits, of bounded size, in which all keys' bits are set; more keys than it can tell apart only cost time."""
-    size = min(max(BLOOM_BITS[0], (8 * keys.count()).bit_length()), BLOOM_BITS[1])
+    size = min(max(BLOOM_BITS[0], (64 * keys.count()).bit_length()), BLOOM_BITS[1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(1 << size - 3, np.uint8)
