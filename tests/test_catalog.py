@@ -6,8 +6,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from tidemark.plans.catalog import QUERIES
-from tidemark.plans.oracle import ORACLE_SQL
+from tidemark.plans.checks import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.01"
 
@@ -16,7 +15,7 @@ SF = "/root/testdata/sf0.01"
 def db():
     c = duckdb.connect()
     c.execute("SET TimeZone='UTC'")
-    for t in ("events", "lineitem", "orders", "supplier"):
+    for t in ("customer", "events", "lineitem", "orders", "supplier"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{os.path.join(SF, t)}.parquet'")
     return c
 

@@ -215,3 +215,17 @@ def model_gaps(errors: DataFrame, key: str, baseline: str, challenger: str, n: i
     b, c = (errors.filter(F.col(MODEL) == m).select(key, F.col("mae").alias(k)) for m, k in ((baseline, "baseline_mae"), (challenger, "challenger_mae")))
     out = b.join(c, key).withColumn("gap", F.col("baseline_mae") - F.col("challenger_mae")).withColumn("winner", F.when(F.col("challenger_mae") < F.col("baseline_mae"), challenger).otherwise(baseline))
     return out.orderBy(F.desc(F.abs("gap")), key).limit(n)
+
+
+def tail_summary(tail: DataFrame) -> DataFrame:
+    """The nine measures of a demand tail (from ``demand_tail``) by model, in catalogue order."""
+    out = tail.groupBy(MODEL, "demand_tail", "actual_threshold").agg(F.count(F.lit(1)).alias("n_predictions"), *error_bundle())
+    return by_model(out)
+
+
+def model_row(metrics: DataFrame, label: str) -> DataFrame:
+    """The one row of a model; none or several are an error."""
+    found = metrics.filter(F.col(MODEL) == label)
+    if (n := found.count()) != 1:
+        raise ValueError(f"{n} rows of model {label}")
+    return found

@@ -12,6 +12,7 @@ HOURLY = "h AS (SELECT date_trunc('hour', ts) AS timestamp, count(*) AS trip_cou
 DENSE = HOURLY + """, spine AS (SELECT unnest(generate_series((SELECT min(timestamp) FROM h), (SELECT max(timestamp) FROM h), INTERVAL 1 HOUR)) AS timestamp),
 d AS (SELECT s.timestamp, coalesce(h.trip_count, 0) AS trip_count FROM spine s LEFT JOIN h ON h.timestamp = s.timestamp),
 p AS (SELECT timestamp, trip_count, trip_count::DOUBLE AS y, row_number() OVER (ORDER BY timestamp) - 1 AS pos, count(*) OVER () AS n FROM d)"""
+DAYS = "g AS (SELECT DISTINCT date_trunc('day', o_orderdate)::TIMESTAMP AS timestamp FROM orders)"
 TYPED = """h AS (SELECT event_type, date_trunc('hour', ts) AS timestamp, count(*) AS trip_count FROM events GROUP BY 1, 2),
 ends AS (SELECT event_type, min(timestamp) AS a, max(timestamp) AS b FROM h GROUP BY 1),
 spine AS (SELECT event_type, unnest(generate_series(a, b, INTERVAL 1 HOUR)) AS timestamp FROM ends),
@@ -97,12 +98,10 @@ ORACLE_SQL: dict[str, str] = {
     "hourly_dense": f"WITH {DENSE} SELECT * FROM d",
     "hourly_by_type": f"WITH {TYPED} SELECT * FROM d",
     "duplicate_audit": "SELECT coalesce(sum(n), 0)::BIGINT AS duplicate_rows, count(*) AS duplicate_values FROM (SELECT l_shipdate, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 1)",
-    "missing_hours": """WITH g AS (SELECT timestamp FROM (SELECT event_type, date_trunc('hour', ts) AS timestamp FROM events GROUP BY 1, 2 HAVING count(*) >= 3) GROUP BY 1 HAVING count(*) >= 4)
-        SELECT timestamp FROM (SELECT unnest(generate_series((SELECT min(timestamp) FROM g), (SELECT max(timestamp) FROM g), INTERVAL 1 HOUR)) AS timestamp) WHERE timestamp NOT IN (SELECT timestamp FROM g)""",
-    "missing_audit": f"""WITH {HOURLY}, g AS (SELECT timestamp FROM h WHERE trip_count % 3 <> 0) SELECT (date_diff('hour', min(timestamp), max(timestamp)) + 1)::BIGINT AS expected, count(*) AS observed,
-        (date_diff('hour', min(timestamp), max(timestamp)) + 1 - count(*))::BIGINT AS missing FROM g""",
-    "time_spacing": f"""WITH {HOURLY}, g AS (SELECT date_diff('second', lag(timestamp) OVER (ORDER BY timestamp), timestamp) AS step FROM h WHERE trip_count % 3 <> 0)
-        SELECT count(step) AS n_steps, count(*) FILTER (step <> 3600) AS non_hourly, count(*) FILTER (step <= 0) AS non_positive, min(step) AS least_step, max(step) AS largest_step FROM g""",
+    "missing_hours": f"""WITH {DAYS} SELECT timestamp FROM (SELECT unnest(generate_series((SELECT min(timestamp) FROM g), (SELECT max(timestamp) FROM g), INTERVAL 1 HOUR)) AS timestamp) WHERE timestamp NOT IN (SELECT timestamp FROM g)""",
+    "missing_audit": f"""WITH {DAYS} SELECT (date_diff('hour', min(timestamp), max(timestamp)) + 1)::BIGINT AS expected, count(*) AS observed, (date_diff('hour', min(timestamp), max(timestamp)) + 1 - count(*))::BIGINT AS missing FROM g""",
+    "time_spacing": f"""WITH {DAYS}, s AS (SELECT date_diff('second', lag(timestamp) OVER (ORDER BY timestamp), timestamp) AS step FROM g)
+        SELECT count(step) AS n_steps, count(*) FILTER (step <> 3600) AS non_hourly, count(*) FILTER (step <= 0) AS non_positive, min(step) AS least_step, max(step) AS largest_step FROM s""",
     "dst_localize": f"""WITH s AS (SELECT unnest(generate_series(TIMESTAMP '2025-01-01 00:00:00', TIMESTAMP '2026-03-31 23:00:00', INTERVAL 1 HOUR)) AS local),
         u AS (SELECT local, timezone('UTC', timezone('{NY}', local)) AS timestamp FROM s)
         SELECT timestamp, local, {local("timestamp - INTERVAL 1 HOUR")} = local OR {local("timestamp + INTERVAL 1 HOUR")} = local AS is_dst_ambiguous_local_hour FROM u WHERE {local("timestamp")} = local""",
