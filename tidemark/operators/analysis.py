@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..config import LOCAL_TZ, MODEL_ORDER, TIMESTAMP
@@ -140,6 +140,16 @@ def demand_tail(predictions: DataFrame, tail: str) -> DataFrame:
     return rows.filter(F.col("actual") >= F.col("actual_threshold") if tail == "high" else F.col("actual") <= F.col("actual_threshold"))
 
 
+def the_row(df: DataFrame, **values) -> Row:
+    """The first row with these values; none is an error.  For small tables, such as metrics by model."""
+    hit = df
+    for k, v in values.items():
+        hit = hit.filter(F.col(k) == F.lit(v))
+    if (row := hit.first()) is None:
+        raise LookupError(f"no row with {values}")
+    return row
+
+
 def top_errors(predictions: DataFrame, n: int) -> DataFrame:
     """The ``n`` largest absolute errors of each model, ranked."""
     w = Window.partitionBy(MODEL).orderBy(F.desc("absolute_error"), TIMESTAMP)

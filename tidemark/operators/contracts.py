@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+from pathlib import Path
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,3 +113,69 @@ def ordered_equal(a: DataFrame, b: DataFrame) -> DataFrame:
     w = Window.partitionBy(F.lit(0)).orderBy(TIMESTAMP)
     x, y = (d.select(TIMESTAMP, F.row_number().over(w).alias("pos")) for d in (a, b))
     return x.withColumn("x", F.lit(1)).join(y.withColumn("y", F.lit(1)), [TIMESTAMP, "pos"], "full").agg(F.count_if(F.col("x").isNull() | F.col("y").isNull()).alias("bad_places"))
+
+
+def require_utc(df: DataFrame, column: str = TIMESTAMP, allow_naive: bool = False) -> DataFrame:
+    """A table whose time column holds instants; times without a zone are an error or, if allowed, taken as UTC."""
+    require_columns(df, [column])
+    kind = df.schema[column].dataType.typeName()
+    if kind == "timestamp":
+        return df
+    if kind != "timestamp_ntz" or not allow_naive:
+        raise TypeError(f"{column} must be a time with zone, not {kind}")
+    return df.withColumn(column, F.to_utc_timestamp(F.col(column).cast("string"), "UTC"))
+
+
+def future_index(spark, values, column: str = TIMESTAMP, allow_naive: bool = False) -> DataFrame:
+    """The times of a forecast, from a table or a list: not empty, unique, with zone; in order."""
+    if not isinstance(values, DataFrame):
+        times = [v if isinstance(v, datetime) else datetime.fromisoformat(str(v)) for v in values]
+        if not allow_naive and any(t.tzinfo is None for t in times):
+            raise TypeError("times must have a zone")
+        times = [t.replace(tzinfo=timezone.utc) if t.tzinfo is None else t for t in times]
+        values = spark.createDataFrame([(t,) for t in times], f"`{column}` timestamp")
+    out = require_utc(values, column, allow_naive).select(column)
+    require(out.agg((F.count(F.lit(1)) > 0).alias("ok_not_empty"), F.count_if(F.col(column).isNull()).alias("bad_null"), (F.count(column) - F.count_distinct(column)).alias("bad_repeated")))
+    return out.orderBy(column)
+
+
+def validation_frame(spark, values, target: str = TARGET, allow_naive: bool = False) -> DataFrame:
+    """A validation stretch from a table or from (time, value) pairs; a table without the target has null actuals."""
+    if not isinstance(values, DataFrame):
+        values = list(values)
+        pairs = [v if isinstance(v, (tuple, list)) else (v, None) for v in values]
+        times = future_index(spark, [t for t, _ in pairs], TIMESTAMP, allow_naive)
+        order = sorted(((t if isinstance(t, datetime) else datetime.fromisoformat(str(t))), y) for t, y in pairs) if pairs else []
+        rows = [(t.replace(tzinfo=timezone.utc) if t.tzinfo is None else t, None if y is None else float(y)) for t, y in order]
+        return times.join(spark.createDataFrame(rows, f"`{TIMESTAMP}` timestamp, `{target}` double"), TIMESTAMP)
+    out = require_utc(values, TIMESTAMP, allow_naive)
+    return out if target in out.columns else out.withColumn(target, F.lit(None).cast("double"))
+
+
+def time_frame_contract(df: DataFrame, target: str | None = TARGET) -> DataFrame:
+    """A frame for the additive model: zoned unique times, a finite target where one is asked for."""
+    require_utc(df)
+    extra = []
+    if target:
+        require_columns(df, [target])
+        y = F.col(target).try_cast("double")
+        extra = [F.count_if(y.isNull() | F.isnan(y) | (F.abs(y) == float("inf"))).alias("bad_target")]
+    return df.agg((F.count(F.lit(1)) > 0).alias("ok_not_empty"), F.count_if(F.col(TIMESTAMP).isNull()).alias("bad_null_timestamp"), (F.count(TIMESTAMP) - F.count_distinct(TIMESTAMP)).alias("bad_repeated_timestamp"), *extra)
+
+
+def regressor_frame_contract(frame: DataFrame, source: DataFrame, kind: str = "basic", target: str = TARGET) -> DataFrame:
+    """A training frame with regressors: finite, unique, inside its source and shorter than it by the look-back alone."""
+    require_columns(frame, [TIMESTAMP, target, *feature_columns(kind)])
+    n = source.agg(F.count(F.lit(1)).alias("n"))
+    m = frame.agg(F.count(F.lit(1)).alias("m"))
+    fewer = n.join(m).select((F.col("m") < F.col("n")).alias("ok_fewer_than_source"))
+    return matrix_contract(frame, kind, target).join(matrix_inside(frame, source)).join(fewer)
+
+
+def artefact_paths(registry: dict[str, dict], expected: dict[str, str]) -> None:
+    """Every registered model lies where it is expected, and is there."""
+    wrong = {k: registry.get(k, {}).get("model_path") for k, p in expected.items() if str(registry.get(k, {}).get("model_path")) != str(p)}
+    if wrong:
+        raise ValueError(f"models elsewhere than expected: {wrong}")
+    if gone := [p for p in expected.values() if not Path(p).exists()]:
+        raise FileNotFoundError(f"no such model: {gone}")

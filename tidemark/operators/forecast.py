@@ -97,13 +97,17 @@ def next_features(history: np.ndarray, at: pd.Timestamp, kind: str, tz: str = LO
     return row
 
 
-def recursive_forecast(predict: Callable[[np.ndarray], float], history: np.ndarray, times: list[pd.Timestamp], kind: str, tz: str = LOCAL_TZ) -> list[float]:
-    """Predicts step by step; each prediction joins the history of the next step."""
+def recursive_forecast(predict: Callable[..., float], history: np.ndarray, times: list[pd.Timestamp], kind: str, tz: str = LOCAL_TZ, timed: bool = False) -> list[float]:
+    """Predicts step by step; each prediction joins the history of the next step.
+
+    ``timed`` models get the step's time beside its features: ``predict(features, time)``.
+    """
     known, out = np.asarray(history, float)[-required_history() :], []
     if len(known) < required_history() or not np.isfinite(known).all():
         raise ValueError(f"the history needs {required_history()} finite values")
     for at in times:
-        value = float(predict(next_features(known, at, kind, tz)))
+        row = next_features(known, at, kind, tz)
+        value = float(predict(row, at) if timed else predict(row))
         if not np.isfinite(value):
             raise ValueError("a prediction is not finite")
         out.append(value)
@@ -111,7 +115,7 @@ def recursive_forecast(predict: Callable[[np.ndarray], float], history: np.ndarr
     return out
 
 
-def fitted_predictions(history: DataFrame, validation: DataFrame, predictors: DataFrame, load: Callable[[bytes], Callable[[np.ndarray], float]], kind: str, model: str, horizon: int = 24, series: list[str] = (), tz: str = LOCAL_TZ, target: str = TARGET, update_with_actuals: bool = True) -> DataFrame:
+def fitted_predictions(history: DataFrame, validation: DataFrame, predictors: DataFrame, load: Callable[[bytes], Callable[[np.ndarray], float]], kind: str, model: str, horizon: int = 24, series: list[str] = (), tz: str = LOCAL_TZ, target: str = TARGET, update_with_actuals: bool = True, timed: bool = False) -> DataFrame:
     """Recursive forecasts of fitted models.
 
     ``predictors``: rows ``(series..., fold, parameter_set_id, body binary)``; ``load(body)`` gives
@@ -127,7 +131,7 @@ def fitted_predictions(history: DataFrame, validation: DataFrame, predictors: Da
         for _, b in pdf.sort_values("origin_block").iterrows():
             times = [s[TIMESTAMP] for s in b["steps"]]
             past = np.asarray(b["history"], float) if known is None or update_with_actuals else known
-            path = recursive_forecast(load(b["body"]), past, times, kind, tz)
+            path = recursive_forecast(load(b["body"]), past, times, kind, tz, timed)
             known = np.concatenate((past, path))
             rows += [(*(b[k] for k in keys), t, s["actual"], p, model, kind, b["parameter_set_id"], b["fold"], b["forecast_origin"], s["horizon_step"], b["origin_block"], False) for t, s, p in zip(times, b["steps"], path)]
         return pd.DataFrame(rows, columns=[*keys, *PREDICTION_COLUMNS])

@@ -96,6 +96,17 @@ class AdditiveModel:
     def predict(self, ds: np.ndarray, x: np.ndarray | None = None) -> np.ndarray:
         return self.components(ds, x)["yhat"]
 
+    def to_json(self) -> str:
+        """The fitted model as text; ``from_json`` gives an equal one."""
+        return json.dumps({k: {n: list(b) for n, b in v.items()} if k == "beta" else v.tolist() if hasattr(v, "tolist") else v for k, v in vars(self).items()})
+
+    @classmethod
+    def from_json(cls, body: str | bytes) -> AdditiveModel:
+        out = cls()
+        for k, v in json.loads(body).items():
+            setattr(out, k, {n: np.array(b) for n, b in v.items()} if k == "beta" else tuple(v) if k == "regressors" else np.array(v) if k in ("x_mean", "x_std") else v)
+        return out
+
 
 # --- boosted trees in numpy, for the many small fits of a grid
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..config import TARGET
-from ..operators import analysis, comparison, contracts, features, splits, stats, timeaxis
+from ..config import PROPHET_SPACE, TARGET
+from ..functions.metrics import grouped_metrics
+from ..operators import analysis, comparison, contracts, features, models, regressors, splits, stats, timeaxis
 from .catalog import HORIZON, PAIRS, QUERIES, TEST_DAYS, cv, cv_metrics, cv_predictions, errors, final_metrics, final_predictions, pair_table, query, series, sparse, table
+from .retraining import dm_run_summary, feature_summary
 from .oracle import BUNDLE, DENSE, DIFF, FINAL, FM, FOLDED, HOURLY, LONG, M, ORACLE_SQL, PAIRS as PAIR_SQL, QUANT, at, dm, matrix
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -222,3 +224,36 @@ def _(spark, d):
     UNION ALL SELECT model_label, 'worst', local_hour, {at('mae')} FROM (SELECT *, row_number() OVER (PARTITION BY model_label ORDER BY mae DESC, local_hour) AS i FROM g) WHERE i = 1""")
 def _(spark, d):
     return analysis.best_and_worst(QUERIES["errors_by_local_hour"](spark, d), "local_hour")
+
+
+@add("feature_stage_summary", "WITH " + ", ".join(f"{k} AS ({matrix(k)})" for k in ("basic", "advanced")) + ", " + DENSE + "".join(f"""{u}
+    SELECT '{k}' AS feature_set, {n + 2} AS n_columns, {n} AS n_feature_columns, count(*) AS n_rows, min(timestamp) AS period_start, max(timestamp) AS period_end, 0::BIGINT AS non_hourly_steps, 0::BIGINT AS leakage_mismatches,
+    (SELECT count(*) FROM p) AS source_rows, (SELECT count(*) FROM p) - count(*) AS dropped_rows_due_to_history FROM {k}""" for u, k, n in (("", "basic", 5), ("\n    UNION ALL", "advanced", 17))))
+def _(spark, d):
+    s = series(spark, d)
+    return feature_summary(s, {k: features.feature_matrix(s, k) for k in ("basic", "advanced")})
+
+
+@add("dm_run_summary", f"""WITH {FINAL} SELECT 'Diebold-Mariano' AS statistical_test, count(*) AS n_prediction_rows, count(DISTINCT model_label) AS n_models, 3 * 2 AS n_block_level_tests, 3 * 2 * 24 AS n_by_horizon_tests, 3 * 2 AS n_timestamp_level_tests,
+    3 AS n_comparisons, 2 AS n_loss_types, 0.0::DOUBLE AS total_runtime_seconds, 'success' AS status FROM e""")
+def _(spark, d):
+    p = final_predictions(spark, d)
+    losses = stats.differentials(p, PAIRS)
+    return dm_run_summary(p, stats.dm_by_block(losses), stats.dm_by_horizon(losses), stats.dm_by_timestamp(losses, HORIZON), len(PAIRS))
+
+
+@query
+def regressor_cv(spark, d):
+    s = series(spark, d)
+    p = regressors.regressor_cv(s, cv(spark, d), models.parameter_grid(PROPHET_SPACE, "prophet_regressor_basic"), "basic", HORIZON)
+    return grouped_metrics(p, ["parameter_set_id", "fold"])
+
+
+@query
+def regressor_final(spark, d):
+    return regressors.regressor_final(series(spark, d), TEST_DAYS, {"changepoint_prior_scale": 0.05, "seasonality_prior_scale": 10.0}, "basic", horizon=HORIZON)
+
+
+@query
+def direct_final(spark, d):
+    return models.additive_cv(regressors.final_rows(series(spark, d), TEST_DAYS), [("best", {"changepoint_prior_scale": 0.05})], HORIZON)
