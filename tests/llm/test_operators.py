@@ -83,13 +83,43 @@ def test_lm(docs):
         assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_lm_features_against_plain():
+    import numpy as np
+
+    from tidemark.llm import lm_scoring as m
+
+    docs = [b"the cat sat on the mat", b"", b"the dog"]
+    (n, h, starts), = m.chunks([type("S", (), {"as_py": lambda self, d=d: d})() for d in docs])
+    words = {w: int(h[i]) for i, w in enumerate(docs[0].split())}
+    own = m.OwnRows(np.array(sorted([words[b"the"], words[b"cat"]]), np.uint64), np.array([2, 2]), 1, 10)
+    plain, made = m.features(h, starts, m.OwnRows(h[:0], np.array([]), 1, 0)), m.features(h, starts, own)
+    previous = [w for d in docs for w in (None, *d.split())]
+    assert n == 3 and len(previous) == len(h)
+    for i, w in enumerate(previous):
+        if w in (b"the", b"cat"):
+            assert made[0][i] == own.of(np.array([words[w]], np.uint64))[0] >= sum(m.ROWS)
+        else:
+            assert made[0][i] == plain[0][i] < m.ROWS[0]
+    assert all(np.array_equal(a, b) for a, b in zip(made[1:], plain[1:]))
+
+
+def test_lm_rows_of_their_own_help(spark):
+    from tidemark.llm.lm_scoring import score_documents
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = lambda **how: score_documents(docs, **how).filter("held_out").agg({"score": "sum"}).first()[0]
+    assert held() > held(own_words=0)
+
+
 def test_lm_is_a_distribution():
     import numpy as np
 
     from tidemark.llm import lm_scoring as m
 
     rng = np.random.default_rng(1)
-    model = m.MaxEnt(rng.integers(1, 50, m.CLASSES).astype(float), np.full(m.CLASSES, 3.0))
+    own = m.OwnRows(np.array([3, 7, 9, 11], np.uint64), np.array([5, 1, 9, 4]), 2, 2)
+    assert own.of(np.array([9, 3, 7, 11, 8], np.uint64)).tolist() == [sum(m.ROWS), sum(m.ROWS) + 1, -1, -1, -1]  # most frequent first, too rare, past the bound
+    model = m.MaxEnt(rng.integers(1, 50, m.CLASSES).astype(float), np.full(m.CLASSES, 3.0), own)
     f = rng.integers(0, 1000, (4, 64)).astype(np.uint16)
     k = rng.integers(0, m.CLASSES, 64)
     seen = np.zeros(len(model.weights), np.int64)

@@ -15,6 +15,10 @@ Three passes over the texts, each in bounded numpy batches:
    the tasks; all other words of a text go through a join with the rest of the counts, so every
    count used is the exact one.
 
+Features of the preceding word grow with the corpus: every word that occurs often enough in
+training (``own_least``) has a weight row of its own, up to ``own_words`` rows, the most frequent
+first; rarer words share hashed rows.
+
 Words are known by 64-bit hashes.  Nulls: a null text is empty (one end token); a null id stays
 null and isn't held out.  Equal rows are scored once each and all count in training.  An empty
 table gives an empty result.  Columns besides the id and the text are not read.
@@ -33,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import id_and_bytes, n_partitions, remainder, tree_summed, word_runs, written
 
 CLASSES = 32
-#: Rows of the weight table by template: previous word; three preceding classes; the word before the previous; classes two to four back.
+#: Shared rows of the weight table by template: previous word without a row of its own; three preceding classes; the word before the previous; classes two to four back.
 ROWS = (1 << 13, 1 << 14, 1 << 12, 1 << 12)
 STARTS = tuple(int(x) for x in np.cumsum((0, *ROWS[:-1])))
 BLOCK = 256
@@ -61,8 +65,28 @@ def chunks(bodies) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield len(held), h, starts
 
 
-def features(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Weight rows active at each token, one line per template, counted from the template's first."""
+class OwnRows:
+    """Words with a weight row of their own: sorted hashes, and the rows in order of frequency behind the shared ones."""
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, least: int, most: int):
+        often = np.flatnonzero(counts >= least)
+        often = often[np.lexsort((hashes[often], -counts[often]))[:most]]
+        order = np.argsort(hashes[often])
+        self.hashes, self.rows = hashes[often][order], (sum(ROWS) + order).astype(np.int32)
+
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        """The row of each token's word, -1 for none."""
+        if not len(self.hashes):
+            return np.full(len(h), -1, np.int32)
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == h, self.rows[at], np.int32(-1))
+
+
+def features(h: np.ndarray, starts: np.ndarray, own: OwnRows) -> list[np.ndarray]:
+    """Weight rows active at each token, one array per template, counted from the template's first."""
     k = (h & np.uint64(CLASSES - 1)).astype(np.uint32)
     nth = np.arange(len(h)) - np.repeat(starts, np.diff(np.append(starts, len(h))))
 
@@ -72,14 +96,17 @@ def features(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
         return y
 
     k1, k2, k3, k4 = (back(k, n) for n in range(1, 5))
-    out = np.empty((4, len(h)), np.uint16)
-    for t, (x, bits) in enumerate(((back(h, 1), 13), ((k1 * 32 + k2) * 32 + k3, 14), (back(h, 2) ^ np.uint64(1), 12), (((k2 * 32 + k3) * 32 + k4) ^ np.uint32(1 << 20), 12))):
-        out[t] = x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)
+    out = []
+    for x, bits in ((back(h, 1), 13), ((k1 * 32 + k2) * 32 + k3, 14), (back(h, 2) ^ np.uint64(1), 12), (((k2 * 32 + k3) * 32 + k4) ^ np.uint32(1 << 20), 12)):
+        out.append((x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.uint16))
+    if len(own):
+        row = back(own.of(h) + 1, 1)  # 0 for none
+        out[0] = np.where(row > 0, row - 1, out[0].astype(np.int32))
     return out
 
 
-def class_logits(weights: np.ndarray, bias: np.ndarray, f: np.ndarray) -> np.ndarray:
-    z = weights[: ROWS[0]].take(f[0], axis=0)
+def class_logits(weights: np.ndarray, bias: np.ndarray, f: list[np.ndarray]) -> np.ndarray:
+    z = weights.take(f[0], axis=0)
     for t in range(1, len(f)):
         z += weights[STARTS[t] :].take(f[t], axis=0)
     z += bias
@@ -87,14 +114,14 @@ def class_logits(weights: np.ndarray, bias: np.ndarray, f: np.ndarray) -> np.nda
     return z
 
 
-def update(weights: np.ndarray, seen: np.ndarray, bias: np.ndarray, f: np.ndarray, k: np.ndarray, rate: float) -> None:
+def update(weights: np.ndarray, seen: np.ndarray, bias: np.ndarray, f: list[np.ndarray], k: np.ndarray, rate: float) -> None:
     """One gradient step on a batch of tokens: for each row the mean of (observed - expected) over its tokens."""
     g = class_logits(weights, bias, f)
     np.exp(g, out=g)
     g /= -g.sum(axis=1, keepdims=True)
     g[np.arange(len(k)), k] += 1
     for t in range(len(f)):
-        order = np.argsort(f[t], kind="stable")  # by radix, of 16-bit numbers
+        order = np.argsort(f[t], kind="stable")  # by radix where 16 bits wide
         s = f[t][order]
         first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
         rows = s[first].astype(np.int64) + STARTS[t]
@@ -104,14 +131,15 @@ def update(weights: np.ndarray, seen: np.ndarray, bias: np.ndarray, f: np.ndarra
 
 
 class MaxEnt:
-    """Class weights and class sizes; about 4 MB whatever the corpus."""
+    """Class weights and class sizes: 4 MB, and 128 bytes for each row of ``own``."""
 
-    def __init__(self, tokens: np.ndarray, words: np.ndarray):
+    def __init__(self, tokens: np.ndarray, words: np.ndarray, own: OwnRows):
         self.tokens, self.words = tokens, words  # by class
         self.n_tokens, self.n_words = int(tokens.sum()), int(words.sum())
         share = (tokens + 1.0) / (tokens.sum() + CLASSES)
         self.bias = np.log(share).astype(np.float32)
-        self.weights = np.zeros((sum(ROWS), CLASSES), np.float32)
+        self.own = own
+        self.weights = np.zeros((-(-(sum(ROWS) + len(own)) // BLOCK) * BLOCK, CLASSES), np.float32)
 
 
 def training_rows(docs: DataFrame, id_col: str, held_out: tuple[int, int]) -> DataFrame:
@@ -145,22 +173,28 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 def gradient_round(texts: DataFrame, model: MaxEnt, batch: int, rate: float) -> np.ndarray:
     """New weights after every task has updated its own copy over all of its texts."""
-    shared = texts.sparkSession.sparkContext.broadcast((model.weights, model.bias))
+    shared = texts.sparkSession.sparkContext.broadcast((model.weights, model.bias, model.own))  # of bounded size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = 0
-        weights, bias = shared.value[0].copy(), shared.value[1]
+        weights, bias, own = shared.value
+        weights = weights.copy()
         seen = np.zeros(len(weights), np.int64)
         for b in batches:
             for _, h, starts in chunks(b.column(1)):
-                f, k = features(h, starts), (h & np.uint64(CLASSES - 1)).astype(np.int64)
+                f, k = features(h, starts, own), (h & np.uint64(CLASSES - 1)).astype(np.int64)
                 for s in range(0, len(h), batch):
-                    update(weights, seen, bias, f[:, s : s + batch], k[s : s + batch], rate / math.sqrt(1 + step / 400))
+                    update(weights, seen, bias, [x[s : s + batch] for x in f], k[s : s + batch], rate / math.sqrt(1 + step / 400))
                     step += 1
         if step:
-            n = seen.astype(np.float32)[:, None]
-            rows = np.concatenate((weights * n, n), axis=1).reshape(-1, BLOCK, CLASSES + 1)
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())], ["block", "body"])
+            full = np.flatnonzero(seen.reshape(-1, BLOCK).any(axis=1))
+            for part in np.array_split(full, -(-len(full) // 64)):
+                bodies = []
+                for block in part:
+                    rows = slice(block * BLOCK, (block + 1) * BLOCK)
+                    n = seen[rows].astype(np.float32)[:, None]
+                    bodies.append(np.concatenate((weights[rows] * n, n), axis=1).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(bodies, pa.binary())], ["block", "body"])
 
     made = tree_summed(texts.mapInArrow(run, "block int, body binary"), n_partitions(texts), np.float32)
     out = model.weights.copy()
@@ -174,12 +208,14 @@ def gradient_round(texts: DataFrame, model: MaxEnt, batch: int, rate: float) ->
 
 
 def score_documents(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: tuple[int, int] = (7, 2), rounds: int = 1, batch: int = 8192, rate: float = 1.5, head_words: int = 1 << 19
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: tuple[int, int] = (7, 2), rounds: int = 1, batch: int = 8192, rate: float = 1.5, head_words: int = 1 << 19,
+    own_words: int = 1 << 19, own_least: int = 32,
 ) -> DataFrame:
     """``(id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` of every document.
 
     ``held_out = (m, r)``: rows with crc32(id as text) mod m = r are not learnt from.
-    ``head_words`` bounds the words that travel with the tasks (16 bytes each).
+    ``head_words`` bounds the words that travel with the tasks (16 bytes each), ``own_words`` those
+    of them with a weight row of their own (128 bytes each), which occur ``own_least`` times or more.
     """
     spark = docs.sparkSession
     texts = id_and_bytes(docs, id_col, text_col)
@@ -191,7 +227,6 @@ def score_documents(
     tokens, words = np.zeros(CLASSES), np.zeros(CLASSES)
     for r in sizes:
         tokens[r["k"]], words[r["k"]] = r["n"], r["v"]
-    model = MaxEnt(tokens, words)
     least, held = 1 << 62, 0
     for r in by_count:
         held += r["v"]
@@ -203,6 +238,7 @@ def score_documents(
     hh = hh.view(np.uint64)
     order = np.argsort(hh)
     hh, hc = hh[order], hc[order]
+    model = MaxEnt(tokens, words, OwnRows(hh, hc, own_least, own_words))
     if model.n_tokens:
         for _ in range(rounds):
             model.weights = gradient_round(train, model, batch, rate)
@@ -210,18 +246,18 @@ def score_documents(
     n, v = model.n_tokens, model.n_words
     in_class = np.log10(tokens + words + 1)
     base_all = math.log10(n + v + 1)
-    shared = spark.sparkContext.broadcast((hh, hc, model.weights, model.bias, in_class))
+    shared = spark.sparkContext.broadcast((hh, hc, model.weights, model.bias, model.own, in_class))  # of bounded size
     ln10 = math.log(10)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hh, hc, weights, bias, in_class = shared.value
+        hh, hc, weights, bias, own, in_class = shared.value
         for b in batches:
             row = 0
             for docs_in, h, starts in chunks(b.column(1)):
-                f, k = features(h, starts), (h & np.uint64(CLASSES - 1)).astype(np.int64)
+                f, k = features(h, starts, own), (h & np.uint64(CLASSES - 1)).astype(np.int64)
                 logp = np.empty(len(h))
                 for s in range(0, len(h), 8192):
-                    z = class_logits(weights, bias, f[:, s : s + 8192])
+                    z = class_logits(weights, bias, [x[s : s + 8192] for x in f])
                     logp[s : s + 8192] = (z[np.arange(len(z)), k[s : s + 8192]] - np.log(np.exp(z).sum(axis=1))) / ln10
                 u, inv = np.unique(h, return_inverse=True)
                 at = np.minimum(np.searchsorted(hh, u), max(len(hh) - 1, 0))
