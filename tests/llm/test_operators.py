@@ -103,6 +103,22 @@ def test_lm_features_against_plain():
     assert all(np.array_equal(a, b) for a, b in zip(made[1:], plain[1:]))
 
 
+def test_lm_averages_of_copies():
+    import numpy as np
+
+    from tidemark.llm import lm_scoring as m
+
+    rng, copies = np.random.default_rng(2), []
+    for _ in range(70):
+        x = np.zeros(m.BLOCK, m.ROW)
+        x["w"], x["n"] = rng.normal(size=(m.BLOCK, m.CLASSES)), rng.integers(0, 1000, m.BLOCK)
+        copies.append(x)
+    w, n = (np.stack([x[c].astype(float) for x in copies]) for c in ("w", "n"))
+    made = m.averaged([m.averaged(copies[:64]), m.averaged(copies[64:])])
+    assert np.allclose(made["w"], (w * n[..., None]).sum(0) / n.sum(0)[:, None], atol=2e-3) and np.array_equal(made["n"], n.sum(0))
+    assert not m.averaged([np.zeros(m.BLOCK, m.ROW)])["w"].any()
+
+
 def test_lm_rows_of_their_own_help(spark):
     from tidemark.llm.lm_scoring import score_documents
 

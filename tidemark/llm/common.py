@@ -136,17 +136,20 @@ def word_runs(bodies: Iterator[bytes], size: int = 1 << 20) -> Iterator[tuple[li
         yield held, Words(held)
 
 
-def tree_summed(made: DataFrame, parts: int, dtype, join=np.add, fan: int = 64) -> DataFrame:
+def tree_summed(made: DataFrame, parts: int, dtype, join=np.add, fan: int = 64, merge=None) -> DataFrame:
     """``(block, body)`` arrays of all tasks joined block by block, at most ``fan`` copies at a time.
 
     ``made``: rows ``(block int, body binary)`` of numpy arrays of ``dtype``; ``parts``: how many
-    partitions may hold a copy of a block, each at most one.
+    partitions may hold a copy of a block, each at most one.  ``merge`` joins a list of copies at once.
     """
 
     def joined(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.frombuffer(pdf["body"].iloc[0], dtype).copy()
-        for x in pdf["body"].iloc[1:]:
-            join(total, np.frombuffer(x, dtype), out=total)
+        if merge:
+            total = merge([np.frombuffer(x, dtype) for x in pdf["body"]])
+        else:
+            total = np.frombuffer(pdf["body"].iloc[0], dtype).copy()
+            for x in pdf["body"].iloc[1:]:
+                join(total, np.frombuffer(x, dtype), out=total)
         return pd.DataFrame({"block": pdf["block"].iloc[:1], "part": pdf["part"].iloc[:1], "body": [total.tobytes()]})
 
     made = made.withColumn("part", F.spark_partition_id())

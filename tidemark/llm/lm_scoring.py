@@ -41,6 +41,8 @@ CLASSES = 32
 ROWS = (1 << 13, 1 << 14, 1 << 12, 1 << 12)
 STARTS = tuple(int(x) for x in np.cumsum((0, *ROWS[:-1])))
 BLOCK = 256
+#: A weight row on its way between tasks: half-precision weights and the tokens that they were fitted on.
+ROW = np.dtype([("w", np.float16, CLASSES), ("n", np.float32)])
 END = np.uint64(0x2545F4914F6CDD1D & ~(CLASSES - 1))  # the end token's hash, of class 0
 #: Characters that don't belong to a word's ending.
 _IS_MARK = np.zeros(256, bool)
@@ -171,6 +173,17 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
+def averaged(copies: list[np.ndarray]) -> np.ndarray:
+    """Averages of rows, weighted by their tokens and taken in single precision."""
+    w, n = np.zeros((len(copies[0]), CLASSES), np.float32), np.zeros(len(copies[0]), np.float32)
+    for x in copies:
+        w += x["w"].astype(np.float32) * x["n"][:, None]
+        n += x["n"]
+    out = np.zeros(len(n), ROW)
+    out["w"], out["n"] = w / np.maximum(n, 1)[:, None], n
+    return out
+
+
 def gradient_round(texts: DataFrame, model: MaxEnt, batch: int, rate: float) -> np.ndarray:
     """New weights after every task has updated its own copy over all of its texts."""
     shared = texts.sparkSession.sparkContext.broadcast((model.weights, model.bias, model.own))  # of bounded size
@@ -192,17 +205,17 @@ def gradient_round(texts: DataFrame, model: MaxEnt, batch: int, rate: float) ->
                 bodies = []
                 for block in part:
                     rows = slice(block * BLOCK, (block + 1) * BLOCK)
-                    n = seen[rows].astype(np.float32)[:, None]
-                    bodies.append(np.concatenate((weights[rows] * n, n), axis=1).tobytes())
+                    made = np.zeros(BLOCK, ROW)
+                    made["w"], made["n"] = np.where(seen[rows, None] > 0, weights[rows], 0), seen[rows]
+                    bodies.append(made.tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(bodies, pa.binary())], ["block", "body"])
 
-    made = tree_summed(texts.mapInArrow(run, "block int, body binary"), n_partitions(texts), np.float32)
+    made = tree_summed(texts.mapInArrow(run, "block int, body binary"), n_partitions(texts), ROW, merge=averaged)
     out = model.weights.copy()
     for r in made.collect():  # the weight table
-        x = np.frombuffer(bytes(r["body"]), np.float32).reshape(BLOCK, CLASSES + 1)
+        x = np.frombuffer(bytes(r["body"]), ROW)
         rows = slice(r["block"] * BLOCK, (r["block"] + 1) * BLOCK)
-        n = x[:, CLASSES:]
-        out[rows] = np.where(n > 0, x[:, :CLASSES] / np.maximum(n, 1), out[rows])
+        out[rows] = np.where(x["n"][:, None] > 0, x["w"], out[rows])
     shared.unpersist()
     return out
 
