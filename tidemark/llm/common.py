@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -50,6 +52,18 @@ def drop_written(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets the shuffle files of finished plans go, which executors keep on disk until the driver collects its garbage.
+
+    Late events of a plan still refer to it for a moment, so this collects three times.
+    """
+    for k in range(3):
+        if k:
+            time.sleep(0.25)
+        gc.collect()
+        spark._jvm.System.gc()
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, mixed, n_partitions, tree_summed, window_hashes, word_runs, written
+from .common import drop_written, mixed, n_partitions, release, tree_summed, window_hashes, word_runs, written
 from .graph import components
 
 #: Counters of the sketch and bits of the row filter, as powers of two: what small tables get, and the most (64 and 32 MB).
@@ -127,6 +127,7 @@ def _members(texts: DataFrame, width: int, kind: str) -> tuple[DataFrame, np.nda
     sketch = np.zeros(1 << bits, np.int64)
     for r in _summed_counts(made.filter(F.col("block").isNotNull()).select("block", "body", "part"), n_partitions(texts)).collect():  # the sketch
         sketch[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(bytes(r["body"]), np.int64)
+    release(texts.sparkSession)
     return made.filter(F.col("block").isNull()).select("id", "class", "n", "key"), sketch
 
 
@@ -472,8 +473,10 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = _texts(docs, id_col, text_col)
     members, sketch = _members(texts, width, docs.schema[id_col].dataType.simpleString())
     rows = written(_lists(_prefixes(texts, width, percent, sketch)), "lists")
+    release(docs.sparkSession)
     lists = written(_paired(rows, percent), "paired")
     drop_written(rows)
+    release(docs.sparkSession)
     wide = _pivots(lists).filter("c <> p").select(F.col("c").alias("a"), F.col("p").alias("b"), F.lit(True).alias("wide"))
     narrow = _candidates(lists, percent).select("a", "b", F.lit(False).alias("wide"))
     pairs = written(wide.unionByName(narrow).groupBy("a", "b").agg(F.max("wide").alias("wide")), "pairs")
@@ -486,6 +489,7 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     drop_written(keys)
     first = written(_met(pairs, sets, percent, levels_of(sketch)), "met")
     drop_written(pairs)
+    release(docs.sparkSession)
     links = first.filter("link").select(F.col("a").alias("u"), F.col("b").alias("v"))
     parts = written(components(links), "components")
 
@@ -496,6 +500,7 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         before, parts = parts, written(joined, "components")
         drop_written(before)
         drop_written(found)
+        release(docs.sparkSession)
     for x in (more, first, sets):
         drop_written(x)
     of = F.coalesce("component", "class")
