@@ -4,80 +4,86 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .bpe import encoding_digests
 from .common import read_table, written
+from .embedding_dedup import link_vectors
+from .hard_negatives import mine
+from .jaccard_join import near_duplicates
+from .license_scan import scan
+from .lm_scoring import score_documents
+from .packing import pack
+from .prefix_trie import prefix_trie
+from .quality_rules import verdicts
+from .secrets_scan import digests
+from .token_counts import context_totals, length_histogram
+from .toxicity import classify
+from .url_filters import judge, rule_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def vocabulary(name: str) -> str:
     """Where a public vocabulary file lies; any other path does as well."""
-    import public_tokenizers
-
     return public_tokenizers.path(name)
 
 
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .secrets_scan import digests
-
     return digests(read_table(spark, sf_dir, "documents"))
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .lm_scoring import score_documents
-
     return score_documents(read_table(spark, sf_dir, "documents"), held_out=(7, 2))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .token_counts import context_totals, length_histogram
-
     return context_totals(written(length_histogram(read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")), "histogram"))
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .jaccard_join import near_duplicates
-
     return near_duplicates(read_table(spark, sf_dir, "documents"), width=5, percent=75)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .packing import pack
-
     return pack(read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), limit=2048, end_id=1)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .quality_rules import verdicts
-
     return verdicts(read_table(spark, sf_dir, "documents"))
 
 
 def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .license_scan import scan
-
     return scan(read_table(spark, sf_dir, "documents"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .toxicity import classify
-
     return classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), held_out=(5, 0))
 
 
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .embedding_dedup import link_vectors
-
     return link_vectors(read_table(spark, sf_dir, "embeddings"), least=0.93)
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .bpe import encoding_digests
-
     return encoding_digests(read_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(read_table(spark, sf_dir, "conversations"), group=20, most=4)
+
+
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(read_table(spark, sf_dir, "pages"), rule_table(spark))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(read_table(spark, sf_dir, "embeddings"), positives=5, negatives=5, low=80, high=100, every=100, label=label)
+
+
 QUERIES: dict[str, Query] = {
     "op1_secret_scans": op1_secret_scans,
     "op2_lm_scoring": op2_lm_scoring,
@@ -89,6 +95,9 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": op8_toxicity,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_bpe": op10_bpe,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_url_filters": op12_url_filters,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 #: Words are runs of anything but the six separators; A-Z alone are lowered, as translate() does.
@@ -143,4 +152,51 @@ ORACLE_SQL: dict[str, str] = {
         n AS (SELECT u, count(*) AS n FROM links GROUP BY u)
         SELECT x.vec_id, coalesce(n.n, 0) AS n_links, least.component AS component_id, x.vec_id = least.component AS kept
         FROM embeddings x LEFT JOIN n ON n.u = x.vec_id JOIN least ON least.u = x.vec_id""",
+    "op11_prefix_trie": """
+        WITH o AS MATERIALIZED (
+            SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS at, coalesce(role, '') AS role, coalesce(text, '') AS text
+            FROM conversations WHERE conv_id IS NOT NULL),
+        steps AS (SELECT c, list_concat([4294967295], flatten(list_transform(string_split(c::VARCHAR, ''), lambda x: [ascii(x), -1, -1, -1, -1, -1, -1, -1, -1]))) AS s FROM o GROUP BY c),
+        h AS (SELECT c, xor(list_reduce(s, lambda x, y: CASE WHEN y >= 0 THEN xor(x, y) WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END), 4294967295) % 4 AS h FROM steps),
+        r AS (
+            SELECT h.c, o.at AS ord, 0 AS own, role, text FROM h JOIN o ON o.c = h.c - h.c % 20 AND o.at <= h.h
+            UNION ALL SELECT h.c, o.at, 1, role, text FROM h JOIN o ON o.c = h.c AND o.at > h.h),
+        p AS MATERIALIZED (
+            SELECT c, row_number() OVER w AS depth, string_agg(md5(length(role)::VARCHAR || ':' || role || text), '') OVER w AS path, len(list_filter(regexp_split_to_array(text, '[ \\t-\\r]+'), lambda x: x <> '')) AS words
+            FROM r WINDOW w AS (PARTITION BY c ORDER BY own, ord)
+            UNION ALL SELECT c, 0, '', 0 FROM h),
+        size AS (SELECT c, max(depth) AS size FROM p GROUP BY c),
+        nodes AS MATERIALIZED (
+            SELECT depth, path, min(c) AS conv_id, count(*) AS n, min(words) AS words, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (depth = size), '') AS ends
+            FROM p JOIN size USING (c) GROUP BY depth, path),
+        kids AS MATERIALIZED (SELECT depth - 1 AS depth, path[:32 * (depth - 1)] AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+        sums AS (
+            SELECT a.depth, a.path, count(*) FILTER (k.n_children IS NULL) AS n_leaves, sum((b.n - 1) * b.words)::BIGINT AS saved_tokens
+            FROM nodes a JOIN nodes b ON b.depth >= a.depth AND b.path[:32 * a.depth] = a.path LEFT JOIN kids k ON k.depth = b.depth AND k.path = b.path GROUP BY ALL)
+        SELECT x.conv_id, x.depth, u.conv_id AS parent_conv_id, x.n AS n_convs, coalesce(k.n_children, 0) AS n_children, s.n_leaves, s.saved_tokens, sha256(x.ends) AS ends_sha256
+        FROM nodes x JOIN sums s ON s.depth = x.depth AND s.path = x.path
+        LEFT JOIN nodes u ON u.depth = x.depth - 1 AND u.path = x.path[:32 * (x.depth - 1)] LEFT JOIN kids k ON k.depth = x.depth AND k.path = x.path""",
+    "op12_url_filters": f"""
+        WITH u AS (SELECT row_number() OVER () AS k, page_id, CASE WHEN instr(url, '://') > 0 THEN url[instr(url, '://') + 3:] ELSE '' END AS rest FROM pages),
+        p AS (SELECT k, page_id, {_LOWER.format("regexp_extract(rest, '^([^/?#]*)([^?#]*)', 1)")} AS host, regexp_extract(rest, '^([^/?#]*)([^?#]*)', 2) AS path FROM u),
+        q AS (
+            SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '[.]+', '.', 'g'), '^[.]|[.]$', '', 'g') AS h2, regexp_replace(path, '/+', '/', 'g') AS p1 FROM p),
+        c AS (SELECT *, CASE WHEN p1 = '' AND h2 <> '' THEN '/' ELSE p1 END AS p2 FROM q),
+        rules AS (SELECT * FROM (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')) t(verdict, h, p)),
+        hits AS (
+            SELECT k, arg_max(struct_pack(rule := CASE WHEN own THEN h || p END, verdict := verdict), struct_pack(own := own, n := length(h) + length(p), h := length(h))) AS best
+            FROM (
+                SELECT k, true AS own, r.* FROM c JOIN rules r ON (host = r.h OR ends_with(host, '.' || r.h)) AND starts_with(path, r.p)
+                UNION ALL SELECT k, false, r.* FROM c JOIN rules r ON (h2 = r.h OR ends_with(h2, '.' || r.h)) AND starts_with(p2, r.p))
+            GROUP BY k)
+        SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow') AS verdict FROM c LEFT JOIN hits USING (k)""",
+    "op13_hard_negatives": """
+        WITH e AS MATERIALIZED (
+            SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+            FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS MATERIALIZED (SELECT a.id AS a, b.id AS b, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS s FROM e a JOIN e b ON a.id % 100 = 0 AND a.id <> b.id),
+        p AS (SELECT a, b, s FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5)
+        SELECT p.a AS anchor_id, p.b AS positive_id, (row_number() OVER w)::INTEGER AS rank, s.b AS negative_id, p.s AS positive_score, s.s AS negative_score
+        FROM p JOIN s ON s.a = p.a AND NOT s.same AND 80 * p.s <= 100 * s.s AND 100 * s.s <= 100 * p.s
+        WINDOW w AS (PARTITION BY p.a, p.b ORDER BY s.s DESC, s.b) QUALIFY rank <= 5""",
 }
