@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import LOCAL_TZ, MODEL_ORDER, TIMESTAMP
 from ..functions.metrics import corrected_kurtosis, corrected_skewness, error_bundle, mae, percent_reduction, quantiles, rmse
+from . import ordered
 from .timeaxis import calendar, day_name
 
 MODEL = "model_label"
@@ -83,15 +84,11 @@ def residual_distribution(predictions: DataFrame) -> DataFrame:
 
 
 def residual_autocorrelation(predictions: DataFrame, max_lag: int) -> DataFrame:
-    """Correlation of each model's residuals with themselves ``lag`` rows before, over the overlap.
-
-    One window gives every row its earlier residuals; lags are exploded, so no self-join is needed.
-    """
-    w = Window.partitionBy(MODEL).orderBy(TIMESTAMP)
-    n = F.count(F.lit(1)).over(Window.partitionBy(MODEL))
-    rows = predictions.select(MODEL, "residual", F.collect_list("residual").over(w.rowsBetween(-max_lag, -1)).alias("before"), n.alias("n"))
-    pairs = rows.select(MODEL, "residual", "n", F.posexplode(F.reverse("before")).alias("k", "earlier")).filter(F.col("k") + 1 <= F.col("n") - 1)
-    return pairs.groupBy(MODEL, (F.col("k") + 1).alias("lag")).agg(F.corr("residual", "earlier").alias("autocorrelation"))
+    """Correlation of each model's residuals with themselves ``lag`` rows before, over the overlap, from sums by stretch."""
+    g = ordered.lagged_sums(predictions, [MODEL], "residual", max_lag).filter("lag > 0")
+    n = F.col("n")
+    xx, yy, xy = (F.col(c) - F.col(a) * F.col(b) / n for c, a, b in (("sxx", "sx", "sx"), ("syy", "sy", "sy"), ("sxy", "sx", "sy")))
+    return g.select(MODEL, "lag", F.try_divide(xy, F.sqrt(F.greatest(xx, F.lit(0.0)) * F.greatest(yy, F.lit(0.0)))).alias("autocorrelation"))
 
 
 def segment_conditions(thresholds: bool = True, low: bool = True) -> dict[str, Column]:

@@ -2,34 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from ..config import CALENDAR, LAGS, LOCAL_TZ, MEAN_WINDOWS, STD_WINDOWS, TARGET, TIMESTAMP, feature_columns, feature_set, positive_numbers
 from ..functions.metrics import close
+from . import ordered
 from .timeaxis import calendar, local_time, over_time
 
 
-def lag_columns(lags: list[int], series: list[str] = (), target: str = TARGET) -> dict[str, Column]:
-    w = over_time(list(series))
+def lag_columns(lags: list[int], series: list[str] = (), target: str = TARGET, w: WindowSpec | None = None) -> dict[str, Column]:
+    """``w``: the window of ``ordered.chunks``, for series too long for one task each."""
+    w = w or over_time(list(series))
     return {f"lag_{k}": F.lag(F.col(target).cast("double"), k).over(w) for k in positive_numbers(lags, "lags")}
 
 
-def rolling_columns(means: list[int], stds: list[int], series: list[str] = (), target: str = TARGET) -> dict[str, Column]:
+def rolling_columns(means: list[int], stds: list[int], series: list[str] = (), target: str = TARGET, w: WindowSpec | None = None) -> dict[str, Column]:
     """Over the ``w`` rows before the current one; null until there are ``w``."""
     y = F.col(target).cast("double")
 
-    def rolled(f, w: int) -> Column:
-        rows = over_time(list(series)).rowsBetween(-w, -1)
-        return F.when(F.count(y).over(rows) == w, f(y).over(rows))
+    def rolled(f, k: int) -> Column:
+        rows = (w or over_time(list(series))).rowsBetween(-k, -1)
+        return F.when(F.count(y).over(rows) == k, f(y).over(rows))
 
-    return {f"rolling_mean_{w}": rolled(F.avg, w) for w in means} | {f"rolling_std_{w}": rolled(F.stddev_samp, w) for w in stds}
+    return {f"rolling_mean_{k}": rolled(F.avg, k) for k in means} | {f"rolling_std_{k}": rolled(F.stddev_samp, k) for k in stds}
 
 
 def centred_rolling(df: DataFrame, width: int = 168, series: list[str] = (), target: str = TARGET) -> DataFrame:
     """Exploratory mean and deviation over a centred window, from one row on."""
-    rows = over_time(list(series)).rowsBetween(-(width // 2), (width - 1) // 2)
-    return df.withColumns({"rolling_mean": F.avg(target).over(rows), "rolling_std": F.stddev_samp(target).over(rows)})
+    back, ahead = width // 2, (width - 1) // 2
+    rows = ordered.window(series).rowsBetween(-back, ahead)
+    cut = ordered.chunks(df, series, TIMESTAMP, before=back, after=ahead)
+    return ordered.own(cut.withColumns({"rolling_mean": F.avg(target).over(rows), "rolling_std": F.stddev_samp(target).over(rows)}))
 
 
 def add_calendar(df: DataFrame, columns: list[str], tz: str = LOCAL_TZ) -> DataFrame:
@@ -38,10 +42,12 @@ def add_calendar(df: DataFrame, columns: list[str], tz: str = LOCAL_TZ) -> DataF
 
 
 def engineered(df: DataFrame, kind: str, series: list[str] = (), tz: str = LOCAL_TZ, target: str = TARGET) -> DataFrame:
-    """All features of a set as columns, all windows in one pass over the sorted series."""
+    """All features of a set as columns: all windows in one pass over sorted stretches with a halo of the rows that they look back."""
     s = feature_set(kind)
-    columns = lag_columns(LAGS[s], series, target) | rolling_columns(MEAN_WINDOWS[s], STD_WINDOWS[s], series, target)
-    return add_calendar(df, CALENDAR[s], tz).withColumns(columns)
+    w = ordered.window(series)
+    columns = lag_columns(LAGS[s], series, target, w) | rolling_columns(MEAN_WINDOWS[s], STD_WINDOWS[s], series, target, w)
+    cut = ordered.chunks(df, series, TIMESTAMP, before=max(*LAGS[s], *MEAN_WINDOWS[s], *STD_WINDOWS[s]))
+    return add_calendar(ordered.own(cut.withColumns(columns)), CALENDAR[s], tz)
 
 
 def drop_incomplete(df: DataFrame, columns: list[str], target: str = TARGET) -> DataFrame:
@@ -85,9 +91,7 @@ def feature_set_table(spark) -> DataFrame:
 def evenly_sampled(df: DataFrame, size: int, series: list[str] = ()) -> DataFrame:
     """Rows at ``size`` evenly spaced positions, first and last included; all rows if there are no more."""
     keys = list(series)
-    pos = df.withColumn("pos", F.row_number().over(over_time(keys)) - 1)
-    n = F.count(F.lit(1)).over(Window.partitionBy(*(keys or [F.lit(0)])))
-    pos = pos.withColumn("n", n)
+    pos = ordered.numbered(df, keys, TIMESTAMP, "pos", total="n")
     step = (F.col("n") - 1) / F.lit(float(max(size - 1, 1)))
     nth = F.floor(F.col("pos") / F.when(step > 0, step) + 0.5)
     hit = F.exists(F.array(nth - 1, nth, nth + 1), lambda k: (k >= 0) & (k < size) & (F.floor(k * step + 1e-9) == F.col("pos")))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import TARGET, TIMESTAMP
-from .timeaxis import over_time
+from . import ordered
 
 
 def with_split(df: DataFrame, test_days: int, series: list[str] = ()) -> DataFrame:
@@ -44,7 +44,7 @@ def fold_table(spark, n_rows: int, n_folds: int, val_horizon: int, gap: int = 0,
 
 
 def with_position(df: DataFrame, series: list[str] = ()) -> DataFrame:
-    return df.withColumn("pos", F.row_number().over(over_time(list(series))).cast("bigint") - 1)
+    return ordered.numbered(df, series, TIMESTAMP, "pos")
 
 
 def cv_rows(df: DataFrame, n_folds: int, val_horizon: int, gap: int = 0, series: list[str] = (), least_train: int = 168) -> DataFrame:
@@ -53,8 +53,7 @@ def cv_rows(df: DataFrame, n_folds: int, val_horizon: int, gap: int = 0, series:
     Folds are counted back from each series' own end; the fold table is joined by position range.
     """
     keys = list(series)
-    n = F.count(F.lit(1)).over(Window.partitionBy(*(keys or [F.lit(0)])))
-    rows = with_position(df, keys).withColumn("n_rows", n)
+    rows = ordered.numbered(df, keys, TIMESTAMP, "pos", total="n_rows")
     folds = F.explode(F.sequence(F.lit(1), F.lit(n_folds))).alias("fold")
     rows = rows.filter(F.col("n_rows") >= least_train + gap + n_folds * val_horizon).select("*", folds)
     start = F.col("n_rows") - (F.lit(n_folds) - F.col("fold") + 1) * val_horizon
@@ -71,7 +70,8 @@ def origin_blocks(validation: DataFrame, horizon: int = 24) -> DataFrame:
 def block_table(source: DataFrame, rows: DataFrame, horizon: int = 24, series: list[str] = ()) -> DataFrame:
     """Per fold and block: origin (the row before), first and last timestamp, rows."""
     keys = list(series)
-    before = with_position(source, keys).withColumn("forecast_origin", F.lag(TIMESTAMP).over(over_time(keys))).select(*keys, TIMESTAMP, "forecast_origin")
+    cut = ordered.chunks(source.select(*keys, TIMESTAMP), keys, TIMESTAMP, before=1)
+    before = ordered.own(cut.withColumn("forecast_origin", F.lag(TIMESTAMP).over(ordered.window(keys))))
     val = origin_blocks(rows.filter("role = 'validation'"), horizon).join(before, [*keys, TIMESTAMP])
     return val.groupBy(*keys, "fold", "origin_block").agg(F.min_by("forecast_origin", "pos").alias("forecast_origin"), F.min(TIMESTAMP).alias("block_start"), F.max(TIMESTAMP).alias("block_end"), F.count(F.lit(1)).alias("n_rows"))
 
@@ -116,7 +116,10 @@ def training_rows(matrix: DataFrame, fold_train: DataFrame, series: list[str] =
 
 def training_window(train: DataFrame, max_rows: int = 0) -> DataFrame:
     """The last ``max_rows`` rows, or all for 0."""
-    return train.orderBy(F.desc(TIMESTAMP)).limit(max_rows).orderBy(TIMESTAMP) if max_rows else train
+    if not max_rows:
+        return train
+    rows = ordered.numbered(train, total="n_")
+    return rows.filter(F.col("pos_") >= F.col("n_") - max_rows).drop("pos_", "n_").orderBy(TIMESTAMP)
 
 
 def period_summary(df: DataFrame, target: str = TARGET, by: list[str] = ()) -> DataFrame:

@@ -1,7 +1,8 @@
 """Forecast comparison and residual tests.
 
-Statistics are column expressions; only p-values of non-elementary distributions run in Arrow
-batches, on tables of a row per test.
+Statistics are column expressions over stretches and pieces of the series (``ordered``); products at
+many lags run in numpy by stretch, and p-values of non-elementary distributions in Arrow batches, on
+tables of a row per test.
 """
 
 from __future__ import annotations
@@ -13,7 +14,9 @@ from pyspark.sql import functions as F
 
 from ..config import TIMESTAMP
 from ..functions.metrics import corrected_kurtosis, corrected_skewness, percent_reduction
-from ..functions.tails import chi2_p, normal_p, shapiro_wilk, sign_p, t_p
+from ..functions.tails import chi2_p, normal_p, normal_upper_p, sign_p, t_p
+from ..sources.staging import staged
+from . import ordered
 from .analysis import MODEL
 
 LOSSES = ("squared_error", "absolute_error")
@@ -51,11 +54,10 @@ def diebold_mariano(rows: DataFrame, by: list[str], horizon: int = 1, lags: int
     d = F.col("a") - F.col("b")
     rows = rows.filter(d.isNotNull() & ~F.isnan(d)).withColumn("d", d)
     most = max(horizon - 1, 0) if lags is None else lags
-    w = Window.partitionBy(*by).orderBy(order)
-    mean = F.avg("d").over(Window.partitionBy(*by))
-    centred = rows.withColumn("z", F.col("d") - mean)
-    centred = centred.withColumns({f"z{k}": F.lag("z", k).over(w) for k in range(1, most + 1)})
-    g = centred.groupBy(*by).agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("d").alias("mean_loss_difference"), F.avg("a").alias("baseline_loss"), F.avg("b").alias("challenger_loss"), *(F.sum(F.col("z") * (F.col("z") if k == 0 else F.coalesce(f"z{k}", F.lit(0.0)))).alias(f"g{k}") for k in range(most + 1)))
+    g = rows.groupBy(*by).agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("d").alias("mean_loss_difference"), F.avg("a").alias("baseline_loss"), F.avg("b").alias("challenger_loss"), (F.var_pop("d") * F.count(F.lit(1))).alias("g0"))
+    if most:
+        sums = ordered.lagged_sums(rows, by, "d", most, order).filter("lag > 0")
+        g = ordered.beside(g, sums.groupBy(*by).agg(*(F.max(F.when(F.col("lag") == k, F.col("sxy"))).alias(f"g{k}") for k in range(1, most + 1))), by)
     n = F.col("n")
     used = F.lit(0.0)
     for k in range(1, most + 1):
@@ -70,16 +72,23 @@ def diebold_mariano(rows: DataFrame, by: list[str], horizon: int = 1, lags: int
 
 
 def adjusted(tests: DataFrame, within: list[str], p: str = "p_value") -> DataFrame:
-    """Adds ``p_holm`` and ``p_bh`` inside each group; null p-values stay null and don't count."""
-    keys = [*within, "finite_"]
-    t = tests.withColumn("finite_", F.col(p).isNotNull() & ~F.isnan(p))
-    up = Window.partitionBy(*keys).orderBy(p)
-    m = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    t = t.withColumn("rank_", F.row_number().over(up)).withColumn("m_", m)
-    holm = F.max(F.least((F.col("m_") - F.col("rank_") + 1) * F.col(p), F.lit(1.0))).over(up.rowsBetween(Window.unboundedPreceding, 0))
-    down = Window.partitionBy(*keys).orderBy(F.desc("rank_")).rowsBetween(Window.unboundedPreceding, 0)
-    bh = F.min(F.least(F.col(p) * F.col("m_") / F.col("rank_"), F.lit(1.0))).over(down)
-    return t.withColumn("p_holm", F.when(F.col("finite_"), holm)).withColumn("p_bh", F.when(F.col("finite_"), bh)).drop("finite_", "rank_", "m_")
+    """Adds ``p_holm`` and ``p_bh`` inside each group; null p-values stay null and don't count.
+
+    Both depend on a p-value alone, so they are made for the distinct ones of a group: counts, then a
+    running maximum and a running minimum from the end, each in two levels over pieces of the order.
+    A piece is a sixty-fourth of an octave, so uniform p-values of one family lie in about a hundred.
+    """
+    keys, v = list(within), F.col("p_").cast("double")
+    x = F.col(p).cast("double")
+    t = staged(tests.withColumn("p_", F.when(~F.isnan(x), x)))
+    piece = F.when(v > 0, F.floor(64 * F.log2(F.when(v > 0, v)))).otherwise(F.lit(-(1 << 40)))
+    distinct = t.filter("p_ is not null").groupBy(*keys, "p_").agg(F.count(F.lit(1)).alias("k_"))
+    rows = ordered.running(distinct, keys, "p_", {"before_": ("sum", F.col("k_"), "before"), "m_": ("sum", F.col("k_"), "all")}, piece)
+    before = F.coalesce("before_", F.lit(0))
+    holm = F.least((F.col("m_") - before) * v, F.lit(1.0))
+    bh = F.least(v * F.col("m_") / (before + F.col("k_")), F.lit(1.0))
+    made = ordered.running(rows, keys, "p_", {"p_holm": ("max", holm, "up"), "p_bh": ("min", bh, "down")}, piece)
+    return ordered.beside(t, made.select(*keys, "p_", "p_holm", "p_bh"), [*keys, "p_"]).drop("p_")
 
 
 def dm_by_block(rows: DataFrame) -> DataFrame:
@@ -109,17 +118,12 @@ def dm_conclusion(tests: DataFrame, alpha: float = 0.05) -> DataFrame:
 
 
 def acf(df: DataFrame, value: str, by: list[str], max_lag: int, order: str = TIMESTAMP) -> DataFrame:
-    """Biased autocorrelations for lags 0 to ``max_lag`` with the 95 % bound."""
-    all_rows = Window.partitionBy(*by)
-    z = df.select(*by, order, (F.col(value) - F.avg(value).over(all_rows)).alias("z_"))
-    before = F.collect_list("z_").over(Window.partitionBy(*by).orderBy(order).rowsBetween(-max_lag, 0))
-    pairs = z.withColumn("before", F.reverse(before)).select(*by, "z_", F.posexplode("before").alias("lag", "earlier"))
-    g = pairs.groupBy(*by, "lag").agg(F.sum(F.col("z_") * F.col("earlier")).alias("sum_"), F.count(F.lit(1)).alias("count_"))
-    first = Window.partitionBy(*by).orderBy("lag").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    n = F.max("count_").over(Window.partitionBy(*by))
-    out = g.withColumn("acf", F.try_divide(F.col("sum_"), F.first("sum_").over(first))).withColumn("n", n)
-    bound = 1.96 / F.sqrt("n")
-    return out.select(*by, "lag", "acf", "n", bound.alias("bound"), ((F.col("lag") > 0) & (F.abs("acf") > bound)).alias("exceeds"))
+    """Biased autocorrelations for lags 0 to ``max_lag`` with the 95 % bound, from products summed by stretch."""
+    g = ordered.lagged_sums(df, by, value, max_lag, order)
+    whole = ordered.with_group(g, by, whole_=F.max(F.when(F.col("lag") == 0, F.col("sxy"))), n_=F.max("n"))
+    bound = 1.96 / F.sqrt("n_")
+    r = F.try_divide(F.col("sxy"), F.col("whole_"))
+    return whole.select(*by, "lag", r.alias("acf"), F.col("n_").alias("n"), bound.alias("bound"), ((F.col("lag") > 0) & (F.abs(r) > bound)).alias("exceeds"))
 
 
 def pacf(correlations: DataFrame, by: list[str]) -> DataFrame:
@@ -149,10 +153,14 @@ def ljung_box(correlations: DataFrame, by: list[str], lags: tuple[int, ...] = (2
 
 
 def centre_and_randomness(df: DataFrame, value: str, by: list[str], alpha: float = 0.05, order: str = TIMESTAMP) -> DataFrame:
-    """One-sample t, exact sign test, and the runs test around zero (zeros left out; half-unit correction for fewer than 50 values)."""
+    """One-sample t, exact sign test, and the runs test around zero (zeros left out; half-unit correction for fewer than 50 values).
+
+    Runs are counted in stretches that see the last sign of the stretch before.
+    """
     x = F.col(value)
-    signs = df.filter(x != 0).withColumn("s", (x > 0).cast("int"))
-    signs = signs.withColumn("turn", (F.col("s") != F.lag("s").over(Window.partitionBy(*by).orderBy(order))).cast("int"))
+    df = df if getattr(df, "_tidemark_staged", False) else staged(df.select(*by, order, x.cast("double").alias(value)))
+    signs = ordered.chunks(df.filter(x != 0).select(*by, order, (x > 0).cast("int").alias("s")), by, order, before=1)
+    signs = signs.withColumn("turn", (F.col("s") != F.lag("s").over(ordered.window(by))).cast("int")).filter("own_")
     runs = signs.groupBy(*by).agg(F.sum("s").cast("double").alias("pos"), F.sum(1 - F.col("s")).cast("double").alias("neg"), (F.sum(F.coalesce("turn", F.lit(0))) + 1).cast("double").alias("runs"))
     base = df.groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"))
     t = F.try_divide(F.col("mean"), F.try_divide(F.col("sd"), F.sqrt("n")))
@@ -162,7 +170,7 @@ def centre_and_randomness(df: DataFrame, value: str, by: list[str], alpha: float
     gap = F.col("runs") - expected
     shifted = F.when(m >= 50, gap).when(gap > 0.5, gap - 0.5).when(gap < -0.5, gap + 0.5).otherwise(0.0)
     z = F.when((p > 0) & (q > 0) & (variance > 0), F.try_divide(shifted, F.sqrt(F.when(variance > 0, variance))))
-    out = base.join(runs, by, "left").withColumns({"mean_zero_t_statistic": t, "runs_test_z_statistic": z})
+    out = ordered.beside(base, runs, by).withColumns({"mean_zero_t_statistic": t, "runs_test_z_statistic": z})
     out = out.withColumns({"mean_zero_p_value": t_p(F.col("mean_zero_t_statistic"), F.col("n") - 1), "sign_balance_p_value": sign_p(p, m), "runs_test_p_value": normal_p(F.col("runs_test_z_statistic"))})
     rejects = {f"{k}_reject": F.col(f"{k}_p_value") < alpha for k in ("mean_zero", "sign_balance", "runs_test")}
     return out.withColumns(rejects).select(*by, "n", "mean_zero_t_statistic", "mean_zero_p_value", F.coalesce(p, F.lit(0.0)).cast("bigint").alias("positive_count"), F.coalesce(q, F.lit(0.0)).cast("bigint").alias("negative_count"), "sign_balance_p_value", "runs_test_z_statistic", "runs_test_p_value", *rejects)
@@ -194,24 +202,54 @@ def dagostino(df: DataFrame, value: str, by: list[str], alpha: float = 0.05) ->
 
 
 def shapiro(df: DataFrame, value: str, by: list[str], alpha: float = 0.05) -> DataFrame:
-    """One group's residuals of one test period meet in a task: the test needs their order."""
-    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in by)
+    """Royston's W and its p-value, from three values on, as sums over rows with their rank in the group.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        w, p = shapiro_wilk(pdf[value].dropna().tolist())
-        return pdf[by].iloc[:1].assign(statistic=w, test_name="Shapiro-Wilk", p_value=p, reject_normality_null=bool(p < alpha))
-
-    return df.groupBy(*by).applyInPandas(run, f"{kinds}, statistic double, test_name string, p_value double, reject_normality_null boolean")
+    The statistic needs each value's normal score, the two values at either end and a few sums, so a
+    group's values are ranked in pieces and never meet in one task.
+    """
+    rows = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*by, F.col(value).cast("double").alias("x_"))
+    rows = ordered.with_group(ordered.numbered(rows, by, "x_", total="n"), by, mean_=F.avg("x_"))
+    rows = rows.withColumn("m_", ordered.normal_quantile((F.col("pos_") + 0.625) / (F.col("n") + 0.25)))
+    at = lambda c, k, name: F.max(F.when(F.col("pos_") == k, F.col(c))).alias(name)
+    z = F.col("x_") - F.col("mean_")
+    last = F.col("n") - 1
+    g = rows.groupBy(*by).agg(
+        F.max("n").cast("double").alias("n"), F.sum(F.col("m_") * F.col("m_")).alias("size"), F.sum(F.col("m_") * z).alias("mz"), F.sum(z * z).alias("ss"),
+        at("x_", 0, "x1"), at("x_", 1, "x2"), at("x_", last - 1, "y2"), at("x_", last, "y1"), at("m_", last - 1, "m2"), at("m_", last, "m1"),
+    )
+    n, u = F.col("n"), 1 / F.sqrt("n")
+    poly = lambda cs: sum((F.lit(c) * F.pow(u, F.lit(i)) for i, c in enumerate(cs, 1)), F.lit(0.0))
+    m1, m2, size = F.col("m1"), F.col("m2"), F.col("size")
+    #: Royston's corrections of the two largest weights, by powers of 1 / sqrt(n).
+    a1 = m1 / F.sqrt(size) + poly([0.221157, -0.147981, -2.071190, 4.434685, -2.706056])
+    a2 = m2 / F.sqrt(size) + poly([0.042981, -0.293762, -1.752461, 5.682633, -3.582633])
+    wide = n > 5
+    phi = (size - 2 * m1 * m1 - F.when(wide, 2 * m2 * m2).otherwise(0.0)) / (1 - 2 * a1 * a1 - F.when(wide, 2 * a2 * a2).otherwise(0.0))
+    outer, inner = F.col("y1") - F.col("x1"), F.col("y2") - F.col("x2")
+    rest = F.col("mz") - m1 * outer - F.when(wide, m2 * inner).otherwise(0.0)
+    top = F.when(n > 3, rest / F.sqrt(phi) + a1 * outer + F.when(wide, a2 * inner).otherwise(0.0)).otherwise(F.sqrt(F.lit(0.5)) * outer)
+    w = F.when((n >= 3) & (outer > 0), F.try_divide(top * top, F.col("ss")))
+    y, k = F.log(F.greatest(1 - F.col("statistic"), F.lit(1e-300))), F.log(n)
+    power = lambda x, cs: sum((F.lit(c) * F.pow(x, F.lit(i)) for i, c in enumerate(cs)), F.lit(0.0))
+    #: Royston's mean and deviation of log(1 - W), up to 11 values and beyond.
+    few = F.try_divide(-F.log(F.greatest(-2.273 + 0.459 * n - y, F.lit(1e-300))) - power(n, [0.5440, -0.39978, 0.025054, -0.0006714]), F.exp(power(n, [1.3822, -0.77857, 0.062767, -0.0020322])))
+    many = (y - power(k, [-1.5861, -0.31082, -0.083751, 0.0038915])) / F.exp(power(k, [-0.4803, -0.082676, 0.0030302]))
+    out = g.withColumn("statistic", w).withColumn("z_", F.when(n <= 11, few).otherwise(many))
+    three = F.greatest(F.lit(0.0), 6 / np.pi * (F.asin(F.sqrt(F.least(F.col("statistic"), F.lit(1.0)))) - float(np.arcsin(np.sqrt(0.75)))))
+    out = out.withColumn("p_value", F.when(F.col("statistic").isNotNull(), F.when(n == 3, three).otherwise(normal_upper_p(F.col("z_")))))
+    return out.select(*by, "statistic", F.lit("Shapiro-Wilk").alias("test_name"), "p_value", (F.col("p_value") < alpha).alias("reject_normality_null"))
 
 
 def normality(df: DataFrame, value: str, by: list[str], alpha: float = 0.05) -> DataFrame:
+    df = df if getattr(df, "_tidemark_staged", False) else staged(df.select(*by, F.col(value).cast("double").alias(value)))
     out = jarque_bera(df, value, by, alpha).unionByName(dagostino(df, value, by, alpha)).unionByName(shapiro(df, value, by, alpha))
     return out.withColumn("interpretation", F.when(F.col("reject_normality_null"), "normality_rejected").otherwise("normality_not_rejected"))
 
 
 def diagnostics_summary(df: DataFrame, value: str, by: list[str], max_lag: int = 168, alpha: float = 0.05) -> DataFrame:
     """One row by group: moments, selected and extreme correlations, test outcomes and verdicts."""
-    r = acf(df, value, by, max_lag)
+    df = staged(df.select(*by, TIMESTAMP, F.col(value).cast("double").alias(value)))
+    r = staged(acf(df, value, by, max_lag))
     both = r.join(pacf(r, by), [*by, "lag"])
     at = lambda c, k: F.max(F.when(F.col("lag") == k, F.col(c))).alias(f"{c}_lag_{k}")
     later = F.col("lag") > 0
@@ -235,13 +273,6 @@ def normal_fit(df: DataFrame, value: str, by: list[str], points: int = 300) -> D
 
 def qq_points(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """``(by..., nth, sample, theoretical)``: ordered values against normal quantiles at (nth - 0.5) / n."""
-    from ..functions.tails import normal_quantile
-
-    @F.pandas_udf("double")
-    def quantile(p: pd.Series) -> pd.Series:
-        return p.map(normal_quantile)
-
-    nth = F.row_number().over(Window.partitionBy(*by).orderBy(value))
-    n = F.count(F.lit(1)).over(Window.partitionBy(*by))
-    rows = df.select(*by, F.col(value).alias("sample"), nth.alias("nth"), n.alias("n_"))
-    return rows.withColumn("theoretical", quantile((F.col("nth") - 0.5) / F.col("n_"))).drop("n_")
+    rows = ordered.numbered(df.select(*by, F.col(value).cast("double").alias("sample")), by, "sample", "nth", total="n_")
+    rows = rows.withColumn("nth", (F.col("nth") + 1).cast("int"))
+    return rows.select(*by, "sample", "nth", ordered.normal_quantile((F.col("nth") - 0.5) / F.col("n_")).alias("theoretical"))

@@ -1,8 +1,7 @@
 """The time axis: parsing, audits, daylight saving, hourly counts.
 
-Series are rows ``(series..., timestamp, ...)``.  Every window is partitioned by the series
-columns; without any, a table holds one series and its windows run in one task, which the row
-count of one hourly series (9,000 a year) allows.
+Series are rows ``(series..., timestamp, ...)``.  Windows that look back a bounded number of rows run
+on stretches of a series (``ordered.chunks``), so one long series is as many tasks as it has stretches.
 """
 
 from __future__ import annotations
@@ -11,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import LOCAL_TZ, TARGET, TIMESTAMP
+from . import ordered
 
 
 def over_time(series: list[str], time: str = TIMESTAMP):
@@ -65,8 +65,9 @@ def missing_audit(df: DataFrame, column: str = TIMESTAMP, step: str = "1 hour")
 
 def spacing(df: DataFrame, column: str = TIMESTAMP, series: list[str] = (), seconds: int = 3600) -> DataFrame:
     """Counts of steps to the row before that aren't one hour, and of those that don't advance."""
-    step = F.unix_timestamp(F.col(column).cast("timestamp")) - F.unix_timestamp(F.lag(column).over(over_time(series, column)).cast("timestamp"))
-    return df.select(*series, F.col(column), step.alias("step")).groupBy(*series).agg(F.count("step").alias("n_steps"), F.count_if(F.col("step") != seconds).alias("non_hourly"), F.count_if(F.col("step") <= 0).alias("non_positive"), F.min("step").alias("least_step"), F.max("step").alias("largest_step"))
+    rows = ordered.chunks(df.select(*series, column), series, column, before=1)
+    step = F.unix_timestamp(F.col(column).cast("timestamp")) - F.unix_timestamp(F.lag(column).over(ordered.window(series)).cast("timestamp"))
+    return rows.withColumn("step", step).filter("own_").groupBy(*series).agg(F.count("step").alias("n_steps"), F.count_if(F.col("step") != seconds).alias("non_hourly"), F.count_if(F.col("step") <= 0).alias("non_positive"), F.min("step").alias("least_step"), F.max("step").alias("largest_step"))
 
 
 def utc_of_local(local: Column, tz: str = LOCAL_TZ) -> Column:

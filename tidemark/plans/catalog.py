@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..config import METRICS, TARGET, TIMESTAMP, TREE_SPACE, feature_columns
 from ..functions.metrics import cv_summary, grouped_metrics
-from ..operators import analysis, comparison, features, forecast, models, splits, stats, timeaxis
+from ..operators import analysis, comparison, features, forecast, models, ordered, splits, stats, timeaxis
 from .oracle import ORACLE_SQL  # noqa: F401
 
 TEST_DAYS, FOLDS, VAL, HORIZON, UTC = 5, 5, 72, 24, "UTC"
@@ -67,6 +67,11 @@ def cv_predictions(spark, d):
     return p.withColumnRenamed("model_name", "model_label")
 
 
+def cv_errors(spark, d):
+    """Residuals of all folds: 360 hours in a row by model, enough for lags to 168."""
+    return analysis.with_errors(cv_predictions(spark, d))
+
+
 def cv_metrics(spark, d):
     return grouped_metrics(cv_predictions(spark, d), ["model_label", "fold"])
 
@@ -293,7 +298,7 @@ def residual_distribution(spark, d):
 
 @query
 def residual_autocorrelation(spark, d):
-    return analysis.residual_autocorrelation(errors(spark, d), 24)
+    return analysis.residual_autocorrelation(cv_errors(spark, d), 168)
 
 
 @query
@@ -403,15 +408,23 @@ def holm_and_bh(spark, d):
     return stats.adjusted(rows, ["s_nationkey"])
 
 
+@query
+def holm_and_bh_lines(spark, d):
+    """One family of a p-value per line item, with ties, zeros and nulls."""
+    key = F.col("l_orderkey") * 7919 + F.col("l_linenumber") * 104729 + F.col("l_partkey")
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.when(key % 50 != 0, F.pow((key % 9973) / 9973.0, F.lit(4))).alias("p_value"))
+    return stats.adjusted(rows, [])
+
+
 @query
 def residual_acf(spark, d):
-    return stats.acf(errors(spark, d), "residual", ["model_label"], 30).select("model_label", F.col("lag").cast("bigint").alias("lag"), "acf", "bound", "exceeds")
+    return stats.acf(cv_errors(spark, d), "residual", ["model_label"], 168).select("model_label", F.col("lag").cast("bigint").alias("lag"), "acf", "bound", "exceeds")
 
 
 @query
 def ljung_box(spark, d):
-    r = stats.acf(errors(spark, d), "residual", ["model_label"], 30)
-    return stats.ljung_box(r, ["model_label"], (12, 24)).select("model_label", F.col("lag").cast("bigint").alias("lag"), "statistic")
+    r = stats.acf(cv_errors(spark, d), "residual", ["model_label"], 168)
+    return stats.ljung_box(r, ["model_label"]).select("model_label", F.col("lag").cast("bigint").alias("lag"), "statistic", "reject_white_noise_null")
 
 
 @query
@@ -521,12 +534,12 @@ def shap_importance(spark, d):
 
 @query
 def residual_diagnostics(spark, d):
-    return stats.diagnostics_summary(errors(spark, d), "residual", ["model_label"], 30)
+    return stats.diagnostics_summary(cv_errors(spark, d), "residual", ["model_label"])
 
 
 @query
 def residual_pacf(spark, d):
-    return stats.pacf(stats.acf(errors(spark, d), "residual", ["model_label"], 30), ["model_label"])
+    return stats.pacf(stats.acf(cv_errors(spark, d), "residual", ["model_label"], 168), ["model_label"])
 
 
 @query
@@ -537,4 +550,30 @@ def dm_p_values(spark, d):
 
 @query
 def normality_tests(spark, d):
-    return stats.normality(errors(spark, d), "residual", ["model_label"])
+    return stats.normality(cv_errors(spark, d), "residual", ["model_label"])
+
+
+@query
+def shapiro_of_prices(spark, d):
+    """Ranks of whole groups: the prices of the orders of each priority, many of them more than a task would hold at scale."""
+    out = stats.shapiro(table(spark, d, "orders"), "o_totalprice", ["o_orderpriority"])
+    return out.select("o_orderpriority", "statistic")
+
+
+@query
+def exact_quantiles(spark, d):
+    """Quantiles of whole groups from ranks, where a group's distinct values needn't fit one task."""
+    return ordered.quantiles(table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice", {"p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99})
+
+
+@query
+def qq_points(spark, d):
+    return stats.qq_points(cv_errors(spark, d), "residual", ["model_label"]).drop("theoretical")
+
+
+@query
+def orders_runs(spark, d):
+    """The runs test over all orders of a priority, by date and key, around the group's mean."""
+    o = table(spark, d, "orders").select("o_orderpriority", "o_orderkey", "o_totalprice")
+    o = ordered.with_group(o, ["o_orderpriority"], mean=F.avg("o_totalprice")).withColumn("gap", F.col("o_totalprice") - F.col("mean"))
+    return stats.centre_and_randomness(o, "gap", ["o_orderpriority"], order="o_orderkey").select("o_orderpriority", "n", "positive_count", "negative_count", "runs_test_z_statistic")

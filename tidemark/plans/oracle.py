@@ -89,9 +89,39 @@ def dm(source: str, group: str, order: str, lags: int, horizon: int, columns: st
  SELECT {columns} FROM s"""
 
 
-ACF = FINAL + """, z AS (SELECT model_label, timestamp, residual - avg(residual) OVER (PARTITION BY model_label) AS z, row_number() OVER (PARTITION BY model_label ORDER BY timestamp) AS i, count(*) OVER (PARTITION BY model_label) AS n FROM e),
- a AS (SELECT x.model_label, x.i - w.i AS lag, sum(x.z * w.z) AS g, any_value(x.n) AS n FROM z x JOIN z w ON w.model_label = x.model_label AND x.i - w.i BETWEEN 0 AND 30 GROUP BY 1, 2),
+#: The residuals of all folds, 360 hours in a row by model.
+CV_ERRORS = FOLDED + ", y AS (SELECT *, actual - predicted AS residual FROM e)"
+ACF = CV_ERRORS + """, z AS (SELECT model_label, timestamp, residual - avg(residual) OVER (PARTITION BY model_label) AS z, row_number() OVER (PARTITION BY model_label ORDER BY timestamp) AS i, count(*) OVER (PARTITION BY model_label) AS n FROM y),
+ a AS (SELECT x.model_label, x.i - w.i AS lag, sum(x.z * w.z) AS g, any_value(x.n) AS n FROM z x JOIN z w ON w.model_label = x.model_label AND x.i - w.i BETWEEN 0 AND 168 GROUP BY 1, 2),
  r AS (SELECT a.model_label, a.lag, a.g / o.g AS acf, a.n FROM a JOIN a o ON o.model_label = a.model_label AND o.lag = 0)"""
+#: The Durbin-Levinson recursion with the coefficients of each order as a list.
+PACF = ACF.replace("h AS (", "RECURSIVE h AS (", 1) + """, l AS (SELECT model_label, list(acf ORDER BY lag) AS r FROM r WHERE lag > 0 GROUP BY 1),
+ dl AS (SELECT model_label, r, 1 AS k, r[1] AS a, [r[1]] AS phi, 1 - r[1] ** 2 AS v FROM l
+  UNION ALL SELECT model_label, r, k + 1, a2, list_concat(list_transform(range(1, k + 1), lambda i: phi[i] - a2 * phi[k + 1 - i]), [a2]), v * (1 - a2 ** 2)
+  FROM (SELECT *, (r[k + 1] - list_sum(list_transform(range(1, k + 1), lambda i: phi[i] * r[k + 1 - i]))) / v AS a2 FROM dl WHERE k < 168))"""
+
+
+def quantile_of(p: str) -> str:
+    """The normal quantile by the rational approximations of AS 241."""
+    from ..operators.ordered import _FAR, _NEAR, _TAIL
+
+    def ratio(x: str, parts) -> str:
+        top, bottom = (" + ".join(f"{c!r} * ({x}) ** {i}" for i, c in enumerate(cs)) for cs in parts)
+        return f"({top}) / ({bottom})"
+
+    tail = f"sqrt(-ln(least({p}, 1 - {p})))"
+    return f"CASE WHEN abs({p} - 0.5) <= 0.425 THEN ({p} - 0.5) * ({ratio(f'0.180625 - ({p} - 0.5) ** 2', _NEAR)}) ELSE sign({p} - 0.5) * (CASE WHEN {tail} <= 5 THEN {ratio(f'{tail} - 1.6', _TAIL)} ELSE {ratio(f'{tail} - 5', _FAR)} END) END"
+
+
+def shapiro(source: str, group: str, value: str) -> str:
+    """Royston's W of more than five values, from the weights as they are defined."""
+    return f"""o AS (SELECT {group} AS g, {value}::DOUBLE AS x, row_number() OVER (PARTITION BY {group} ORDER BY {value}) AS i, count(*) OVER (PARTITION BY {group}) AS n FROM {source}),
+ s AS (SELECT *, {quantile_of('((i - 0.375) / (n + 0.25))')} AS m FROM o),
+ c AS (SELECT g, any_value(n) AS n, sum(m ** 2) AS size, max(m) FILTER (i = n) AS m1, max(m) FILTER (i = n - 1) AS m2, avg(x) AS mean, 1 / sqrt(any_value(n)) AS u FROM s GROUP BY g),
+ t AS (SELECT *, m1 / sqrt(size) + 0.221157 * u - 0.147981 * u ** 2 - 2.071190 * u ** 3 + 4.434685 * u ** 4 - 2.706056 * u ** 5 AS a1, m2 / sqrt(size) + 0.042981 * u - 0.293762 * u ** 2 - 1.752461 * u ** 3 + 5.682633 * u ** 4 - 3.582633 * u ** 5 AS a2 FROM c),
+ a AS (SELECT s.g, x, mean, CASE WHEN i = t.n THEN a1 WHEN i = 1 THEN -a1 WHEN i = t.n - 1 THEN a2 WHEN i = 2 THEN -a2 ELSE m / sqrt((size - 2 * m1 ** 2 - 2 * m2 ** 2) / (1 - 2 * a1 ** 2 - 2 * a2 ** 2)) END AS w FROM s JOIN t ON t.g IS NOT DISTINCT FROM s.g),
+ w AS (SELECT g, sum(w * x) ** 2 / sum((x - mean) ** 2) AS statistic FROM a GROUP BY g)"""
+
 
 ORACLE_SQL: dict[str, str] = {
     "hourly_counts": f"WITH {HOURLY} SELECT * FROM h",
@@ -147,7 +177,7 @@ ORACLE_SQL: dict[str, str] = {
     "residual_summary": f"WITH {FINAL} SELECT model_label, count(*) AS n_predictions, {at('avg(residual)')} AS mean_error, {at('median(residual)')} AS median_error, {at('stddev_samp(residual)')} AS std_error, {at(MAE)} AS mae, {at(RMSE)} AS rmse, {RATES}, {at('max(abs(residual))')} AS max_absolute_error, count(*) FILTER (predicted < 0) AS negative_prediction_count FROM e GROUP BY 1",
     "residual_distribution": f"WITH {FINAL} SELECT model_label, count(*) AS n_predictions, {at('avg(residual)')} AS mean, {at('median(residual)')} AS median, {at('stddev_samp(residual)')} AS std, {at('skewness(residual)')} AS skewness, {at('kurtosis(residual)')} AS excess_kurtosis, "
     + ", ".join(f"{at(f'quantile_cont(residual, {q})')} AS residual_p{n}" for n, q in (("05", 0.05), ("25", 0.25), ("75", 0.75), ("95", 0.95))) + ", " + ", ".join(f"{at(f'quantile_cont(absolute_error, {q})')} AS abs_error_p{n}" for n, q in ((50, 0.5), (90, 0.9), (95, 0.95), (99, 0.99))) + " FROM e GROUP BY 1",
-    "residual_autocorrelation": f"WITH {FINAL}, i AS (SELECT model_label, residual, row_number() OVER (PARTITION BY model_label ORDER BY timestamp) AS i FROM e) SELECT x.model_label, (x.i - z.i)::INT AS lag, {at('corr(x.residual, z.residual)')} AS autocorrelation FROM i x JOIN i z ON z.model_label = x.model_label AND x.i - z.i BETWEEN 1 AND 24 GROUP BY 1, 2",
+    "residual_autocorrelation": f"WITH {CV_ERRORS}, i AS (SELECT model_label, residual, row_number() OVER (PARTITION BY model_label ORDER BY timestamp) AS i FROM y) SELECT x.model_label, (x.i - z.i)::INT AS lag, {at('corr(x.residual, z.residual)')} AS autocorrelation FROM i x JOIN i z ON z.model_label = x.model_label AND x.i - z.i BETWEEN 1 AND 168 GROUP BY 1, 2",
     "residual_histogram": f"""WITH {FINAL}, s AS (SELECT model_label, min(residual) AS lo, (max(residual) - min(residual)) / 20 AS width, count(*) AS n FROM e GROUP BY 1), k AS (SELECT e.model_label, lo, width, n, least(19, coalesce(floor((residual - lo) / nullif(width, 0)), 0))::INT AS bin FROM e JOIN s USING (model_label))
         SELECT model_label, bin, {at('any_value(lo) + bin * any_value(width)')} AS bin_start, {at('any_value(lo) + (bin + 1) * any_value(width)')} AS bin_end, count(*) AS n_residuals, {at('count(*) / (any_value(n) * any_value(width))')} AS density FROM k GROUP BY 1, 2""",
     "errors_by_local_hour": f"WITH {FINAL} SELECT model_label, local_hour::INT AS local_hour, count(*) AS n_predictions, {BUNDLE} FROM l GROUP BY 1, 2",
@@ -180,7 +210,19 @@ ORACLE_SQL: dict[str, str] = {
         a AS (SELECT s_suppkey, max(least((m - i + 1) * p, 1)) OVER (PARTITION BY s_nationkey ORDER BY i ROWS UNBOUNDED PRECEDING) AS holm, min(least(p * m / i, 1)) OVER (PARTITION BY s_nationkey ORDER BY i DESC ROWS UNBOUNDED PRECEDING) AS bh FROM r)
         SELECT t.s_suppkey, s_nationkey, {at('p')} AS p_value, {at('holm')} AS p_holm, {at('bh')} AS p_bh FROM t LEFT JOIN a ON a.s_suppkey = t.s_suppkey""",
     "residual_acf": f"WITH {ACF} SELECT model_label, lag::BIGINT AS lag, {at('acf')} AS acf, {at('1.96 / sqrt(n)')} AS bound, lag > 0 AND abs(acf) > 1.96 / sqrt(n) AS exceeds FROM r",
-    "ljung_box": f"WITH {ACF} SELECT model_label, k AS lag, {at('any_value(n) * (any_value(n) + 2) * sum(acf ** 2 / (n - lag))')} AS statistic FROM r JOIN (VALUES (12::BIGINT), (24)) AS t(k) ON lag BETWEEN 1 AND k GROUP BY 1, 2",
+    "ljung_box": f"""WITH {ACF}, q AS (SELECT model_label, k AS lag, any_value(n) * (any_value(n) + 2) * sum(acf ** 2 / (n - lag)) AS v FROM r JOIN (VALUES (24::BIGINT), (48), (72), (168)) AS t(k) ON lag BETWEEN 1 AND k GROUP BY 1, 2)
+        SELECT model_label, lag, {at('v')} AS statistic, v > c AS reject_white_noise_null FROM q JOIN (VALUES (24, 36.41502850180731), (48, 65.17076890356982), (72, 92.80827038080036), (168, 199.2441323340886)) AS chi(k, c) ON k = lag""",
+    "residual_pacf": f"WITH {PACF} SELECT model_label, k::INT AS lag, {at('a')} AS pacf FROM dl UNION ALL SELECT model_label, 0, 1.0 FROM l",
+    "holm_and_bh_lines": f"""WITH t AS MATERIALIZED (SELECT l_orderkey, l_linenumber, l_orderkey * 7919 + l_linenumber * 104729 + l_partkey AS key, row_number() OVER () AS id FROM lineitem), p AS (SELECT *, CASE WHEN key % 50 <> 0 THEN ((key % 9973) / 9973.0::DOUBLE) ** 4 END AS p FROM t),
+        r AS (SELECT *, row_number() OVER (ORDER BY p, id) AS i, count(*) OVER () AS m FROM p WHERE p IS NOT NULL),
+        a AS (SELECT id, max(least((m - i + 1) * p, 1)) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING) AS holm, min(least(p * m / i, 1)) OVER (ORDER BY i DESC ROWS UNBOUNDED PRECEDING) AS bh FROM r)
+        SELECT l_orderkey, l_linenumber, {at('p')} AS p_value, {at('holm')} AS p_holm, {at('bh')} AS p_bh FROM p LEFT JOIN a USING (id)""",
+    "shapiro_of_prices": f"WITH {shapiro('orders', 'o_orderpriority', 'o_totalprice')} SELECT g AS o_orderpriority, {at('statistic')} AS statistic FROM w",
+    "exact_quantiles": "SELECT l_returnflag, l_linestatus, " + ", ".join(f"{at(f'quantile_cont(l_extendedprice, {q / 100})')} AS p{q:02d}" for q in (5, 25, 50, 75, 95, 99)) + " FROM lineitem GROUP BY 1, 2",
+    "qq_points": f"WITH {CV_ERRORS} SELECT model_label, {at('residual')} AS sample, (row_number() OVER (PARTITION BY model_label ORDER BY residual))::INT AS nth FROM y",
+    "orders_runs": f"""WITH o AS (SELECT o_orderpriority AS g, o_orderkey AS k, o_totalprice - avg(o_totalprice) OVER (PARTITION BY o_orderpriority) AS x FROM orders), c AS (SELECT g, x > 0 AS up, ((x > 0) <> lag(x > 0) OVER (PARTITION BY g ORDER BY k))::INT AS turn FROM o WHERE x <> 0),
+        k AS (SELECT g, count(*) FILTER (up)::DOUBLE AS p, count(*) FILTER (NOT up)::DOUBLE AS q, count(*)::DOUBLE AS m, 1 + coalesce(sum(turn), 0)::DOUBLE AS runs FROM c GROUP BY 1)
+        SELECT g AS o_orderpriority, (SELECT count(*) FROM o WHERE o.g = k.g) AS n, p::BIGINT AS positive_count, q::BIGINT AS negative_count, {at('(runs - 1 - 2 * p * q / m) / sqrt(2 * p * q * (2 * p * q - m) / (m * m * (m - 1)))')} AS runs_test_z_statistic FROM k""",
     "jarque_bera": f"""WITH {FINAL}, c AS (SELECT model_label, residual - avg(residual) OVER (PARTITION BY model_label) AS z FROM e), k AS (SELECT model_label, count(*) AS n, avg(z ** 3) / avg(z ** 2) ** 1.5 AS s, avg(z ** 4) / avg(z ** 2) ** 2 - 3 AS k FROM c GROUP BY 1), j AS (SELECT model_label, n / 6.0 * (s ** 2 + k ** 2 / 4) AS v FROM k)
         SELECT model_label, {at('v')} AS statistic, {at('exp(-v / 2)')} AS p_value FROM j""",
     "centre_and_randomness": f"""WITH {FINAL}, s AS (SELECT model_label, timestamp, residual > 0 AS up FROM e WHERE residual <> 0), c AS (SELECT model_label, up, (up <> lag(up) OVER (PARTITION BY model_label ORDER BY timestamp))::INT AS turn FROM s),
