@@ -18,8 +18,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import LOCAL_TZ, TARGET, TIMESTAMP, feature_columns, required_history
-from .features import feature_group, feature_matrix
-from .forecast import fitted_predictions, recursive_forecast
+from .boosting import grid_cv  # noqa: F401
+from .features import feature_group
+from .forecast import recursive_forecast
 
 
 def parameter_grid(space: dict[str, list], prefix: str, limit: int | None = None) -> list[tuple[str, dict]]:
@@ -293,13 +294,6 @@ def load_tree(body: bytes):
     return lambda row: model.predict(row.reshape(1, -1))[0]
 
 
-def grid_cv(source: DataFrame, cv: DataFrame, grid: list[tuple[str, dict]], kind: str, horizon: int = 24, series: list[str] = (), tz: str = LOCAL_TZ, target: str = TARGET) -> DataFrame:
-    """Long-form predictions of every (set, fold) with recursive rolling-origin forecasts."""
-    matrix = feature_matrix(source, kind, series, tz, target)
-    models = fit_grid(cv, matrix, grid, kind, series, target).drop("train_time_seconds", "n_train_rows")
-    return fitted_predictions(source, cv.filter("role = 'validation'"), models, load_tree, kind, "boosted_trees", horizon, series, tz, target)
-
-
 def additive_cv(cv: DataFrame, grid: list[tuple[str, dict]], horizon: int = 24, series: list[str] = (), target: str = TARGET) -> DataFrame:
     """Direct forecasts of the additive model by (set, fold): no lags, so one fit and one call for the stretch."""
     spark, keys = cv.sparkSession, list(series)

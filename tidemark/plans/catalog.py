@@ -492,17 +492,22 @@ def daily_shipments_features(spark, d):
 # --- without SQL: fitted models and recursions; tests hold them against plain versions
 
 
-SMALL_GRID = {"n_estimators": [20, 40], "max_depth": [3], "min_child_weight": [5]}
-
-
 @query
 def grid_cv(spark, d):
+    """All 324 sets of the search space on all five folds."""
     s = series(spark, d)
-    grid = models.parameter_grid(SMALL_GRID, "xgb_basic")
-    p = models.grid_cv(s, splits.cv_rows(s, 2, VAL), grid, "basic", HORIZON)
+    grid = models.parameter_grid(TREE_SPACE, "xgb_basic")
+    p = models.grid_cv(s, cv(spark, d), grid, "basic", HORIZON)
     return comparison.tuning_summary(grouped_metrics(p, ["parameter_set_id", "fold"]), models.parameter_frame(spark, grid))
 
 
+@query
+def best_set_cv(spark, d):
+    """One set of the search space on all five folds, by fold."""
+    grid = [("xgb_basic_best", {"n_estimators": 300, "learning_rate": 0.03, "max_depth": 3, "subsample": 0.8, "colsample_bytree": 1.0, "min_child_weight": 5})]
+    return grouped_metrics(models.grid_cv(series(spark, d), cv(spark, d), grid, "basic", HORIZON), ["parameter_set_id", "fold"])
+
+
 @query
 def additive_cv(spark, d):
     grid = models.parameter_grid({"changepoint_prior_scale": [0.05, 0.5], "seasonality_mode": ["additive", "multiplicative"]}, "prophet")
