@@ -38,7 +38,7 @@ def binned(x: np.ndarray, bins: int = BINS) -> tuple[np.ndarray, list[np.ndarray
 
 
 def boost(codes: np.ndarray, cells: np.ndarray, y: np.ndarray, sets: list[dict], rounds: int, seed: int = 42) -> dict[str, np.ndarray]:
-    """Trees of all sets, which share ``max_depth``: ``feature`` and ``cut`` (tree, set, node), ``leaf`` (tree, set, leaf), ``base``.
+    """Trees of all sets, which share ``max_depth``: ``feature`` and ``cut`` (tree, set, node), ``leaf`` and ``rows`` (tree, set, leaf), ``base``.
 
     Trees are complete: node ``i`` has children ``2 i + 1`` and ``2 i + 2``; feature -1 sends all rows left.
     """
@@ -50,7 +50,7 @@ def boost(codes: np.ndarray, cells: np.ndarray, y: np.ndarray, sets: list[dict],
     of = np.repeat(np.arange(width), cells)
     begin, end = first[of], np.isin(np.arange(total), first[1:] - 1)
     rate, least, reg, rows_share, columns_share = (np.array([float(s[k]) for s in sets]) for k in ("learning_rate", "min_child_weight", "reg_lambda", "subsample", "colsample_bytree"))
-    out = {"feature": np.full((rounds, many, (1 << depth) - 1), -1, np.int16), "cut": np.zeros((rounds, many, (1 << depth) - 1), np.int16), "leaf": np.zeros((rounds, many, 1 << depth)), "base": np.array(float(y.mean()))}
+    out = {"feature": np.full((rounds, many, (1 << depth) - 1), -1, np.int16), "cut": np.zeros((rounds, many, (1 << depth) - 1), np.int16), "leaf": np.zeros((rounds, many, 1 << depth)), "rows": np.zeros((rounds, many, 1 << depth)), "base": np.array(float(y.mean()))}
     rng = np.random.default_rng(seed)
     f = np.full((many, n), float(y.mean()))
     at = np.arange(many)[:, None]
@@ -91,6 +91,7 @@ def boost(codes: np.ndarray, cells: np.ndarray, y: np.ndarray, sets: list[dict],
                 break
         key = (at * (1 << depth) + node).ravel()
         sums, ns = (np.bincount(key, w.ravel(), many * (1 << depth)).reshape(many, -1) for w in (weight, count))
+        out["rows"][t] = ns
         out["leaf"][t] = rate[:, None] * sums / (ns + reg[:, None])
         f += out["leaf"][t][at, node]
     return out
@@ -109,6 +110,46 @@ def predict(trees: dict[str, np.ndarray], cuts: list[np.ndarray], x: np.ndarray,
     return float(trees["base"]) + np.where(t < rounds, leaf, 0.0).sum(axis=0)
 
 
+def listed(trees: dict[str, np.ndarray], cuts: list[np.ndarray], which: int = 0) -> list[list[tuple]]:
+    """One set's trees as lists of nodes ``(feature or -1, cut, left, right, leaf value, rows)``, nodes that don't split left out."""
+    out = []
+    for feature, cut, leaf, rows in zip(trees["feature"][:, which], trees["cut"][:, which], trees["leaf"][:, which], trees["rows"][:, which]):
+        splits, count = len(feature), np.concatenate((np.zeros(len(feature)), rows))
+        for i in range(splits - 1, -1, -1):
+            count[i] = count[2 * i + 1] + count[2 * i + 2]
+        nodes: list = []
+
+        def add(i: int) -> int:
+            while i < splits and feature[i] < 0:
+                i = 2 * i + 1
+            at = len(nodes)
+            nodes.append(None)
+            if i >= splits:
+                nodes[at] = (-1, 0.0, 0, 0, float(leaf[i - splits]), float(count[i]))
+            else:
+                nodes[at] = (int(feature[i]), float(cuts[feature[i]][cut[i]]), add(2 * i + 1), add(2 * i + 2), 0.0, float(count[i]))
+            return at
+
+        add(0)
+        out.append(nodes)
+    return out
+
+
+def fitted_trees(matrix: DataFrame, params: dict, kind: str, target: str = TARGET, seed: int = 42) -> tuple[float, list[list[tuple]]]:
+    """The base value and trees of one set, fitted in a task on the rows of one series; only the model comes to the driver."""
+    columns, full = feature_columns(kind), DEFAULTS | params
+    rows = matrix.select(TIMESTAMP, F.col(target).cast("double").alias("y_"), *columns)
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(TIMESTAMP)
+        codes, cuts = binned(pdf[columns].to_numpy(float))
+        trees = boost(codes, np.array([len(c) + 1 for c in cuts]), pdf["y_"].to_numpy(float), [full], int(full["n_estimators"]), seed)
+        return pd.DataFrame({"body": [json.dumps([float(trees["base"]), listed(trees, cuts)])]})
+
+    base, made = json.loads(rows.groupBy(F.lit(0).alias("one")).applyInPandas(fit, "body string").first()["body"])
+    return base, [[tuple(n) for n in t] for t in made]
+
+
 def step_features(known: np.ndarray, at: pd.DatetimeIndex, kind: str) -> np.ndarray:
     """The feature rows of one step for many histories (rows) at their local times."""
     s = feature_set(kind)

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import LOCAL_TZ, TARGET, TIMESTAMP, feature_columns, required_history
+from . import shapley
 from .boosting import grid_cv  # noqa: F401
 from .features import feature_group
 from .forecast import recursive_forecast
@@ -179,42 +180,9 @@ class BoostedTrees:
         return out
 
     def shap(self, x: np.ndarray) -> tuple[float, np.ndarray]:
-        """Path-dependent Shapley values: the base value and a value per row and feature.
-
-        By the definition over the features that a tree uses: a coalition's expectation follows known
-        features and averages over both children, by rows, elsewhere.
-        """
-        out, base = np.zeros(x.shape), self.base
-        for t in self.trees:
-            used = sorted({n[0] for n in t if n[0] >= 0})
-            value = {}
-            for size in range(len(used) + 1):
-                for s in itertools.combinations(used, size):
-                    value[s] = self._expected(t, x, set(s), 0)
-            base += float(np.mean(value[()]))
-            m = len(used)
-            for f in used:
-                rest = [u for u in used if u != f]
-                for size in range(m):
-                    w = 1.0 / (m * _choose(m - 1, size))
-                    for s in itertools.combinations(rest, size):
-                        out[:, f] += w * (value[tuple(sorted((*s, f)))] - value[s])
-        return base, out
-
-    def _expected(self, tree, x, known: set, at: int) -> np.ndarray:
-        c, cut, lo, hi, leaf, n, _ = tree[at]
-        if c < 0:
-            return np.full(len(x), leaf)
-        a, b = self._expected(tree, x, known, lo), self._expected(tree, x, known, hi)
-        if c in known:
-            return np.where(x[:, c] <= cut, a, b)
-        return (tree[lo][5] * a + tree[hi][5] * b) / n
-
-
-def _choose(n: int, k: int) -> int:
-    from math import comb
-
-    return comb(n, k)
+        """Path-dependent Shapley values: the base value and a value per row and feature."""
+        base, phi = shapley.values(shapley.path_table(self.trees), x)
+        return self.base + base, phi
 
 
 # --- seasonal autoregression
@@ -344,19 +312,6 @@ def component_summary(components: DataFrame, columns: list[str]) -> DataFrame:
 # --- interpretation
 
 
-def shap_rows(matrix: DataFrame, model: BoostedTrees, columns: list[str]) -> DataFrame:
-    """``feature__<name>`` and ``shap__<name>`` columns for each row of a sampled matrix."""
-    shared = matrix.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches):
-        for b in batches:
-            x = b[columns].to_numpy(float)
-            _, v = shared.value.shap(x)
-            yield pd.DataFrame({TIMESTAMP: b[TIMESTAMP]} | {f"feature__{c}": x[:, i] for i, c in enumerate(columns)} | {f"shap__{c}": v[:, i] for i, c in enumerate(columns)})
-
-    return matrix.select(TIMESTAMP, *columns).mapInPandas(run, "timestamp timestamp, " + ", ".join(f"`{k}__{c}` double" for k in ("feature", "shap") for c in columns))
-
-
 def shap_importance(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Mean absolute and mean value, population deviation, share, rank by feature."""
     long = rows.select(F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(f"shap__{c}").alias("v")) for c in columns))).alias("x")).select("x.*")
