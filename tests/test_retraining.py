@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.config import LOCAL_TZ, feature_columns
-from tidemark.operators import analysis, contracts, features, models, regressors, splits
+from tidemark.operators import analysis, contracts, features, gram, models, regressors, splits
 from tidemark.plans import retraining
 
 
@@ -89,7 +89,7 @@ def test_retrain_and_final_test_of_every_model(spark, hours, tmp_path):
     direct = regressors.regressor_final(df, 2, {}).orderBy("timestamp").toPandas()
     stored = final.filter("model_label = 'Prophet-Regressor-Basic'").orderBy("timestamp").toPandas()
     assert np.allclose(direct.predicted, stored.predicted) and list(direct.forecast_origin) == list(stored.forecast_origin)
-    plain = models.additive_cv(regressors.final_rows(df, 2), [("b", {})]).orderBy("timestamp").toPandas()
+    plain = gram.additive_cv(regressors.final_rows(df, 2), [("b", {})]).orderBy("timestamp").toPandas()
     prophet = final.filter("model_label = 'Prophet'").orderBy("timestamp").toPandas()
     assert np.allclose(plain.predicted, prophet.predicted) and list(plain.origin_block) == list(prophet.origin_block) and list(prophet.forecast_origin) == list(stored.forecast_origin)
     (tmp_path / "metadata" / "prophet.json").write_text(json.dumps({"final_test_used": True}))

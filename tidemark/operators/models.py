@@ -262,41 +262,6 @@ def load_tree(body: bytes):
     return lambda row: model.predict(row.reshape(1, -1))[0]
 
 
-def additive_cv(cv: DataFrame, grid: list[tuple[str, dict]], horizon: int = 24, series: list[str] = (), target: str = TARGET) -> DataFrame:
-    """Direct forecasts of the additive model by (set, fold): no lags, so one fit and one call for the stretch."""
-    spark, keys = cv.sparkSession, list(series)
-    sets = spark.createDataFrame([(i, json.dumps(p)) for i, p in grid], "parameter_set_id string, params_json string")
-    rows = cv.select(*keys, "fold", "role", "pos", TIMESTAMP, F.col(target).cast("double").alias("y")).join(F.broadcast(sets))
-    kinds = "".join(f"`{k}` {cv.schema[k].dataType.simpleString()}, " for k in keys)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        train, val = pdf[pdf["role"] == "train"], pdf[pdf["role"] == "validation"]
-        model = AdditiveModel(json.loads(pdf["params_json"].iloc[0])).fit(train[TIMESTAMP].to_numpy(), train["y"].to_numpy())
-        at = np.arange(len(val))
-        return val[[*keys, "fold", "parameter_set_id", TIMESTAMP]].assign(actual=val["y"], predicted=model.predict(val[TIMESTAMP].to_numpy()), origin_block=at // horizon + 1, horizon_step=at % horizon + 1)
-
-    return rows.groupBy(*keys, "fold", "parameter_set_id").applyInPandas(run, f"{kinds}fold int, parameter_set_id string, timestamp timestamp, actual double, predicted double, origin_block int, horizon_step int")
-
-
-def additive_components(train: DataFrame, rows: DataFrame, params: dict | None = None, regressors: tuple[str, ...] = (), target: str = TARGET, tz: str = LOCAL_TZ) -> DataFrame:
-    """Components by timestamp with the local hour and day; the model is fitted from one series' training rows."""
-    cols = [TIMESTAMP, F.col(target).cast("double").alias("y"), *(F.col(r).cast("double") for r in regressors)]
-    pdf = train.select(*cols).orderBy(TIMESTAMP).toPandas()  # one series
-    x = pdf[list(regressors)].to_numpy() if regressors else None
-    model = AdditiveModel(params, regressors).fit(pdf[TIMESTAMP].to_numpy(), pdf["y"].to_numpy(), x)
-    names = ["trend", "daily", "weekly", *(["regressors"] if regressors else []), *(f"regressor_{r}" for r in regressors), "yhat", "yhat_lower", "yhat_upper"]
-
-    def run(batches):
-        for b in batches:
-            made = model.components(b[TIMESTAMP].to_numpy(), b[list(regressors)].to_numpy(float) if regressors else None)
-            yield b[[TIMESTAMP, "y"]].assign(**{n: made[n] for n in names})
-
-    out = rows.select(*cols).mapInPandas(run, f"timestamp timestamp, y double, {', '.join(f'`{n}` double' for n in names)}")
-    local = F.from_utc_timestamp(TIMESTAMP, tz)
-    return out.withColumns({"local_hour": F.hour(local), "local_day_of_week": F.weekday(local)})
-
-
 def component_means(components: DataFrame, by: str, columns: list[str]) -> DataFrame:
     return components.groupBy(by).agg(*(F.avg(c).alias(f"mean_{c}") for c in columns), F.avg(F.abs(F.col("y") - F.col("yhat"))).alias("mean_absolute_error"), F.avg("y").alias("mean_actual"))
 

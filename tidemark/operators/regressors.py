@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..config import LOCAL_TZ, TARGET, TIMESTAMP, feature_columns
 from .features import feature_matrix
 from .forecast import fitted_predictions, next_features, recursive_forecast
+from .gram import fit_sets, fold_grams
 from .models import AdditiveModel
 from .splits import with_position, with_split
 
@@ -70,9 +71,10 @@ def regressor_predictions(history: DataFrame, validation: DataFrame, models: Dat
 
 
 def regressor_cv(source: DataFrame, cv: DataFrame, grid: list[tuple[str, dict]], kind: str = "basic", horizon: int = 24, series: list[str] = (), tz: str = LOCAL_TZ, target: str = TARGET) -> DataFrame:
-    """Long-form predictions of every (set, fold)."""
-    fitted = fit_regressors(cv, feature_matrix(source, kind, series, tz, target), grid, kind, series, target)
-    return regressor_predictions(source, cv.filter("role = 'validation'"), fitted.drop("train_time_seconds", "n_train_rows"), kind, horizon=horizon, series=series, tz=tz, target=target)
+    """Long-form predictions of every (set, fold); all fits come from one pass over the matrix."""
+    columns = tuple(feature_columns(kind))
+    fitted = fit_sets(fold_grams(cv, feature_matrix(source, kind, series, tz, target), columns, series, target), grid, columns, series)
+    return regressor_predictions(source, cv.filter("role = 'validation'"), fitted.drop("n_train_rows"), kind, horizon=horizon, series=series, tz=tz, target=target)
 
 
 def final_rows(df: DataFrame, test_days: int, series: list[str] = ()) -> DataFrame:

@@ -12,9 +12,9 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import METRICS, TARGET, TIMESTAMP, TREE_SPACE, feature_columns
+from ..config import METRICS, PROPHET_SPACE, TARGET, TIMESTAMP, TREE_SPACE, feature_columns
 from ..functions.metrics import cv_summary, grouped_metrics
-from ..operators import analysis, boosting, comparison, features, forecast, models, ordered, shapley, splits, stats, timeaxis
+from ..operators import analysis, boosting, comparison, features, forecast, gram, models, ordered, shapley, splits, stats, timeaxis
 from .oracle import ORACLE_SQL  # noqa: F401
 
 TEST_DAYS, FOLDS, VAL, HORIZON, UTC = 5, 5, 72, 24, "UTC"
@@ -510,15 +510,22 @@ def best_set_cv(spark, d):
 
 @query
 def additive_cv(spark, d):
-    grid = models.parameter_grid({"changepoint_prior_scale": [0.05, 0.5], "seasonality_mode": ["additive", "multiplicative"]}, "prophet")
-    return grouped_metrics(models.additive_cv(cv(spark, d), grid, HORIZON), ["parameter_set_id", "fold"])
+    """All 24 sets of the search space on all five folds."""
+    grid = models.parameter_grid(PROPHET_SPACE, "prophet")
+    return grouped_metrics(gram.additive_cv(cv(spark, d), grid, HORIZON), ["parameter_set_id", "fold"])
+
+
+@query
+def additive_sums(spark, d):
+    """The sums of terms against targets from which every fold's coefficients are solved."""
+    return gram.target_sums(gram.fold_grams(cv(spark, d), series(spark, d)))
 
 
 @query
 def additive_components(spark, d):
     s = features.feature_matrix(series(spark, d), "basic")
     regressors = tuple(feature_columns("basic"))
-    c = models.additive_components(s, s, regressors=regressors)
+    c = gram.additive_components(s, s, regressors=regressors)
     return models.component_summary(c, ["trend", "daily", "weekly", *(f"regressor_{r}" for r in regressors)])
 
 

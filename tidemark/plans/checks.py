@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..config import PROPHET_SPACE, TARGET
 from ..functions.metrics import grouped_metrics
-from ..operators import analysis, comparison, contracts, features, models, regressors, splits, stats, timeaxis
+from ..operators import analysis, comparison, contracts, features, gram, models, regressors, splits, stats, timeaxis
 from .catalog import HORIZON, PAIRS, QUERIES, TEST_DAYS, cv, cv_metrics, cv_predictions, errors, final_metrics, final_predictions, pair_table, query, series, sparse, table
 from .retraining import dm_run_summary, feature_summary
 from .oracle import BUNDLE, DENSE, DIFF, FINAL, FM, FOLDED, HOURLY, LONG, M, ORACLE_SQL, PAIRS as PAIR_SQL, QUANT, at, dm, matrix
@@ -256,4 +256,4 @@ def regressor_final(spark, d):
 
 @query
 def direct_final(spark, d):
-    return models.additive_cv(regressors.final_rows(series(spark, d), TEST_DAYS), [("best", {"changepoint_prior_scale": 0.05})], HORIZON)
+    return gram.additive_cv(regressors.final_rows(series(spark, d), TEST_DAYS), [("best", {"changepoint_prior_scale": 0.05})], HORIZON)

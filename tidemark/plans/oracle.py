@@ -217,6 +217,13 @@ ORACLE_SQL: dict[str, str] = {
         r AS (SELECT *, row_number() OVER (ORDER BY p, id) AS i, count(*) OVER () AS m FROM p WHERE p IS NOT NULL),
         a AS (SELECT id, max(least((m - i + 1) * p, 1)) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING) AS holm, min(least(p * m / i, 1)) OVER (ORDER BY i DESC ROWS UNBOUNDED PRECEDING) AS bh FROM r)
         SELECT l_orderkey, l_linenumber, {at('p')} AS p_value, {at('holm')} AS p_holm, {at('bh')} AS p_bh FROM p LEFT JOIN a USING (id)""",
+    "additive_sums": f"""WITH {FOLDED}, t AS (SELECT fold, y, epoch(timestamp) / 3600 AS h FROM f WHERE pos < val_start), s AS (SELECT *, min(h) OVER (PARTITION BY fold) AS start, max(h) OVER (PARTITION BY fold) - min(h) OVER (PARTITION BY fold) AS len FROM t),
+        c AS (SELECT *, (h - start) / len AS u FROM s), terms AS (
+            SELECT fold, y, 'level' AS term, 1.0 AS v FROM c UNION ALL SELECT fold, y, 'slope', u FROM c
+            UNION ALL SELECT fold, y, 'knot_' || k, greatest(0, u - 0.8 * k / 16) FROM c, (SELECT unnest(range(1, 16)) AS k)
+            UNION ALL SELECT fold, y, name || '_' || f || '_' || k, CASE f WHEN 'sin' THEN sin(2 * pi() * k * h / period) ELSE cos(2 * pi() * k * h / period) END
+                FROM c, (VALUES ('daily', 24, 4), ('weekly', 168, 3)) AS w(name, period, top), (VALUES ('sin'), ('cos')) AS g(f), (SELECT unnest(range(1, 5)) AS k) WHERE k <= top)
+        SELECT fold, term, kind AS target, {at("sum(v * CASE kind WHEN 'target' THEN y ELSE ln(1 + y) END)")} AS value FROM terms, (VALUES ('target'), ('logarithm')) AS x(kind) GROUP BY 1, 2, 3""",
     "shapiro_of_prices": f"WITH {shapiro('orders', 'o_orderpriority', 'o_totalprice')} SELECT g AS o_orderpriority, {at('statistic')} AS statistic FROM w",
     "exact_quantiles": "SELECT l_returnflag, l_linestatus, " + ", ".join(f"{at(f'quantile_cont(l_extendedprice, {q / 100})')} AS p{q:02d}" for q in (5, 25, 50, 75, 95, 99)) + " FROM lineitem GROUP BY 1, 2",
     "qq_points": f"WITH {CV_ERRORS} SELECT model_label, {at('residual')} AS sample, (row_number() OVER (PARTITION BY model_label ORDER BY residual))::INT AS nth FROM y",
