@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..config import PROPHET_SPACE, TARGET
 from ..functions.metrics import grouped_metrics
 from ..operators import analysis, comparison, contracts, features, gram, models, regressors, splits, stats, timeaxis
+from ..sources import artefacts, tables
 from .catalog import HORIZON, PAIRS, QUERIES, TEST_DAYS, cv, cv_metrics, cv_predictions, errors, final_metrics, final_predictions, pair_table, query, series, sparse, table
 from .retraining import dm_run_summary, feature_summary
 from .oracle import BUNDLE, DENSE, DIFF, FINAL, FM, FOLDED, HOURLY, LONG, M, ORACLE_SQL, PAIRS as PAIR_SQL, QUANT, at, dm, matrix
@@ -257,3 +258,50 @@ def regressor_final(spark, d):
 @query
 def direct_final(spark, d):
     return gram.additive_cv(regressors.final_rows(series(spark, d), TEST_DAYS), [("best", {"changepoint_prior_scale": 0.05})], HORIZON)
+
+
+def stored_predictions(spark, d):
+    """The final predictions as a file of text holds them."""
+    text = [F.col(c).cast("string").alias(c) for c in ("actual", "predicted", "horizon_step", "origin_block")]
+    return final_predictions(spark, d).select(F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), "model_label", "feature_set", *text, F.lit("k").alias("model_key"), F.lit("p").alias("parameter_set_id"), F.lit("0.5").alias("prediction_time_seconds"), F.lit(" No ").alias("used_actual_future_for_features"))
+
+
+def broken_predictions(spark, d):
+    step, block = F.col("horizon_step").cast("int"), F.col("origin_block").cast("int")
+    return stored_predictions(spark, d).withColumns({
+        "horizon_step": F.when(step % 6 == 0, "six").when(step == 1, "1.5").when(step == 2, F.lit(None)).otherwise(F.col("horizon_step")), "actual": F.when(block == 2, "n/a").when(block == 3, F.lit(None)).otherwise(F.col("actual")),
+        "used_actual_future_for_features": F.when(step == 3, "maybe").when(step == 4, F.lit(None)).otherwise("TRUE"), "timestamp": F.when((block == 1) & (step == 5), "never").otherwise(F.col("timestamp")),
+    })
+
+
+@add("artefact_audit", f"""WITH {FINAL}, n AS (SELECT count(*) AS n FROM e), f AS (
+    SELECT 'timestamp' AS "column", 'time' AS kind, count(*) FILTER (origin_block = 1 AND horizon_step = 5) AS faults, 'never' AS example FROM e UNION ALL
+    SELECT 'actual', 'number', count(*) FILTER (origin_block = 2), 'n/a' FROM e UNION ALL SELECT 'horizon_step', 'whole', count(*) FILTER (horizon_step % 6 = 0 OR horizon_step <= 2), '1.5' FROM e UNION ALL
+    SELECT 'used_actual_future_for_features', 'flag', count(*) FILTER (horizon_step IN (3, 4)), 'maybe' FROM e UNION ALL
+    SELECT c, k, 0, NULL FROM (VALUES ('model_label', 'text'), ('model_key', 'text'), ('feature_set', 'text'), ('parameter_set_id', 'text'), ('origin_block', 'whole'), ('predicted', 'number'), ('prediction_time_seconds', 'number')) AS x(c, k))
+    SELECT "column", kind, n AS n_rows, faults, example FROM f, n""")
+def _(spark, d):
+    """Faults by column of a stored table that breaks its contract in several ways."""
+    return artefacts.audit(broken_predictions(spark, d), artefacts.FINAL_PREDICTIONS)
+
+
+@add("artefact_audit_clean", f"""WITH {FINAL} SELECT count(*) AS n_columns, sum(faults)::BIGINT AS faults, (SELECT count(*) FROM e) AS n_rows FROM (SELECT unnest(range(11)) AS c, 0 AS faults)""")
+def _(spark, d):
+    return artefacts.audit(stored_predictions(spark, d), artefacts.FINAL_PREDICTIONS).agg(F.count(F.lit(1)).alias("n_columns"), F.sum("faults").alias("faults"), F.max("n_rows").alias("n_rows"))
+
+
+@add("artefact_predictions", f"""WITH {FINAL} SELECT timestamp, model_label, {at('actual')} AS actual, {at('residual')} AS residual, {at('absolute_error')} AS absolute_error, {at('residual ** 2')} AS squared_error, horizon_step, local_hour::INT AS local_hour, dow::INT AS local_day_of_week, (dow >= 5)::INT AS local_is_weekend,
+    month(timezone('America/New_York', timezone('UTC', timestamp)))::INT AS local_month, dayname(timezone('America/New_York', timezone('UTC', timestamp))) AS local_day_name, false AS used_actual_future_for_features FROM l""")
+def _(spark, d):
+    """Text back to kinds, with errors and the local calendar derived, as the error analysis reads it."""
+    made = artefacts.conformed(stored_predictions(spark, d), artefacts.ANALYSED_PREDICTIONS)
+    return made.select("timestamp", "model_label", "actual", "residual", "absolute_error", "squared_error", "horizon_step", "local_hour", "local_day_of_week", "local_is_weekend", "local_month", "local_day_name", "used_actual_future_for_features")
+
+
+@add("artefact_metrics", f"""WITH {M} SELECT model_label, {at('mae')} AS mae, CASE WHEN model_label <> 'naive_1' THEN 1.5 END AS prediction_time_seconds, {at('rmse')} AS rmse, true AS final_test_used_for_tuning FROM m""")
+def _(spark, d):
+    """Lenient columns turn what is no number into null; measures are strict."""
+    m = final_metrics(spark, d)
+    text = m.select("model_label", *(F.col(c).cast("string").alias(c) for c in ("mae", "rmse", "mape", "smape")), F.lit("p").alias("parameter_set_id"), F.when(F.col("model_label") == "naive_1", "fast").otherwise("1.5").alias("prediction_time_seconds"), F.lit(None).cast("string").alias("retraining_train_time_seconds"), F.lit("0").alias("used_actual_future_for_features"), F.lit("Yes").alias("final_test_used_for_tuning"))
+    artefacts.require_clean(text, artefacts.ANALYSED_METRICS)
+    return artefacts.conformed(text, artefacts.ANALYSED_METRICS).select("model_label", "mae", "prediction_time_seconds", "rmse", "final_test_used_for_tuning")
