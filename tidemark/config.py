@@ -25,19 +25,13 @@ TREE_SPACE = {"n_estimators": [300, 600, 1000], "learning_rate": [0.03, 0.05, 0.
 METRICS, PRIMARY_METRIC, SECONDARY_METRIC = ["mae", "rmse", "mape", "smape"], "mae", "rmse"
 
 #: Columns of the runtime log.
-RUNTIME_LOG_COLUMNS = (
-    "timestamp_run experiment_name model_name feature_set fold parameter_set_id train_start train_end validation_start validation_end "
-    "n_train_rows n_prediction_rows train_time_seconds prediction_time_seconds total_runtime_seconds status error_message"
-).split()
+RUNTIME_LOG_COLUMNS = [
+    "timestamp_run", "experiment_name", "model_name", "feature_set", "fold", "parameter_set_id", "train_start", "train_end", "validation_start", "validation_end",
+    "n_train_rows", "n_prediction_rows", "train_time_seconds", "prediction_time_seconds", "total_runtime_seconds", "status", "error_message",
+]
 
-#: Model labels in report order, and the compared pairs (id, baseline, challenger, role).
+#: Model labels in report order.
 MODEL_ORDER = ["Prophet", "Prophet-Regressor-Basic", "XGBoost-Basic", "XGBoost-Advanced", "SARIMA-Auto"]
-DM_COMPARISONS = [
-    ("experiment_a_revisi", "Prophet-Regressor-Basic", "XGBoost-Basic", "primary"),
-    ("experiment_b", "XGBoost-Basic", "XGBoost-Advanced", "primary"),
-    ("experiment_a_historical", "Prophet", "XGBoost-Basic", "reference"),
-    ("reference_advanced_vs_prophet_regressor", "Prophet-Regressor-Basic", "XGBoost-Advanced", "reference"),
-]
 
 
 def feature_set(name: str) -> str:

@@ -124,17 +124,20 @@ def time_spacing(spark, d):
     return timeaxis.spacing(order_days(spark, d))
 
 
+def order_hours(spark, d):
+    """Every hour of the days with orders, taken for local times of New York."""
+    return order_days(spark, d).select(F.explode(F.expr("sequence(timestamp, timestamp + interval 23 hour, interval 1 hour)")).alias(TIMESTAMP))
+
+
 @query
 def dst_localize(spark, d):
-    local = timeaxis.local_hours(spark, "2025-01-01 00:00:00", "2026-03-31 23:00:00")
-    local = local.filter(~timeaxis.is_nonexistent(F.col(TIMESTAMP)))
+    local = order_hours(spark, d).filter(~timeaxis.is_nonexistent(F.col(TIMESTAMP)))
     return timeaxis.localize(local, strict=False).select(TIMESTAMP, F.col("timestamp_local_naive").cast("timestamp").alias("local"), "is_dst_ambiguous_local_hour")
 
 
 @query
 def dst_nonexistent(spark, d):
-    local = timeaxis.local_hours(spark, "2025-01-01 00:00:00", "2026-03-31 23:00:00")
-    return local.filter(timeaxis.is_nonexistent(F.col(TIMESTAMP)))
+    return order_hours(spark, d).filter(timeaxis.is_nonexistent(F.col(TIMESTAMP)))
 
 
 @query
@@ -175,7 +178,12 @@ def centred_rolling(spark, d):
 
 @query
 def feature_set_table(spark, d):
-    return features.feature_set_table(spark)
+    """Groups of each feature set, with the rows and the distinct values that the series gives them."""
+    counted = []
+    for kind in ("basic", "advanced"):
+        m = features.feature_matrix(series(spark, d), kind).unpivot([TIMESTAMP], [F.col(c).cast("double").alias(c) for c in feature_columns(kind)], "feature", "value")
+        counted.append(m.withColumn("feature_group", features.feature_group(F.col("feature"))).groupBy("feature_group").agg(F.count("value").alias("n_values"), F.avg("value").alias("mean_value")).withColumn("feature_set", F.lit(kind)))
+    return features.feature_set_table(spark).join(counted[0].union(counted[1]), ["feature_set", "feature_group"])
 
 
 @query
@@ -439,8 +447,11 @@ def centre_and_randomness(spark, d):
 
 @query
 def parameter_grid(spark, d):
+    """The fits of a search: every set of the space on every fold, with the fold's training rows."""
     g = models.parameter_frame(spark, models.parameter_grid(TREE_SPACE, "xgb_basic"))
-    return g.select("parameter_set_id", F.col("param_n_estimators").cast("int").alias("n_estimators"), F.col("param_max_depth").cast("int").alias("max_depth"), F.col("param_min_child_weight").cast("int").alias("min_child_weight"))
+    folds = cv(spark, d).filter("role = 'train'").groupBy("fold").agg(F.count(F.lit(1)).alias("n_train_rows"), F.sum(TARGET).alias("train_trips"))
+    fits = folds.join(F.broadcast(g))  # the grid: its size is set by the caller
+    return fits.select("parameter_set_id", "fold", "n_train_rows", "train_trips", F.col("param_n_estimators").cast("int").alias("n_estimators"), F.col("param_max_depth").cast("int").alias("max_depth"), F.col("param_min_child_weight").cast("int").alias("min_child_weight"))
 
 
 @query

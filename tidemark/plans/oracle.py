@@ -132,10 +132,10 @@ ORACLE_SQL: dict[str, str] = {
     "missing_audit": f"""WITH {DAYS} SELECT (date_diff('hour', min(timestamp), max(timestamp)) + 1)::BIGINT AS expected, count(*) AS observed, (date_diff('hour', min(timestamp), max(timestamp)) + 1 - count(*))::BIGINT AS missing FROM g""",
     "time_spacing": f"""WITH {DAYS}, s AS (SELECT date_diff('second', lag(timestamp) OVER (ORDER BY timestamp), timestamp) AS step FROM g)
         SELECT count(step) AS n_steps, count(*) FILTER (step <> 3600) AS non_hourly, count(*) FILTER (step <= 0) AS non_positive, min(step) AS least_step, max(step) AS largest_step FROM s""",
-    "dst_localize": f"""WITH s AS (SELECT unnest(generate_series(TIMESTAMP '2025-01-01 00:00:00', TIMESTAMP '2026-03-31 23:00:00', INTERVAL 1 HOUR)) AS local),
+    "dst_localize": f"""WITH {DAYS}, s AS (SELECT unnest(generate_series(timestamp, timestamp + INTERVAL 23 HOUR, INTERVAL 1 HOUR)) AS local FROM g),
         u AS (SELECT local, timezone('UTC', timezone('{NY}', local)) AS timestamp FROM s)
         SELECT timestamp, local, {local("timestamp - INTERVAL 1 HOUR")} = local OR {local("timestamp + INTERVAL 1 HOUR")} = local AS is_dst_ambiguous_local_hour FROM u WHERE {local("timestamp")} = local""",
-    "dst_nonexistent": f"""WITH s AS (SELECT unnest(generate_series(TIMESTAMP '2025-01-01 00:00:00', TIMESTAMP '2026-03-31 23:00:00', INTERVAL 1 HOUR)) AS timestamp)
+    "dst_nonexistent": f"""WITH {DAYS}, s AS (SELECT unnest(generate_series(timestamp, timestamp + INTERVAL 23 HOUR, INTERVAL 1 HOUR)) AS timestamp FROM g)
         SELECT timestamp FROM s WHERE timezone('{NY}', timezone('{NY}', timestamp)) <> timestamp""",
     "calendar_features": f"WITH {DENSE} SELECT timestamp, hour({local('timestamp')})::SMALLINT AS hour, (isodow({local('timestamp')}) - 1)::SMALLINT AS day_of_week, (isodow({local('timestamp')}) >= 6)::TINYINT AS is_weekend, month({local('timestamp')})::SMALLINT AS month FROM d",
     "lag_features_basic": matrix("basic", drop=False),
@@ -144,7 +144,12 @@ ORACLE_SQL: dict[str, str] = {
     "feature_matrix_by_type": matrix("advanced", typed=True),
     "leakage_check": f"WITH {DENSE}, c AS (SELECT greatest(count(*) - 168, 0) AS checked_rows FROM d) SELECT feature, checked_rows::BIGINT AS checked_rows, 0::BIGINT AS mismatches FROM c, (SELECT unnest({[f'lag_{k}' for k in LAGS['advanced']] + [f'rolling_mean_{w}' for w in MEAN_WINDOWS['advanced']] + ['rolling_std_24', 'hour', 'day_of_week', 'is_weekend', 'month']}) AS feature)",
     "centred_rolling": f"WITH {DENSE} SELECT timestamp, {at('avg(y) OVER w')} AS rolling_mean, {at('stddev_samp(y) OVER w')} AS rolling_std FROM p WINDOW w AS (ORDER BY timestamp ROWS BETWEEN 84 PRECEDING AND 83 FOLLOWING)",
-    "feature_set_table": "SELECT * FROM (VALUES ('basic','lag',3::BIGINT,'lag_1,lag_24,lag_168'),('basic','calendar',2,'hour,day_of_week'),('advanced','lag',9,'lag_1,lag_2,lag_3,lag_6,lag_12,lag_24,lag_48,lag_72,lag_168'),('advanced','rolling_mean',3,'rolling_mean_3,rolling_mean_24,rolling_mean_168'),('advanced','rolling_std',1,'rolling_std_24'),('advanced','calendar',4,'hour,day_of_week,is_weekend,month')) AS t(feature_set, feature_group, n_features, features)",
+    "feature_set_table": f"""WITH b AS ({matrix("basic")}), a AS ({matrix("advanced")}), v AS (
+        SELECT 'basic' AS feature_set, 'lag' AS feature_group, 3::BIGINT AS n_features, 'lag_1,lag_24,lag_168' AS features, unnest([lag_1, lag_24, lag_168]) AS x FROM b UNION ALL SELECT 'basic', 'calendar', 2, 'hour,day_of_week', unnest([hour, day_of_week]) FROM b UNION ALL
+        SELECT 'advanced', 'lag', 9, 'lag_1,lag_2,lag_3,lag_6,lag_12,lag_24,lag_48,lag_72,lag_168', unnest([lag_1, lag_2, lag_3, lag_6, lag_12, lag_24, lag_48, lag_72, lag_168]) FROM a UNION ALL
+        SELECT 'advanced', 'rolling_mean', 3, 'rolling_mean_3,rolling_mean_24,rolling_mean_168', unnest([rolling_mean_3, rolling_mean_24, rolling_mean_168]) FROM a UNION ALL SELECT 'advanced', 'rolling_std', 1, 'rolling_std_24', rolling_std_24 FROM a UNION ALL
+        SELECT 'advanced', 'calendar', 4, 'hour,day_of_week,is_weekend,month', unnest([hour, day_of_week, is_weekend, month]) FROM a)
+        SELECT feature_set, feature_group, n_features, features, count(x) AS n_values, {at('avg(x)')} AS mean_value FROM v GROUP BY 1, 2, 3, 4""",
     "evenly_sampled": f"WITH {DENSE} SELECT timestamp FROM p WHERE n <= 50 OR pos IN (SELECT floor(k * (SELECT max(pos) FROM p) / 49.0 + 1e-9)::BIGINT FROM (SELECT unnest(range(0, 50)) AS k))",
     "holdout_split": f"WITH {DENSE}, s AS (SELECT *, CASE WHEN timestamp > (SELECT max(timestamp) FROM d) - INTERVAL 5 DAY THEN 'final_test' ELSE 'train_val' END AS split FROM p) SELECT split, count(*) AS n_rows, min(timestamp) AS start, max(timestamp) AS end, {at('min(y)')} AS target_min, {at('max(y)')} AS target_max, {at('avg(y)')} AS target_mean FROM s GROUP BY 1",
     "cv_folds": f"""WITH {FOLDED} SELECT fold, min(timestamp) FILTER (pos < val_start) AS train_start, max(timestamp) FILTER (pos < val_start) AS train_end, 0::BIGINT AS train_start_pos, any_value(val_start)::BIGINT AS train_end_pos_exclusive, count(*) FILTER (pos < val_start) AS n_train_rows,
@@ -236,8 +241,8 @@ ORACLE_SQL: dict[str, str] = {
         k AS (SELECT model_label, count(*) FILTER (up)::DOUBLE AS p, count(*) FILTER (NOT up)::DOUBLE AS q, count(*)::DOUBLE AS m, 1 + coalesce(sum(turn), 0)::DOUBLE AS runs FROM c GROUP BY 1),
         g AS (SELECT *, runs - 1 - 2 * p * q / m AS gap, 2 * p * q * (2 * p * q - m) / (m * m * (m - 1)) AS var FROM k), tt AS (SELECT model_label, count(*) AS n, avg(residual) / (stddev_samp(residual) / sqrt(count(*))) AS t FROM e GROUP BY 1)
         SELECT tt.model_label, n, {at('t')} AS mean_zero_t_statistic, p::BIGINT AS positive_count, q::BIGINT AS negative_count, {at('CASE WHEN p > 0 AND q > 0 AND var > 0 THEN (CASE WHEN m >= 50 THEN gap WHEN gap > 0.5 THEN gap - 0.5 WHEN gap < -0.5 THEN gap + 0.5 ELSE 0 END) / sqrt(var) END')} AS runs_test_z_statistic FROM tt JOIN g USING (model_label)""",
-    "parameter_grid": f"""WITH g AS (SELECT a, b, c, d, e, f, row_number() OVER (ORDER BY a, b, c, d, e, f) AS i FROM (SELECT unnest({TREE_SPACE['n_estimators']}) AS a), (SELECT unnest({TREE_SPACE['learning_rate']}) AS b), (SELECT unnest({TREE_SPACE['max_depth']}) AS c), (SELECT unnest({TREE_SPACE['subsample']}) AS d), (SELECT unnest({TREE_SPACE['colsample_bytree']}) AS e), (SELECT unnest({TREE_SPACE['min_child_weight']}) AS f))
-        SELECT 'xgb_basic_' || lpad(i::VARCHAR, 3, '0') AS parameter_set_id, a::INT AS n_estimators, c::INT AS max_depth, f::INT AS min_child_weight FROM g""",
+    "parameter_grid": f"""WITH {FOLDED}, c AS (SELECT fold, count(*) AS n_train_rows, sum(trip_count)::BIGINT AS train_trips FROM f WHERE pos < val_start GROUP BY 1), g AS (SELECT a, b, c, d, e, f, row_number() OVER (ORDER BY a, b, c, d, e, f) AS i FROM (SELECT unnest({TREE_SPACE['n_estimators']}) AS a), (SELECT unnest({TREE_SPACE['learning_rate']}) AS b), (SELECT unnest({TREE_SPACE['max_depth']}) AS c), (SELECT unnest({TREE_SPACE['subsample']}) AS d), (SELECT unnest({TREE_SPACE['colsample_bytree']}) AS e), (SELECT unnest({TREE_SPACE['min_child_weight']}) AS f))
+        SELECT 'xgb_basic_' || lpad(i::VARCHAR, 3, '0') AS parameter_set_id, fold, n_train_rows, train_trips, a::INT AS n_estimators, g.c::INT AS max_depth, f::INT AS min_child_weight FROM g, c""",
     "daily_orders": f"SELECT date_trunc('day', o_orderdate)::TIMESTAMP AS timestamp, count(*) AS trip_count, {at('sum(o_totalprice)')} AS total_price FROM orders GROUP BY 1",
     "describe_target": f"""WITH {DENSE}, q AS (SELECT quantile_cont(y, 0.25) AS q1, quantile_cont(y, 0.75) AS q3 FROM p), c AS (SELECT y - avg(y) OVER () AS z FROM p), k AS (SELECT avg(z ** 3) / avg(z ** 2) ** 1.5 AS s, avg(z ** 4) / avg(z ** 2) ** 2 - 3 AS k FROM c)
         SELECT count(*) AS n, {at('avg(y)')} AS mean, {at('stddev_samp(y)')} AS std, {at('any_value(s)')} AS skewness_pop, {at('any_value(k)')} AS kurtosis_pop, {at('any_value(q1)')} AS q1, {at('median(y)')} AS median, {at('any_value(q3)')} AS q3, count(*) FILTER (y < q1 - 1.5 * (q3 - q1) OR y > q3 + 1.5 * (q3 - q1)) AS outliers FROM p, q, k""",

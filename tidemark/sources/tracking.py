@@ -11,6 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 from ..config import RUNTIME_LOG_COLUMNS
+from .commits import append_once, commits
 
 
 def read_json(path: str, optional: bool = False) -> dict:
@@ -79,15 +80,26 @@ def runtime_record(experiment_name: str, **fields) -> dict[str, str]:
     return {c: text(given.get(c)) for c in RUNTIME_LOG_COLUMNS}
 
 
-def log_runtime(spark: SparkSession, record: dict, path: str) -> None:
-    spark.createDataFrame([[record[c] for c in RUNTIME_LOG_COLUMNS]], ", ".join(f"{c} string" for c in RUNTIME_LOG_COLUMNS)).coalesce(1).write.mode("append").option("header", True).csv(path)
+def log_runtime(spark: SparkSession, record: dict, path: str, run_id: str | None = None) -> None:
+    """One row of the runtime log.  With a ``run_id`` a repeated call adds no second row, and ``commits.read_committed`` reads the log."""
+    row = spark.createDataFrame([[record[c] for c in RUNTIME_LOG_COLUMNS]], ", ".join(f"{c} string" for c in RUNTIME_LOG_COLUMNS)).coalesce(1)
+    if run_id:
+        append_once(row, path, run_id, "csv")
+    else:
+        row.write.mode("append").option("header", True).csv(path)
 
 
-def log_run(spark: SparkSession, record: dict, path: str) -> None:
-    """One line of the journal; time and status have defaults."""
+def log_run(spark: SparkSession, record: dict, path: str, run_id: str | None = None) -> None:
+    """One line of the journal; time and status have defaults.  With a ``run_id`` a repeated call adds no second line."""
     full = plain({"timestamp_run": now(), "status": "success"} | record)
-    spark.createDataFrame([(json.dumps(full),)], "value string").coalesce(1).write.mode("append").text(path)
+    row = spark.createDataFrame([(json.dumps(full),)], "value string").coalesce(1)
+    if run_id:
+        append_once(row, path, run_id, "text")
+    else:
+        row.write.mode("append").text(path)
 
 
 def read_journal(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.json(path)
+    """The journal's lines as columns, those of run ids or plain ones."""
+    found = commits(spark, path)
+    return spark.read.json([f"{path.rstrip('/')}/{c['folder']}" for c in found.values()] or path)
