@@ -184,11 +184,11 @@ def _(spark, d):
 _ANSWERS = ["TRUE", " yes ", "0", "n", "maybe", "", "1"]
 
 
-@add("boolean_coercion", f"SELECT c_custkey, v AS answer, CASE WHEN lower(trim(v)) IN ('true', '1', 'yes', 'y') THEN true WHEN lower(trim(v)) IN ('false', '0', 'no', 'n') THEN false END AS flag FROM (SELECT c_custkey, ({_ANSWERS})[1 + c_custkey % {len(_ANSWERS)}] AS v FROM customer)")
+@add("boolean_coercion", f"SELECT c_custkey, v AS answer, CASE WHEN lower(trim(v)) IN ('true', '1', 'yes', 'y') THEN 'true' WHEN lower(trim(v)) IN ('false', '0', 'no', 'n') THEN 'false' END AS flag FROM (SELECT c_custkey, ({_ANSWERS})[1 + c_custkey % {len(_ANSWERS)}] AS v FROM customer)")
 def _(spark, d):
     """An answer by customer, as people write yes and no; what is neither is null, which ``require_bool`` makes an error."""
     answers = F.array(*map(F.lit, _ANSWERS))
-    return table(spark, d, "customer").select("c_custkey", F.element_at(answers, (1 + F.col("c_custkey") % len(_ANSWERS)).cast("int")).alias("answer")).withColumn("flag", comparison.bool_text("answer"))
+    return table(spark, d, "customer").select("c_custkey", F.element_at(answers, (1 + F.col("c_custkey") % len(_ANSWERS)).cast("int")).alias("answer")).withColumn("flag", comparison.bool_text("answer").cast("string"))
 
 
 @add("first_order_of_customer", "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS nth FROM orders) WHERE nth = 1")
