@@ -201,7 +201,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_
     apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(by) > F.when(F.col("exact"), 0).otherwise(drift), F.lit(True))
     spans = lines.withColumn("new", apart.cast("int")).withColumn("span", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
     spans = spans.groupBy(*title, "span").agg(F.sum("votes").alias("votes"), F.flatten(F.collect_list("met")).alias("met"))
-    spans = spans.filter(F.col("votes") >= least_share * F.col("seeds")).withColumn("in_order", _in_order(F.sort_array("met")))
+    spans = spans.filter(F.col("votes") >= least_share * F.col("seeds")).withColumn("in_order", _in_order(F.col("met")))
     spans = spans.withColumn("share", F.col("in_order.n") / F.col("seeds")).withColumn("start", F.col("in_order.start")).filter(F.col("share") >= least_share)
     within = Window.partitionBy("row", "named").orderBy("start", F.desc("length"), "template").rowsBetween(Window.unboundedPreceding, -1)
     end = F.col("start") + F.col("length")
@@ -216,15 +216,18 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_
 
 
 def _in_order(met: Column) -> Column:
-    """Of votes ``(t, p)``, sorted, how many lie on one alignment in which both increase, and where it starts in the text.
+    """Of votes ``(t, p)``, how many lie on the longest alignment in which both increase, and where it starts in the text.
 
-    Votes are taken in turn, each after the last one taken; a vote out of order is passed over.
+    Votes are taken by rising ``t``, and by falling ``p`` for the same ``t``; the state holds, for each
+    length, the least last ``p`` of a chain of that length and where that chain starts.
     """
-    first = F.struct(F.lit(-1).alias("t"), F.lit(-1).alias("p"), F.lit(0).alias("n"), F.lit(0).alias("start"))
+    falling = lambda x, y: F.when(x["t"] != y["t"], F.signum(x["t"] - y["t"]).cast("int")).otherwise(F.signum(y["p"] - x["p"]).cast("int"))
+    none = F.array().cast("array<struct<p:int,start:int>>")
 
-    def taken(s: Column, x: Column) -> Column:
-        fits = (x["t"] > s["t"]) & (x["p"] > s["p"])
-        start = F.when(s["n"] == 0, x["p"] - x["t"]).otherwise(s["start"])
-        return F.when(fits, F.struct(x["t"].alias("t"), x["p"].alias("p"), (s["n"] + 1).alias("n"), start.alias("start"))).otherwise(s)
+    def taken(ends: Column, x: Column) -> Column:
+        k = F.size(F.filter(ends, lambda e: e["p"] < x["p"]))
+        start = F.when(k == 0, x["p"] - x["t"]).otherwise(F.get(ends, k - 1)["start"])
+        return F.concat(F.slice(ends, F.lit(1), k), F.array(F.struct(x["p"].cast("int").alias("p"), start.cast("int").alias("start"))), F.slice(ends, k + 2, F.greatest(F.size(ends) - k - 1, F.lit(0))))
 
-    return F.aggregate(met, first, taken)
+    last = lambda ends: F.struct(F.size(ends).alias("n"), F.element_at(ends, -1)["start"].alias("start"))
+    return F.aggregate(F.array_sort(met, falling), none, taken, last)
