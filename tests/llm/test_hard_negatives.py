@@ -29,7 +29,7 @@ def found(spark, rows, parts=3, **more):
 
 @pytest.fixture
 def small(monkeypatch):
-    for name, value in (("ROWS", 13), ("ANCHORS", 3), ("CHUNK", 3), ("TOGETHER", 2)):
+    for name, value in (("ROWS", 24), ("ANCHORS", 3), ("CHUNK", 3), ("TOGETHER", 2)):
         monkeypatch.setattr(hard_negatives, name, value)
 
 
@@ -39,18 +39,18 @@ def some(n, dims, labels, seed, scale=1.0):
 
 
 def test_small_blocks(spark, small):
-    rows = some(400, 7, [0, 0, 0, 1, 2], 1)
+    rows = some(240, 7, [0, 0, 0, 1, 2], 1)
     assert found(spark, rows, every=20) == plain(rows, every=20)
 
 
 def test_ties_and_one_large_label(spark, small):
     rng = random.Random(2)
-    rows = [(i, 0 if i % 3 else i % 5, [rng.choice([0.0, 0.5, 1.0]) for _ in range(4)]) for i in range(300)]
+    rows = [(i, 0 if i % 3 else i % 5, [rng.choice([0.0, 0.5, 1.0]) for _ in range(4)]) for i in range(160)]
     assert found(spark, rows, every=10) == plain(rows, every=10)
 
 
 def test_other_windows(spark, small):
-    rows = some(200, 5, [1, 2], 3)
+    rows = some(120, 5, [1, 2], 3)
     assert found(spark, rows, every=10, positives=2, negatives=7, low=30, high=90) == plain(rows, 10, 2, 7, 30, 90)
 
 
