@@ -575,6 +575,11 @@ def normality_tests(spark, d):
     return stats.normality(cv_errors(spark, d), "residual", ["model_label"])
 
 
+@query
+def normality_statistics(spark, d):
+    return stats.normality(cv_errors(spark, d), "residual", ["model_label"]).select("model_label", "test_name", "statistic")
+
+
 @query
 def shapiro_of_prices(spark, d):
     """Ranks of whole groups: the prices of the orders of each priority, many of them more than a task would hold at scale."""

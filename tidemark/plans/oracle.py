@@ -230,6 +230,14 @@ ORACLE_SQL: dict[str, str] = {
                 FROM c, (VALUES ('daily', 24, 4), ('weekly', 168, 3)) AS w(name, period, top), (VALUES ('sin'), ('cos')) AS g(f), (SELECT unnest(range(1, 5)) AS k) WHERE k <= top)
         SELECT fold, term, kind AS target, {at("sum(v * CASE kind WHEN 'target' THEN y ELSE ln(1 + y) END)")} AS value FROM terms, (VALUES ('target'), ('logarithm')) AS x(kind) GROUP BY 1, 2, 3""",
     "shapiro_of_prices": f"WITH {shapiro('orders', 'o_orderpriority', 'o_totalprice')} SELECT g AS o_orderpriority, {at('statistic')} AS statistic FROM w",
+    "normality_statistics": f"""WITH {CV_ERRORS}, {shapiro('y', 'model_label', 'residual')},
+        zz AS (SELECT model_label, residual - avg(residual) OVER (PARTITION BY model_label) AS z FROM y), mo AS (SELECT model_label, count(*)::DOUBLE AS n, avg(z ** 3) / avg(z ** 2) ** 1.5 AS sk, avg(z ** 4) / avg(z ** 2) ** 2 AS ku FROM zz GROUP BY 1),
+        k1 AS (SELECT *, sk * sqrt((n + 1) * (n + 3) / (6 * (n - 2))) AS q, sqrt(2 * (3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9)) - 1)) - 1 AS w2,
+            (ku - 3 * (n - 1) / (n + 1)) / sqrt(24 * n * (n - 2) * (n - 3) / ((n + 1) ** 2 * (n + 3) * (n + 5))) AS x, 6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))) AS root FROM mo),
+        k2 AS (SELECT *, asinh(q / sqrt(2 / (w2 - 1))) / sqrt(0.5 * ln(w2)) AS z1, 6 + 8 / root * (2 / root + sqrt(1 + 4 / root ** 2)) AS aa FROM k1),
+        k3 AS (SELECT *, (1 - 2 / aa) / (1 + x * sqrt(2 / (aa - 4))) AS inside FROM k2)
+        SELECT model_label, 'Jarque-Bera' AS test_name, {at('n / 6 * (sk ** 2 + (ku - 3) ** 2 / 4)')} AS statistic FROM mo UNION ALL
+        SELECT model_label, 'D''Agostino K^2', {at('z1 ** 2 + ((1 - 2 / (9 * aa) - sign(inside) * abs(inside) ** (1 / 3.0)) / sqrt(2 / (9 * aa))) ** 2')} FROM k3 UNION ALL SELECT g, 'Shapiro-Wilk', {at('statistic')} FROM w""",
     "exact_quantiles": "SELECT l_returnflag, l_linestatus, " + ", ".join(f"{at(f'quantile_cont(l_extendedprice, {q / 100})')} AS p{q:02d}" for q in (5, 25, 50, 75, 95, 99)) + " FROM lineitem GROUP BY 1, 2",
     "qq_points": f"WITH {CV_ERRORS} SELECT model_label, {at('residual')} AS sample, (row_number() OVER (PARTITION BY model_label ORDER BY residual))::INT AS nth FROM y",
     "orders_runs": f"""WITH o AS (SELECT o_orderpriority AS g, o_orderkey AS k, o_totalprice - avg(o_totalprice) OVER (PARTITION BY o_orderpriority) AS x FROM orders), c AS (SELECT g, x > 0 AS up, ((x > 0) <> lag(x > 0) OVER (PARTITION BY g ORDER BY k))::INT AS turn FROM o WHERE x <> 0),
