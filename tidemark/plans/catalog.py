@@ -6,6 +6,7 @@ The study's scaled parameters for the one-month event table: five days of final
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import wraps
 
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from ..config import METRICS, PROPHET_SPACE, TARGET, TIMESTAMP, TREE_SPACE, feature_columns
 from ..functions.metrics import cv_summary, grouped_metrics
 from ..operators import analysis, boosting, comparison, features, forecast, gram, models, ordered, shapley, splits, stats, timeaxis
+from ..sources.staging import shared_folder, staged
+from ..streaming.forecast import fitted_states, state_updating_forecast
 from .oracle import ORACLE_SQL  # noqa: F401
 
 TEST_DAYS, FOLDS, VAL, HORIZON, UTC = 5, 5, 72, 24, "UTC"
@@ -546,6 +549,18 @@ def seasonal_ar_forecast(spark, d):
     return models.seasonal_ar_predictions(train, test, HORIZON)
 
 
+@query
+def stream_seasonal_forecast(spark, d):
+    """The same forecasts from a stream of the final test's actuals, with the known values in the state store."""
+    train, test = splits.holdout(series(spark, d), TEST_DAYS)
+    folder = f"{shared_folder(spark)}/staged/{uuid.uuid4().hex}"
+    test.select(TIMESTAMP, TARGET).coalesce(1).write.parquet(f"{folder}/in")
+    arriving = spark.readStream.schema(test.select(TIMESTAMP, TARGET).schema).parquet(f"{folder}/in")
+    answered = state_updating_forecast(arriving, staged(fitted_states(train)), HORIZON)
+    answered.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(answered.schema).parquet(f"{folder}/out")
+
+
 @query
 def shap_importance(spark, d):
     """A model of the advanced set at depth 7, explained on 2,000 evenly spaced rows, or all where there are fewer."""
