@@ -103,20 +103,42 @@ def test_lm_features_against_plain():
     assert all(np.array_equal(a, b) for a, b in zip(made[1:], plain[1:]))
 
 
-def test_lm_averages_of_copies():
+def test_lm_class_counts_against_plain(spark):
     import numpy as np
 
     from tidemark.llm import lm_scoring as m
 
-    rng, copies = np.random.default_rng(2), []
-    for _ in range(70):
-        x = np.zeros(m.BLOCK, m.ROW)
-        x["w"], x["n"] = rng.normal(size=(m.BLOCK, m.CLASSES)), rng.integers(0, 1000, m.BLOCK)
-        copies.append(x)
-    w, n = (np.stack([x[c].astype(float) for x in copies]) for c in ("w", "n"))
-    made = m.averaged([m.averaged(copies[:64]), m.averaged(copies[64:])])
-    assert np.allclose(made["w"], (w * n[..., None]).sum(0) / n.sum(0)[:, None], atol=2e-3) and np.array_equal(made["n"], n.sum(0))
-    assert not m.averaged([np.zeros(m.BLOCK, m.ROW)])["w"].any()
+    bodies = [b"the cat sat on the mat", b"", b"the dog sat", b"the cat"] * 5
+    (_, h, starts), = m.chunks([type("S", (), {"as_py": lambda self, d=d: d})() for d in bodies])
+    own = m.OwnRows(*np.unique(h, return_counts=True), 10, 100)
+    assert len(own)
+    want = np.zeros((sum(m.ROWS) + m.BLOCK, m.CLASSES))
+    for t, rows in enumerate(m.features(h, starts, own)):
+        for row, x in zip(rows.tolist(), h.tolist()):
+            want[row + m.STARTS[t], x % m.CLASSES] += 1
+    tokens = np.bincount((h % np.uint64(m.CLASSES)).astype(int), minlength=m.CLASSES).astype(float)
+    for parts in (1, 7):
+        model = m.MaxEnt(tokens, np.ones(m.CLASSES), own)
+        m.class_counts(spark.createDataFrame([(i, x) for i, x in enumerate(bodies)], "id long, body binary").repartition(parts), model)
+        assert np.array_equal(model.seen, want.sum(axis=1)[: model.size])
+        assert np.allclose(model.logs, np.log1p(want[: model.size] / (m.SMOOTH * model.share)), rtol=1e-6)
+
+
+def test_lm_does_not_depend_on_partitions(spark):
+    from tidemark.llm.lm_scoring import score_documents
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    few, many = (by_id(score_documents(docs.repartition(n))) for n in (4, 64))
+    assert few.keys() == many.keys() and all(math.isclose(few[i]["score"], many[i]["score"], rel_tol=1e-4) for i in few)
+
+
+def test_lm_held_out_bits(spark):
+    from tidemark.llm.lm_scoring import score_documents
+
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").repartition(32)
+    r = score_documents(docs).filter("held_out").agg({"score": "sum", "base_score": "sum", "n_tokens": "sum"}).first()
+    bits = lambda c: -r[f"sum({c})"] / r["sum(n_tokens)"] / math.log10(2)
+    assert bits("score") < 13.37 < 13.9 < bits("base_score")
 
 
 def test_lm_rows_of_their_own_help(spark):
@@ -136,20 +158,36 @@ def test_lm_is_a_distribution():
     own = m.OwnRows(np.array([3, 7, 9, 11], np.uint64), np.array([5, 1, 9, 4]), 2, 2)
     assert own.of(np.array([9, 3, 7, 11, 8], np.uint64)).tolist() == [sum(m.ROWS), sum(m.ROWS) + 1, -1, -1, -1]  # most frequent first, too rare, past the bound
     model = m.MaxEnt(rng.integers(1, 50, m.CLASSES).astype(float), np.full(m.CLASSES, 3.0), own)
-    f = rng.integers(0, 1000, (4, 64)).astype(np.uint16)
-    k = rng.integers(0, m.CLASSES, 64)
-    seen = np.zeros(len(model.weights), np.int64)
-
-    def loss():
-        z = m.class_logits(model.weights, model.bias, f)
+    f = rng.integers(0, 50, (4, 4096)).astype(np.uint16)
+    k = (f[0] * 7 + f[1] * 3 + rng.integers(0, 5, 4096)) % m.CLASSES
+    counts = np.zeros((model.size, m.CLASSES))
+    for t in range(4):
+        np.add.at(counts, (f[t] + m.STARTS[t], k), 1)
+    model.count(slice(0, model.size), counts)
+
+    def gain(scales):  # the log-likelihood with each token left out, by definition
+        z = np.tile(model.bias.astype(float), (4096, 1))
+        for t in range(4):
+            c = counts[f[t] + m.STARTS[t]]
+            c[np.arange(4096), k] -= 1
+            z += np.log1p(c / (m.SMOOTH * model.share)) * scales[t, m.band(c.sum(axis=1))][:, None]
         p = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
         assert np.allclose(p.sum(axis=1), 1)
-        return -np.log(p[np.arange(64), k]).mean()
-
-    before = loss()
-    for _ in range(50):
-        m.update(model.weights, seen, model.bias, f, k, 1.0)
-    assert loss() < 0.5 * before
+        return np.log(p[np.arange(4096), k]).sum() - m.PRIOR / 2 * ((scales - m.START_SCALE) ** 2).sum()
+
+    sums, size = model.slopes(list(f), k), model.scales.size
+    for at in np.flatnonzero(np.abs(sums[:size]) > 1):
+        move = np.zeros(size)
+        move[at] = 1e-4
+        move = move.reshape(model.scales.shape)
+        assert math.isclose((gain(model.scales + move) - gain(model.scales - move)) / 2e-4, sums[at], rel_tol=1e-3)
+        curve = -(gain(model.scales + 100 * move) - 2 * gain(model.scales) + gain(model.scales - 100 * move)) / 1e-4 - m.PRIOR
+        assert math.isclose(curve, sums[size:].reshape(size, size)[at, at], rel_tol=0.02)
+    before = gain(model.scales)
+    for _ in range(3):
+        model.step(model.slopes(list(f), k))
+        assert gain(model.scales) > before - 1e-6
+    assert gain(model.scales) > before + 1 and np.isfinite(model.weights()).all()
 
 
 def test_token_counts(docs):

@@ -5,16 +5,23 @@ ending; class 0 is the end of a text.  ``P(class | history)`` is a softmax over
 skip features of the preceding words; ``P(word | class)`` is the softmax of one weight per word,
 whose fitted value is the smoothed count.  Both factors sum to one.
 
-Three passes over the texts, each in bounded numpy batches:
+A feature's weight for a class is a scale times ``log(1 + c / (SMOOTH p))``, where ``c`` is how often
+the class followed the feature in training and ``p`` the class's share.  The scales, one for each
+template and frequency band, are trained by gradient updates over all training tokens.
+
+Four passes over the texts, each in bounded numpy batches:
 
 1. word counts of all training tokens, counted per batch before the shuffle;
-2. gradient updates: every task starts from the same weights, updates its own copy over all its
-   training tokens, and the copies meet as averages weighted by how often each feature occurred,
-   in a tree of bounded groups;
-3. scores.  The most frequent words (a bounded number, chosen by a count threshold) travel with
+2. counts of (feature, class), summed over the tasks as integers in a tree of bounded groups;
+3. a gradient update: every task sums gradient and curvature of the scales at the same point, with
+   each token left out of its own features' counts, and the driver takes one step (more with
+   ``rounds``);
+4. scores.  The most frequent words (a bounded number, chosen by a count threshold) travel with
    the tasks; all other words of a text go through a join with the rest of the counts, so every
    count used is the exact one.
 
+All of it are sums over tokens, so the number and size of the tasks decide nothing.
+
 Features of the preceding word grow with the corpus: every word that occurs often enough in
 training (``own_least``) has a weight row of its own, up to ``own_words`` rows, the most frequent
 first; rarer words share hashed rows.
@@ -41,8 +48,12 @@ CLASSES = 32
 ROWS = (1 << 13, 1 << 14, 1 << 12, 1 << 12)
 STARTS = tuple(int(x) for x in np.cumsum((0, *ROWS[:-1])))
 BLOCK = 256
-#: A weight row on its way between tasks: half-precision weights and the tokens that they were fitted on.
-ROW = np.dtype([("w", np.float16, CLASSES), ("n", np.float32)])
+#: Added to a class's count in a feature, in units of the class's share.
+SMOOTH = 8.0
+#: Frequency bands of a feature by powers of two; the last one is open.
+BANDS = 16
+#: The scales before training, and the weight of that prior in units of curvature.
+START_SCALE, PRIOR = 0.4, 10.0
 END = np.uint64(0x2545F4914F6CDD1D & ~(CLASSES - 1))  # the end token's hash, of class 0
 #: Characters that don't belong to a word's ending.
 _IS_MARK = np.zeros(256, bool)
@@ -116,32 +127,73 @@ def class_logits(weights: np.ndarray, bias: np.ndarray, f: list[np.ndarray]) ->
     return z
 
 
-def update(weights: np.ndarray, seen: np.ndarray, bias: np.ndarray, f: list[np.ndarray], k: np.ndarray, rate: float) -> None:
-    """One gradient step on a batch of tokens: for each row the mean of (observed - expected) over its tokens."""
-    g = class_logits(weights, bias, f)
-    np.exp(g, out=g)
-    g /= -g.sum(axis=1, keepdims=True)
-    g[np.arange(len(k)), k] += 1
-    for t in range(len(f)):
-        order = np.argsort(f[t], kind="stable")  # by radix where 16 bits wide
-        s = f[t][order]
-        first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
-        rows = s[first].astype(np.int64) + STARTS[t]
-        n = np.diff(np.append(first, len(s)))
-        weights[rows] += np.add.reduceat(g.take(order, axis=0), first, axis=0) * (rate / (n + 2.0)).astype(np.float32)[:, None]
-        seen[rows] += n
+def band(n: np.ndarray) -> np.ndarray:
+    """The frequency band of features that occur ``n`` times."""
+    return np.minimum(np.log2(n + 1.0).astype(np.int64), BANDS - 1)
 
 
 class MaxEnt:
-    """Class weights and class sizes: 4 MB, and 128 bytes for each row of ``own``."""
+    """Class sizes, features' class counts as logs, and the scales: 4 MB, and 136 bytes for each row of ``own``."""
 
     def __init__(self, tokens: np.ndarray, words: np.ndarray, own: OwnRows):
         self.tokens, self.words = tokens, words  # by class
         self.n_tokens, self.n_words = int(tokens.sum()), int(words.sum())
-        share = (tokens + 1.0) / (tokens.sum() + CLASSES)
-        self.bias = np.log(share).astype(np.float32)
+        self.share = (tokens + 1.0) / (tokens.sum() + CLASSES)
+        self.bias = np.log(self.share).astype(np.float32)
         self.own = own
-        self.weights = np.zeros((-(-(sum(ROWS) + len(own)) // BLOCK) * BLOCK, CLASSES), np.float32)
+        self.size = -(-(sum(ROWS) + len(own)) // BLOCK) * BLOCK
+        self.logs = np.zeros((self.size, CLASSES), np.float32)
+        self.seen = np.zeros(self.size, np.int64)
+        self.scales = np.full((len(ROWS), BANDS), START_SCALE)
+
+    def count(self, rows: slice, counts: np.ndarray) -> None:
+        """Takes the class counts of some rows."""
+        self.logs[rows] = np.log1p(counts / (SMOOTH * self.share))
+        self.seen[rows] = counts.sum(axis=1)
+
+    def weights(self) -> np.ndarray:
+        template = np.zeros(self.size, np.int64)  # words of their own belong to the first
+        for t in range(1, len(ROWS)):
+            template[STARTS[t] : STARTS[t] + ROWS[t]] = t
+        return self.logs * self.scales[template, band(self.seen)].astype(np.float32)[:, None]
+
+    def slopes(self, f: list[np.ndarray], k: np.ndarray) -> np.ndarray:
+        """Gradient and curvature of the tokens' log-likelihood by the scales, as one array.
+
+        A token is left out of the counts that predict it: what is known of its own class is one less.
+        """
+        at = np.arange(len(k))
+        logs, bands = [], []
+        z = np.tile(self.bias, (len(k), 1))
+        for t, rows in enumerate(f):
+            rows = rows.astype(np.int64) + STARTS[t]
+            x, unit = self.logs.take(rows, axis=0), SMOOTH * self.share[k]
+            x[at, k] = np.log1p(np.maximum(np.expm1(x[at, k].astype(float)) * unit - 1, 0) / unit)
+            b = band(np.maximum(self.seen[rows] - 1, 0))
+            z += x * self.scales[t, b].astype(np.float32)[:, None]
+            logs.append(x)
+            bands.append(t * BANDS + b)
+        z -= z.max(axis=1, keepdims=True)
+        np.exp(z, out=z)
+        z /= z.sum(axis=1, keepdims=True)
+        size = self.scales.size
+        expected = [z * x for x in logs]
+        mean = [x.sum(axis=1, dtype=np.float64) for x in expected]
+        slope, curve = np.zeros(size), np.zeros(size * size)
+        for t in range(len(f)):
+            slope += np.bincount(bands[t], logs[t][at, k] - mean[t], minlength=size)
+            for q in range(t, len(f)):
+                both = np.bincount(bands[t] * size + bands[q], np.einsum("ij,ij->i", expected[t], logs[q]) - mean[t] * mean[q], minlength=size * size)
+                curve += both
+                if q > t:
+                    curve += both.reshape(size, size).T.ravel()
+        return np.concatenate((slope, curve))
+
+    def step(self, sums: np.ndarray) -> None:
+        """One update of the scales from all tokens' slopes: a step of Newton's method with a prior around the start."""
+        size = self.scales.size
+        slope, curve = sums[:size] - PRIOR * (self.scales.ravel() - START_SCALE), sums[size:].reshape(size, size) + PRIOR * np.eye(size)
+        self.scales = np.clip(self.scales + np.linalg.solve(curve, slope).reshape(self.scales.shape), 0, 2)
 
 
 def training_rows(docs: DataFrame, id_col: str, held_out: tuple[int, int]) -> DataFrame:
@@ -173,55 +225,55 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-def averaged(copies: list[np.ndarray]) -> np.ndarray:
-    """Averages of rows, weighted by their tokens and taken in single precision."""
-    w, n = np.zeros((len(copies[0]), CLASSES), np.float32), np.zeros(len(copies[0]), np.float32)
-    for x in copies:
-        w += x["w"].astype(np.float32) * x["n"][:, None]
-        n += x["n"]
-    out = np.zeros(len(n), ROW)
-    out["w"], out["n"] = w / np.maximum(n, 1)[:, None], n
-    return out
+def class_counts(texts: DataFrame, model: MaxEnt) -> None:
+    """Counts the classes that follow each feature over all texts, into ``model``."""
+    shared = texts.sparkSession.sparkContext.broadcast((model.own, model.size))  # of bounded size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, size = shared.value
+        counts = np.zeros(size * CLASSES, np.int64)
+        for b in batches:
+            for _, h, starts in chunks(b.column(1)):
+                k = (h & np.uint64(CLASSES - 1)).astype(np.int64)
+                for t, rows in enumerate(features(h, starts, own)):
+                    cells, n = np.unique((rows.astype(np.int64) + STARTS[t]) * CLASSES + k, return_counts=True)
+                    counts[cells] += n
+        counts = counts.reshape(-1, BLOCK * CLASSES)
+        for block in np.flatnonzero(counts.any(axis=1)):
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([counts[block].tobytes()], pa.binary())], ["block", "body"])
+
+    made = tree_summed(texts.mapInArrow(run, "block int, body binary"), n_partitions(texts), np.int64)
+    sums: dict[int, np.ndarray] = {}
+    for r in made.toLocalIterator():  # the feature table, a block at a time
+        x = np.frombuffer(bytes(r["body"]), np.int64)
+        sums[r["block"]] = sums.get(r["block"], 0) + x
+    for block, x in sums.items():
+        model.count(slice(block * BLOCK, (block + 1) * BLOCK), x.reshape(BLOCK, CLASSES))
+    shared.unpersist()
 
 
-def gradient_round(texts: DataFrame, model: MaxEnt, batch: int, rate: float) -> np.ndarray:
-    """New weights after every task has updated its own copy over all of its texts."""
-    shared = texts.sparkSession.sparkContext.broadcast((model.weights, model.bias, model.own))  # of bounded size
+def gradient_round(texts: DataFrame, model: MaxEnt, batch: int) -> None:
+    """One update of the scales from the slopes of all tokens."""
+    shared = texts.sparkSession.sparkContext.broadcast(model)  # of bounded size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = 0
-        weights, bias, own = shared.value
-        weights = weights.copy()
-        seen = np.zeros(len(weights), np.int64)
+        model, sums = shared.value, None
         for b in batches:
             for _, h, starts in chunks(b.column(1)):
-                f, k = features(h, starts, own), (h & np.uint64(CLASSES - 1)).astype(np.int64)
+                f, k = features(h, starts, model.own), (h & np.uint64(CLASSES - 1)).astype(np.int64)
                 for s in range(0, len(h), batch):
-                    update(weights, seen, bias, [x[s : s + batch] for x in f], k[s : s + batch], rate / math.sqrt(1 + step / 400))
-                    step += 1
-        if step:
-            full = np.flatnonzero(seen.reshape(-1, BLOCK).any(axis=1))
-            for part in np.array_split(full, -(-len(full) // 64)):
-                bodies = []
-                for block in part:
-                    rows = slice(block * BLOCK, (block + 1) * BLOCK)
-                    made = np.zeros(BLOCK, ROW)
-                    made["w"], made["n"] = np.where(seen[rows, None] > 0, weights[rows], 0), seen[rows]
-                    bodies.append(made.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(bodies, pa.binary())], ["block", "body"])
-
-    made = tree_summed(texts.mapInArrow(run, "block int, body binary"), n_partitions(texts), ROW, merge=averaged)
-    out = model.weights.copy()
-    for r in made.collect():  # the weight table
-        x = np.frombuffer(bytes(r["body"]), ROW)
-        rows = slice(r["block"] * BLOCK, (r["block"] + 1) * BLOCK)
-        out[rows] = np.where(x["n"][:, None] > 0, x["w"], out[rows])
+                    x = model.slopes([x[s : s + batch] for x in f], k[s : s + batch])
+                    sums = x if sums is None else sums + x
+        if sums is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([sums.tobytes()], pa.binary())], ["block", "body"])
+
+    made = tree_summed(texts.mapInArrow(run, "block int, body binary"), n_partitions(texts), np.float64).collect()  # one array
+    model.step(sum(np.frombuffer(bytes(r["body"])) for r in made))
     shared.unpersist()
-    return out
 
 
 def score_documents(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: tuple[int, int] = (7, 2), rounds: int = 1, batch: int = 8192, rate: float = 1.5, head_words: int = 1 << 19,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: tuple[int, int] = (7, 2), rounds: int = 1, batch: int = 8192, head_words: int = 1 << 19,
     own_words: int = 1 << 19, own_least: int = 32,
 ) -> DataFrame:
     """``(id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` of every document.
@@ -229,6 +281,7 @@ def score_documents(
     ``held_out = (m, r)``: rows with crc32(id as text) mod m = r are not learnt from.
     ``head_words`` bounds the words that travel with the tasks (16 bytes each), ``own_words`` those
     of them with a weight row of their own (128 bytes each), which occur ``own_least`` times or more.
+    ``rounds``: gradient updates of the scales, each a pass over the training texts.
     """
     spark = docs.sparkSession
     texts = id_and_bytes(docs, id_col, text_col)
@@ -253,13 +306,14 @@ def score_documents(
     hh, hc = hh[order], hc[order]
     model = MaxEnt(tokens, words, OwnRows(hh, hc, own_least, own_words))
     if model.n_tokens:
+        class_counts(train, model)
         for _ in range(rounds):
-            model.weights = gradient_round(train, model, batch, rate)
+            gradient_round(train, model, batch)
 
     n, v = model.n_tokens, model.n_words
     in_class = np.log10(tokens + words + 1)
     base_all = math.log10(n + v + 1)
-    shared = spark.sparkContext.broadcast((hh, hc, model.weights, model.bias, model.own, in_class))  # of bounded size
+    shared = spark.sparkContext.broadcast((hh, hc, model.weights(), model.bias, model.own, in_class))  # of bounded size
     ln10 = math.log(10)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
