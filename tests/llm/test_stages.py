@@ -45,6 +45,23 @@ def test_lines_of_many_documents_go_with_their_documents(spark):
     assert got == set(range(40, 60))
 
 
+def test_first_of_near_copies_stays(spark):
+    """60 near copies that share body lines: the first that passes the base rules stays, and a notice still goes from the others."""
+    body = [" ".join(f"b{j}w{k}" for k in range(12)) for j in range(4)]
+    notice = "this notice stands in every one of the documents of this host and is long enough to deplete"
+    rows = [(i, "\n".join([notice, *body, f"own{i} words{i}"]), "en", "s", 1, *SPARE) for i in range(10, 70)]
+    rows += [(i, "\n".join([notice, *body]) + "\n" + "again " * 60, "en", "s", 1, *SPARE) for i in range(5, 10)]  # fail the base rules
+    rows += [(i, notice + "\n" + " ".join(f"o{i}_{k}" for k in range(5 if i < 130 else 60)), "en", "s", 1, *SPARE) for i in range(100, 160)]
+    rows += [(None, "\n".join([notice, *body, "no id"]), "en", "s", 1, *SPARE)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    assert {r["doc_id"] for r in keep_good(df).collect()} == set(range(130, 160))
+    kept = keep_good(df, first_keeps=True)
+    assert {r["doc_id"] for r in kept.collect()} == {10, *range(130, 160)}
+    judged = judge(df.select("doc_id", "text", "source"), first_keeps=True).filter("kept")
+    assert table(kept.select("doc_id", "text", "source")) == table(judged.select("doc_id", "text", "source"))
+    assert keep_good(df.limit(0), first_keeps=True).count() == 0
+
+
 def test_toxicity_keeps_rows_and_columns(spark):
     real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(300)
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
