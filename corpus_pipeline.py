@@ -24,8 +24,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules, or keep too few words without frequent lines, go."""
-    return keep_good(docs)
+    """Documents that fail the base rules, or keep too few words without frequent lines, go; a line stays in its first document, so that a group of near copies keeps one."""
+    return keep_good(docs, first_keeps=True)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
