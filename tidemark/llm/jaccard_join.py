@@ -22,9 +22,15 @@ order of shingles their first ``|x| - ceil(t |x|) + l`` shingles have at least `
   Both may link with p, and are then in one component already.  Else the right side asks ``y``, the
   one of lesser W, to share that many of its differences: those are matched by prefixes once more,
   now multi-match prefixes of differences, of which copies of one text share next to none.
-* Verification: every candidate pair is counted on whole sets of 64-bit hashes.  The last pairs are
+* Parities: a set's hashes are counted by their leading bits, and of the counts only the parities
+  are kept, two to four bits a hash.  Two sets' parities differ in no more places than there are
+  hashes in one set alone, so most pairs that can't link go before any whole set travels.
+* Verification: every pair left is counted on whole sets of 64-bit hashes.  The last pairs are
   made after the first links have joined components; pairs inside a component can't change it.
 
+Prefixes are the largest table that is shuffled: they are made and met in ``TURNS`` turns, each with
+its part of the shingles, and the files of one turn go before the next.
+
 Nulls: a null text has an empty set and links with nothing; a null id takes part and its row's
 component is that of its text.  Equal rows are one class.  An empty table gives an empty result.
 Columns besides the id and the text are not read.
@@ -32,7 +38,8 @@ Columns besides the id and the text are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import chain
 
 import numpy as np
@@ -57,6 +64,8 @@ SHORT = 8
 AHEAD = 256
 #: Sets that meet one set in one task.
 MEETING = 512
+#: Turns in which the prefixes are shuffled; each cuts all texts into words once more.
+TURNS = 2
 
 
 def shingle_sets(bodies, width: int) -> Iterator[np.ndarray]:
@@ -162,8 +171,8 @@ def _bucket(s: np.ndarray, counters: int) -> np.ndarray:
     return (s >> np.uint64(65 - counters.bit_length())).astype(np.int64)
 
 
-def _prefixes(texts: DataFrame, width: int, percent: int, sketch: np.ndarray) -> DataFrame:
-    """``(t, salt, c, n, l)``: the prefix shingles of every class, its size, and the matches that it asks for."""
+def _prefixes(texts: DataFrame, width: int, percent: int, sketch: np.ndarray, turn: int) -> DataFrame:
+    """``(t, salt, c, n, l)``: the prefix shingles of every class that are of this turn, its size, and the matches that it asks for."""
     shared = texts.sparkSession.sparkContext.broadcast((levels_of(sketch), excess_of(sketch)))  # of bounded size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,6 +202,9 @@ def _prefixes(texts: DataFrame, width: int, percent: int, sketch: np.ndarray) ->
                 cost = float(expected[bucket[order[: spare + 1]]].sum())
                 need = min(1 + sum(cost > x for x in COSTS), len(s) - spare)
                 prefix = s[order[: spare + need]]
+                prefix = prefix[prefix % np.uint64(TURNS) == turn]
+                if not len(prefix):
+                    continue
                 out.append((prefix, c, len(s), need))
                 size += len(prefix)
                 if size > 100_000:
@@ -352,8 +364,24 @@ def _in_filter(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
-def _sets(texts: DataFrame, width: int, bits: np.ndarray) -> DataFrame:
-    """``(c, s)``: the sets of the rows whose key's bit is set; other texts aren't cut into words."""
+def parities(s: np.ndarray) -> bytes:
+    """The size of a set, then whether the number of its hashes with the same leading bits is odd."""
+    size = max((2 * len(s) - 1).bit_length(), 3)
+    odd = np.bincount((s >> np.uint64(64 - size)).astype(np.int64), minlength=1 << size) & 1
+    return np.int64(len(s)).tobytes() + np.packbits(odd.astype(bool)).tobytes()
+
+
+def may_link(nx: int, x: np.ndarray, ny: int, y: np.ndarray, percent: int) -> bool:
+    """Whether sets of ``nx`` and ``ny`` hashes with the parities ``x`` and ``y`` (0 or 1 each) can link."""
+    while len(x) > len(y):
+        x = x[0::2] ^ x[1::2]
+    while len(y) > len(x):
+        y = y[0::2] ^ y[1::2]
+    return (100 + percent) * (nx + ny - int(np.count_nonzero(x != y))) >= 2 * percent * (nx + ny)
+
+
+def _sets(texts: DataFrame, width: int, bits: np.ndarray, given: Callable[[np.ndarray], bytes]) -> DataFrame:
+    """``(c, s)``: what is ``given`` of the sets of the rows whose key's bit is set; other texts aren't cut into words."""
     shared = texts.sparkSession.sparkContext.broadcast(bits)  # of bounded size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -368,7 +396,7 @@ def _sets(texts: DataFrame, width: int, bits: np.ndarray) -> DataFrame:
                     seen.clear()
                 seen.add(c)
                 cs.append(c)
-                sets.append(s.tobytes())
+                sets.append(given(s))
                 held += len(sets[-1])
                 if held > 4_000_000:
                     yield pa.RecordBatch.from_arrays([pa.array(cs, pa.int64()), pa.array(sets, pa.binary())], ["c", "s"])
@@ -392,19 +420,50 @@ def _asked(n: int, gone: int, cut: int, d: int, percent: int, link: bool) -> int
     return max(d - (below if link else min(below, above)) + 1, 0)
 
 
+def _meetings(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``(b, salt, a, wide, s)`` of ``pairs (a, b, wide)``: each b, with a null ``a``, lies before its partners in a partition.
+
+    Partitions are read as streams; a set with many partners lies in several.  ``sets`` are joined
+    once, and may hold sets that no pair has, and repeats.
+    """
+    many = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / MEETING).cast("int").alias("salts"))
+    salt = F.when(F.col("salts") > 1, F.pmod(F.xxhash64("a"), F.col("salts"))).otherwise(0).cast("int").alias("salt")
+    dealt = pairs.join(many, "b").select("b", salt, "a", "wide", F.col("a").alias("c"))
+    heads = many.select("b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("a"), F.lit(False).alias("wide"), F.col("b").alias("c"))
+    rows = heads.unionByName(dealt).join(sets, "c").select("b", "salt", "a", "wide", "s")
+    return rows.repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("a").isNotNull(), "a")
+
+
+def _near(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs (a, b)`` whose parities in ``marks`` let them link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        y, before = None, None
+        for b in batches:
+            out = []
+            for u, v, s in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(4)):
+                if (u, v) == before:  # a set that several rows gave
+                    continue
+                before, s = (u, v), np.frombuffer(s.as_buffer(), np.uint8)
+                x = int(s[:8].view(np.int64)[0]), np.unpackbits(s[8:])
+                if v is None:
+                    y = x
+                elif may_link(*x, *y, percent):
+                    out.append((v, u))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["a", "b"])
+
+    return _meetings(pairs.select("a", "b", F.lit(False).alias("wide")), marks).mapInArrow(run, "a long, b long").withColumn("wide", F.lit(False))
+
+
 def _met(pairs: DataFrame, sets: DataFrame, percent: int, level: np.ndarray | None = None) -> DataFrame:
     """``(a, b, link, wide, cut, gone, n, d)`` of ``pairs (a, b, wide)``: whether they link and, where ``wide``, how ``a`` differs from ``b``.
 
     ``cut`` counts what a lacks of b, ``gone`` and ``n`` are the sizes of b and a, and ``d`` holds as
-    many differences as can be asked for, those that few others will have first.  Each b lies before its partners in a partition, which is read as a
-    stream; a set with many partners lies in several.  Pairs that neither link nor are wide go.
-    ``sets`` may hold sets that no pair has, and repeats.
+    many differences as can be asked for, those that few others will have first.  Pairs that neither
+    link nor are wide go.
     """
     shared = pairs.sparkSession.sparkContext.broadcast(level)  # of bounded size
-    many = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / MEETING).cast("int").alias("salts"))
-    dealt = pairs.join(many, "b").withColumn("salt", F.when(F.col("salts") > 1, F.pmod(F.xxhash64("a"), F.col("salts"))).otherwise(0).cast("int"))
-    heads = many.select(F.col("b").alias("c"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).join(sets, "c").select(F.col("c").alias("b"), "salt", F.lit(None).cast("long").alias("a"), F.lit(False).alias("wide"), "s")
-    rows = heads.unionByName(dealt.select("b", "salt", F.col("a").alias("c"), "wide").join(sets, "c").select("b", "salt", F.col("c").alias("a"), "wide", "s"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level, y, before = shared.value, None, None
@@ -436,8 +495,7 @@ def _met(pairs: DataFrame, sets: DataFrame, percent: int, level: np.ndarray | No
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out), (pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64())))], ["a", "b", "link", "wide", "cut", "gone", "n", "d"])
 
-    dealt = rows.repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("a").isNotNull(), "a")
-    return dealt.mapInArrow(run, "a long, b long, link boolean, wide boolean, cut int, gone int, n int, d array<long>")
+    return _meetings(pairs, sets).mapInArrow(run, "a long, b long, link boolean, wide boolean, cut int, gone int, n int, d array<long>")
 
 
 def _open_pairs(differences: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
@@ -472,36 +530,47 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``(id, n_shingles, key, component)`` of every document: rows of one component reach each other by links."""
     texts = _texts(docs, id_col, text_col)
     members, sketch = _members(texts, width, docs.schema[id_col].dataType.simpleString())
-    rows = written(_lists(_prefixes(texts, width, percent, sketch)), "lists")
-    release(docs.sparkSession)
-    lists = written(_paired(rows, percent), "paired")
-    drop_written(rows)
+    turns = []
+    for k in range(TURNS):
+        turns.append(written(_lists(_prefixes(texts, width, percent, sketch, k)), "lists"))
+        release(docs.sparkSession)
+    lists = written(_paired(reduce(DataFrame.union, turns), percent), "paired")
+    for x in turns:
+        drop_written(x)
     release(docs.sparkSession)
     wide = _pivots(lists).filter("c <> p").select(F.col("c").alias("a"), F.col("p").alias("b"), F.lit(True).alias("wide"))
     narrow = _candidates(lists, percent).select("a", "b", F.lit(False).alias("wide"))
     pairs = written(wide.unionByName(narrow).groupBy("a", "b").agg(F.max("wide").alias("wide")), "pairs")
     drop_written(lists)
 
-    needed = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
     reps = members.filter(F.col("class").isNotNull()).groupBy("class").agg(F.min("key").alias("key"))
-    keys = written(needed.join(reps, "class").select("key"), "keys")
-    sets = written(_sets(texts, width, _row_filter(keys)), "sets")
-    drop_written(keys)
-    first = written(_met(pairs, sets, percent, levels_of(sketch)), "met")
+
+    def of_pairs(pairs: DataFrame, given: Callable[[np.ndarray], bytes], name: str) -> DataFrame:
+        needed = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
+        keys = written(needed.join(reps, "class").select("key"), "keys")
+        found = written(_sets(texts, width, _row_filter(keys), given), name)
+        drop_written(keys)
+        return found
+
+    marks = of_pairs(pairs, parities, "marks")
+    near = written(pairs.filter("wide").unionByName(_near(pairs.filter("not wide"), marks, percent)), "near")
     drop_written(pairs)
+    sets = of_pairs(near, np.ndarray.tobytes, "sets")
+    first = written(_met(near, sets, percent, levels_of(sketch)), "met")
+    drop_written(near)
     release(docs.sparkSession)
     links = first.filter("link").select(F.col("a").alias("u"), F.col("b").alias("v"))
     parts = written(components(links), "components")
 
-    more = written(_open_pairs(first.filter("wide"), parts, percent), "pairs")
+    more = written(_near(_open_pairs(first.filter("wide"), parts, percent), marks, percent), "pairs")
     if not more.isEmpty():
-        found = written(_met(more.withColumn("wide", F.lit(False)), sets, percent), "met")
+        found = written(_met(more, sets, percent), "met")
         joined = components(parts.select(F.col("v").alias("u"), F.col("component").alias("v")).union(found.select(F.col("a").alias("u"), F.col("b").alias("v"))))
         before, parts = parts, written(joined, "components")
         drop_written(before)
         drop_written(found)
         release(docs.sparkSession)
-    for x in (more, first, sets):
+    for x in (more, first, sets, marks):
         drop_written(x)
     of = F.coalesce("component", "class")
     return members.join(parts.withColumnRenamed("v", "class"), "class", "left").select("id", F.col("n").alias("n_shingles"), "key", of.alias("component"))
